@@ -16,5 +16,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    taken = F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
