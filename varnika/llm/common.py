@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -74,8 +75,20 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str | No
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = total.withColumn("_before", F.sum("_total").over(before) - F.col("_total"))
     total = total.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(dealt)], "_before")
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(dealt)]
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(dealt)]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    return inner.join(total, cond, "left").withColumn(out, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_amount", *[f"_k{i}" for i in range(len(dealt))])
+    return inner.join(total, cond, "left").withColumn(out, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_amount", "_bucket", *[f"_k{i}" for i in range(len(dealt))])
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """While this holds, Python functions get at most so many rows at once. Jobs must run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

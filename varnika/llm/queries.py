@@ -16,6 +16,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
 
 
+def op2_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    df = shard(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -30,5 +45,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op9_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
