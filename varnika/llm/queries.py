@@ -37,6 +37,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import groups
+
+    df = groups(table(spark, sf_dir, "documents"), size=4)
+    return df.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -45,5 +52,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op9_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op7_minhash, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
