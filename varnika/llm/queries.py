@@ -44,6 +44,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op8_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import linked
+
+    return linked(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -52,5 +58,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op7_minhash, op9_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
