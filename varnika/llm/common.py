@@ -33,7 +33,7 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     This cuts the lineage, survives lost executors, and gives Catalyst real sizes for its join choice.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,3 +92,10 @@ def arrow_batches(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a folder or file that all machines see; a bare path is a shared mount."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -16,6 +16,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -58,5 +70,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shard_lpt, op5_pack_windows, op3_secret_scan, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
