@@ -49,6 +49,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import groups
 
@@ -70,5 +76,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op6_language_crf, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
