@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form a class first, so copies never meet each other. Each class has `bands` keys of `rows`
 minima. Round one checks each class against the smallest class with which it shares a key, and joins what is confirmed
-into components. Round two checks, within each key that still holds several components, the pairs across components, so every
-candidate pair is either confirmed, refuted or already joined. A check first compares 8-bit signatures, then the full sets.
+into components. Round two goes, within each key that still holds several components, through the pairs across components, in
+blocks of bounded size and without listing them, so every candidate pair is either confirmed, refuted or already joined. A pair that
+shares several keys counts in the first. A check first compares 8-bit signatures, then the full sets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from .common import arrow_batches, keep
 from .components import connected_components
 
 MASK = (1 << 64) - 1
+#: Classes of one key are compared in blocks of up to twice so many.
+CHUNK = 512
+ROWS = "band long, pos int, i int, j int, chunk int, node long, c long, n long, sig binary, bands array<long>"
 #: A list of ids of up to this many rows (8 bytes each) may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
 _space = np.zeros(256, bool)
@@ -157,6 +161,80 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks (equal band, i and j) of rows that come sorted by these."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if not len(b):
+            continue
+        k = b[["band", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y - x > 1:
+                yield b.iloc[x:y]
+        held = b.iloc[cuts[-1] :]
+    if held is not None and len(held) > 1:
+        yield held
+
+
+def _open_pairs(x: pd.DataFrame, percent: int, bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (a, b) and agreement of the block's pairs across components that this key and block are to settle and that may link."""
+    c, n, chunk = x["c"].to_numpy(), x["n"].to_numpy(), x["chunk"].to_numpy()
+    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
+    keys = np.stack(list(x["bands"]))
+    i, j, pos = (int(x[k].iloc[0]) for k in ("i", "j", "pos"))
+    out = []
+    for at in range(0, len(x) - 1, 64):
+        rows = np.arange(at, min(at + 64, len(x) - 1))
+        fit = (c[rows, None] != c[None, :]) & (100 * np.minimum(n[rows, None], n[None, :]) >= percent * np.maximum(n[rows, None], n[None, :]))
+        fit &= np.arange(len(x))[None, :] > rows[:, None]
+        if i != j:
+            fit &= chunk[rows, None] != chunk[None, :]
+        a, b = np.nonzero(fit)
+        a = rows[a]
+        share = (sig[a] == sig[b]).mean(axis=1)
+        some = share >= bits
+        a, b, share = a[some], b[some], share[some]
+        some = (keys[a] == keys[b]).argmax(axis=1) == pos
+        out.append((a[some], b[some], share[some]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _candidates(rows: DataFrame, percent: int, bits: float) -> DataFrame:
+    """The rows of blocks that have a pair to settle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in _runs(batches):
+            a, b, _ = _open_pairs(x, percent, bits)
+            if len(a):
+                yield x.iloc[np.unique(np.concatenate([a, b]))]
+
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, ROWS)
+
+
+def _settled(rows: DataFrame, percent: int, bits: float) -> DataFrame:
+    """Links (a, b) across components, by the full sets: enough of them to join all that is linked within a block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in _runs(batches):
+            a, b, share = _open_pairs(x, percent, bits)
+            sets, node = [_unpacked(v) for v in x["set"]], x["node"].to_numpy()
+            _, root = np.unique(x["c"].to_numpy(), return_inverse=True)
+            links = []
+            for k in np.argsort(-share, kind="stable"):
+                p, q = a[k], b[k]
+                if root[p] != root[q]:
+                    inter = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if 100 * inter >= percent * (len(sets[p]) + len(sets[q]) - inter):
+                        links.append((node[p], node[q]))
+                        root[root == root[q]] = root[p]
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "a long, b long")
+
+
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) for every row.
 
@@ -171,8 +249,8 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     classes = keep(some.groupBy("digest").agg(F.min("id").alias("node")), "classes")
     reps = some.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("node"))).select("node", "n", "sig", "bands")
     reps = keep(reps.dropDuplicates(["node", "n", "sig"]), "reps")
-    keyed = reps.select("node", "n", F.explode("bands").alias("band"))
-    shared = keep(keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("_n")).filter("_n > 1").select("band", "hub"), "shared")
+    keyed = reps.select("node", F.posexplode("bands").alias("pos", "band"))
+    shared = keep(keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("_times")).filter("_times > 1").select("band", "hub"), "shared")
     met = keep(keyed.join(shared, "band"), "met")  # the rows of keys with several classes
     nodes = keep(met.select("node").distinct(), "nodes")
     few = nodes.count()
@@ -188,20 +266,22 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     # 8-bit values of unequal minima agree once in 256; five deviations of bands * rows draws below the limit
     s = percent / 100
     bits = s + (1 - s) / 256 - 5 * (s * (1 - s) / (bands * rows)) ** 0.5
-    fits = F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
     with arrow_batches(spark, 2048):
         first = keep(_alike(met.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b"), sig, bits), "alike")
         links = keep(_confirmed(first, full, percent), "links")
     parts = keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    placed = met.join(parts.withColumnRenamed("node", "_p"), F.col("node") == F.col("_p"), "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = met.join(parts.withColumnRenamed("node", "_p"), F.col("node") == F.col("_p"), "left").select("band", "pos", "node", F.coalesce("component", "node").alias("c"))
     placed = keep(placed, "placed")
-    mixed = keep(placed.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("band"), "mixed")
-    open_ = keep(placed.join(mixed, "band"), "open")
-    other = open_.select("band", F.col("node").alias("b"), F.col("n").alias("_n"), F.col("c").alias("_c"))
-    across = open_.withColumnRenamed("node", "a").join(other, "band").filter((F.col("a") > F.col("b")) & (F.col("c") != F.col("_c"))).filter(fits).select("a", "b").distinct()
+    held = placed.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("q"))
+    open_ = keep(placed.join(keep(held.filter("_lo <> _hi").select("band", "q"), "mixed"), "band"), "open")
+    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    open_ = open_.withColumn("_b", F.explode(blocks)).join(reps.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"))
+    open_ = open_.select("band", "pos", "_b.i", "_b.j", "chunk", "node", "c", "n", "sig", "bands")
     with arrow_batches(spark, 2048):
-        second = keep(_alike(keep(across, "across"), sig, bits), "alike2")
-        more = keep(_confirmed(second, full, percent), "links2")
+        rest = keep(_candidates(open_, percent, bits), "rest")
+    with arrow_batches(spark, 512):
+        more = keep(_settled(rest.join(full.withColumnRenamed("node", "_f"), F.col("node") == F.col("_f")).drop("_f"), percent, bits), "links2")
     if not more.isEmpty():
         joined = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b"))
         parts = keep(connected_components(joined), "parts2")
