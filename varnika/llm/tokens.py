@@ -1,16 +1,20 @@
 """Token ids of many texts with a tokenizer file, by looking up each blank-separated chunk once.
 
 The tokenizer splits at white space before anything else, so the ids of a text are those of its chunks in order.
-A worker keeps the ids of the chunks that it has met, up to a bound, and starts afresh beyond it.
+This is for byte-level models that take runs of letters as words and lower-case first. A worker keeps the ids of the chunks that it has met, up to a bound, and starts afresh beyond it.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
 LIMIT = 500_000
+#: Byte-level models write each byte as one character: printable ones as they are, the others from U+0100 on.
+_kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_kept)))}
 _made: dict[str, Tokens] = {}
 
 
@@ -20,6 +24,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
         self.clear()
 
     @classmethod
@@ -35,23 +41,48 @@ class Tokens:
         self.start, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
         self.size = np.zeros(1 << 16, np.int64)
 
+    def _plain(self, core: str) -> list[int] | None:
+        """The ids of a run of letters, from the model alone; None if the steps before it might change more than case."""
+        low = core.lower()
+        got = self.cores.get(low)
+        if got is None:
+            if not low.isascii():
+                if len(low) != len(core) or "\u03a3" in core or not low.isalpha() or not unicodedata.is_normalized("NFC", core):
+                    return None
+                mapped = low.encode().decode("latin-1").translate(BYTES)
+            else:
+                mapped = low
+            got = self.cores[low] = [t.id for t in self.model.tokenize(mapped)]
+        return got
+
     def _learn(self, chunks: list[str]) -> None:
-        split = []
-        for c in chunks:
-            core, tail = (c[:-1], c[-1]) if c[-1:] in (".", ",", ";", ":", "!", "?") and c[:-1].isalpha() else (c, "")
-            low = core.lower()
-            split.append((low if len(low) == len(core) and "Σ" not in core and low.isalpha() else core, tail))
-        new = list({x for pair in split for x in pair if x not in self.cores})
-        for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cores[x] = got.ids
         at = len(self.place)
         while at + len(chunks) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        ids, sizes = [], []
-        for core, tail in split:
-            got = self.cores[core] + self.cores[tail]
+        ids: list[int] = []
+        sizes: list[int] = []
+        order: list[str] = []
+        other: list[str] = []
+        for c in chunks:
+            if c.isalpha():
+                got, tail = self._plain(c), None
+            else:
+                tail = self.tails.get(c[-1:])
+                got = self._plain(c[:-1]) if tail and c[:-1].isalpha() else None
+            if got is None:
+                other.append(c)
+                continue
             ids += got
-            sizes.append(len(got))
+            n = len(got)
+            if tail:
+                ids += tail
+                n += len(tail)
+            sizes.append(n)
+            order.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            ids += e.ids
+            sizes.append(len(e.ids))
+            order.append(c)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
         n = np.array(sizes, np.int64)
@@ -59,8 +90,7 @@ class Tokens:
         self.start[at : at + len(n)] = self.used + np.cumsum(n) - n
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        for k, c in enumerate(chunks):
-            self.place[c] = at + k
+        self.place.update(zip(order, range(at, at + len(order)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
