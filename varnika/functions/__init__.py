@@ -1 +1 @@
-
+"""Column functions: text, character vocabularies and the rule transliterator."""

@@ -1 +1 @@
-
+"""DataFrame operators: pair preparation, model inference and evaluation."""

@@ -1,4 +1,313 @@
-"""The registered queries of the transliteration engine and the SQL that each must agree with."""
+"""The registered queries of the transliteration engine and the SQL that each must agree with.
+
+Queries derive Devanagari from Latin names by a fixed letter table, in the same way in both engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from varnika.functions import rules, text, vocab
+from varnika.operators import evaluate, pairs
+from varnika.sources import extract
+
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = "अबचदएफगहइजकलमनओपखरसतउवभषयझ"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def devanagari(c: Column) -> Column:
+    return F.translate(F.lower(c), LATIN, LETTERS)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle.replace("{dev}", f"'{LATIN}', '{LETTERS}'")
+        return f
+
+    return add
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, hindi, english) of every part."""
+    return table(spark, sf_dir, "part").select("p_partkey", devanagari(F.col("p_name")).alias("hindi"), F.lower("p_name").alias("english"))
+
+
+_PART = "(select p_partkey, translate(lower(p_name), {dev}) as hindi, lower(p_name) as english from part)"
+_CHARS = f"(select p_partkey, unnest(string_split(hindi, '')) as ch, generate_subscripts(string_split(hindi, ''), 1) - 1 as pos from {_PART})"
+_VOCAB = f"(select ch, count(*) as n, count(distinct p_partkey) as docs, row_number() over (order by count(*) desc, min(p_partkey * 1000 + pos)) as id from {_CHARS} group by ch)"
+_IDS = f"(select c.p_partkey, list(v.id order by c.pos) as ids from {_CHARS} c join {_VOCAB} v using (ch) group by c.p_partkey)"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean pairs of several sources, best byte distance of a rule-based spelling for each word, and the share of exact ones."""
+    return best_of_refs(spark, sf_dir)
+
+
+@query("""select translate(lower(c_name), {dev}) as hindi, lower(c_name) as english from customer where not contains(c_name, '.') and not contains(c_name, ',') and strlen(c_name) = length(c_name)
+union select translate(lower(s_name), {dev}), lower(s_name) from supplier where not contains(s_name, '.') and not contains(s_name, ',') and strlen(s_name) = length(s_name)
+union select translate(lower(p_name), {dev}), lower(p_name) from part where not contains(p_name, '.') and not contains(p_name, ',') and strlen(p_name) = length(p_name)""")
+def pairs_union_clean(spark, sf_dir):
+    one = lambda t, c: table(spark, sf_dir, t).select(devanagari(F.col(c)).alias("hindi"), F.concat(F.lit("  "), c).alias("english"))
+    return pairs.clean(pairs.union_sources(one("customer", "c_name"), one("supplier", "s_name"), one("part", "p_name")))
+
+
+@query("""select distinct h as hindi, e as english from (select translate(lower(p_name), {dev}) h, lower(p_name) e from part union all select translate(lower(p_brand), {dev}), lower(p_brand) from part)
+where not contains(e, '.') and not contains(e, ',')""")
+def pairs_two_columns(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(devanagari(F.col("p_name")).alias("h1"), F.col("p_name").alias("e1"), devanagari(F.col("p_brand")).alias("h2"), F.col("p_brand").alias("e2"))
+    return pairs.clean(pairs.to_pairs(df, [("h1", "e1"), ("h2", "e2")]))
+
+
+@query("""select 'all' as stage, count(*) as n_rows, count(hindi) as n_hindi, count(english) as n_english from (select translate(lower(c_name), {dev}) as hindi, nullif(c_mktsegment, 'BUILDING') as english from customer)
+union all select 'distinct', count(*), count(hindi), count(english) from (select distinct translate(lower(c_name), {dev}) as hindi, lower(c_mktsegment) as english from customer where c_mktsegment <> 'BUILDING')""")
+def clean_audit(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select(devanagari(F.col("c_name")).alias("hindi"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("english"))
+    return pairs.audit(df, "all").unionByName(pairs.audit(pairs.clean(df), "distinct"))
+
+
+@query("select doc_id, lang from documents where strlen(text) = length(text)")
+def ascii_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(text.is_ascii(F.col("text"))).select("doc_id", "lang")
+
+
+@query("select doc_id from documents where not contains(text, '.') and not contains(text, ',')")
+def no_abbrev(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(~F.col("text").contains(".") & ~F.col("text").contains(",")).select("doc_id")
+
+
+@query("select conv_id, turn, role from conversations where nullif(role, 'system') is not null and text is not null")
+def drop_nulls(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").withColumn("role", F.nullif("role", F.lit("system")))
+    return df.dropna("any").select("conv_id", "turn", "role")
+
+
+@query(f"select ch, count(*) as n from {_CHARS} group by ch")
+def char_tf(spark, sf_dir):
+    return vocab.char_rows(_part(spark, sf_dir), "hindi", "p_partkey").groupBy("ch").agg(F.count("*").alias("n"))
+
+
+@query(f"select ch, count(distinct p_partkey) as docs from {_CHARS} group by ch")
+def char_df(spark, sf_dir):
+    return _part(spark, sf_dir).select(F.explode(F.array_distinct(text.chars(F.col("hindi")))).alias("ch")).groupBy("ch").agg(F.count("*").alias("docs"))
+
+
+@query("select count(*) as n_docs, max(length(p_name)) as max_chars, min(length(p_name)) as min_chars, sum(length(p_name))::bigint as n_chars from part")
+def doc_count(spark, sf_dir):
+    n = F.length("p_name").cast("long")
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n_docs"), F.max(n).alias("max_chars"), F.min(n).alias("min_chars"), F.sum(n).alias("n_chars"))
+
+
+@query("""select 'documents' as tab, max(length(text)) as max_len from documents union all select 'benchmark', max(length(text)) from benchmark union all select 'conversations', max(length(text)) from conversations""")
+def max_len(spark, sf_dir):
+    one = lambda t: table(spark, sf_dir, t).agg(F.lit(t).alias("tab"), F.max(F.length("text").cast("long")).alias("max_len"))
+    return one("documents").unionByName(one("benchmark")).unionByName(one("conversations"))
+
+
+@query(f"select ch, n, docs, id from {_VOCAB}")
+def vocab_rank(spark, sf_dir):
+    return vocab.fit_vocab(_part(spark, sf_dir), "hindi", "p_partkey")
+
+
+@query(f"select ch, row_number() over (order by ch) - 1 as id from (select distinct ch from {_CHARS})")
+def vocab_alpha(spark, sf_dir):
+    return vocab.alphabet(_part(spark, sf_dir), "hindi")
+
+
+def _encoded(spark, sf_dir) -> DataFrame:
+    df = _part(spark, sf_dir)
+    fitted = vocab.fit_vocab(df, "hindi", "p_partkey")
+    # one row per character of the script
+    table_ = fitted.agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("id").cast("int")))).alias("vocab"), F.transform(F.array_sort(F.collect_list(F.struct("id", "ch"))), lambda x: x["ch"]).alias("letters"))
+    return df.crossJoin(F.broadcast(table_)).withColumn("ids", vocab.encode(F.col("hindi"), F.col("vocab")))
+
+
+_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@query(f"select p_partkey, array_to_string(ids, ' ') as ids from {_IDS}")
+def encode_ids(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("p_partkey", _text(F.col("ids")).alias("ids"))
+
+
+@query(f"select p_partkey, array_to_string(list_concat(ids[greatest(len(ids) - 11, 1):], list_transform(range(greatest(12 - len(ids), 0)), lambda x: 0)), ' ') as ids from {_IDS}")
+def pad_ids(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("p_partkey", _text(vocab.pad(F.col("ids"), 12)).alias("ids"))
+
+
+@query(f"select p_partkey, hindi as decoded from {_PART}")
+def decode_ids(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("p_partkey", vocab.decode(vocab.pad(F.col("ids"), 64), F.col("letters")).alias("decoded"))
+
+
+@query(f"select p_partkey, array_to_string(ids[1:len(ids)-1], ' ') as input, array_to_string(ids[2:], ' ') as target from {_IDS}")
+def teacher_shift(spark, sf_dir):
+    df = _encoded(spark, sf_dir).select("p_partkey", vocab.teacher_pair(F.col("ids")).alias("x"))
+    return df.select("p_partkey", _text(F.col("x.input")).alias("input"), _text(F.col("x.target")).alias("target"))
+
+
+@query(f"select c.p_partkey as row_id, c.pos::bigint as t, v.id as idx from {_CHARS} c join {_VOCAB} v using (ch)")
+def one_hot_sparse(spark, sf_dir):
+    df = vocab.one_hot(_encoded(spark, sf_dir), "ids", "p_partkey")
+    return df.select("row_id", F.col("t").cast("long").alias("t"), F.col("idx").cast("long").alias("idx"))
+
+
+@query("select p_partkey, (rn // 64)::bigint as batch from (select p_partkey, row_number() over (order by p_partkey) - 1 as rn, count(*) over () as n from part) where rn // 64 < n // 64")
+def batch_no(spark, sf_dir):
+    return pairs.batches(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+_WORDS = "(select b.item_id, unnest(string_split(text, ' ')) as w from benchmark b)"
+
+
+@query(f"select item_id, w, w2, levenshtein(w2, w)::bigint as edits, case when strlen(w) = 0 then case when strlen(w2) = 0 then 0.0 else 'inf'::double end else levenshtein(w2, w)::double / strlen(w) end as distance from (select item_id, w, lower(reverse(w)) as w2 from {_WORDS})")
+def edit_distance(spark, sf_dir):
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.split_words(F.col("text"))).alias("w")).withColumn("w2", F.lower(F.reverse("w")))
+    return df.select("item_id", "w", "w2", text.byte_distance(F.col("w2"), F.col("w")).cast("long").alias("edits"), text.edit_distance(F.col("w2"), F.col("w")).alias("distance"))
+
+
+_DIST = f"(select hindi, levenshtein(split_part(english, ' ', 1), english)::double / strlen(english) as distance from {_PART})"
+
+
+def _distances(spark, sf_dir) -> DataFrame:
+    df = _part(spark, sf_dir).withColumn("guess", F.split_part("english", F.lit(" "), F.lit(1)))
+    return evaluate.distances(df, "guess", "english")
+
+
+@query(f"select hindi, min(distance) as distance from {_DIST} where hindi is not null group by hindi")
+def best_of_refs(spark, sf_dir):
+    return evaluate.best_of(_distances(spark, sf_dir), "hindi")
+
+
+@query(f"select count(*) as n, count(*) filter (distance = 0) as n_exact, avg((distance = 0)::int::double) as accuracy from (select hindi, min(distance) as distance from {_DIST} group by hindi)")
+def exact_match(spark, sf_dir):
+    return evaluate.exact_match(evaluate.best_of(_distances(spark, sf_dir), "hindi"))
+
+
+@query(f"select least(h - lo, greatest(hi - lo - 1, 0))::bigint as bin, count(*) as n from (select round(distance * 100)::bigint as h, min(round(distance * 100)::bigint) over () as lo, max(round(distance * 100)::bigint) over () as hi from {_DIST}) group by 1")
+def distance_hist(spark, sf_dir):
+    return evaluate.histogram(_distances(spark, sf_dir))
+
+
+@query("select o_orderkey, o_orderkey % 5 <> 0 as is_train from orders")
+def hash_split(spark, sf_dir):
+    return pairs.hash_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "is_train")
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderdate::date > date '1996-04-08'")
+def date_filter(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderdate").cast("date") > F.lit("1996-04-08").cast("date")).select("o_orderkey", "o_orderstatus")
+
+
+@query("select o_orderkey as match_id from orders where o_orderkey > 1000 and o_orderdate::date > date '1996-04-08'")
+def id_filter(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return extract.recent_matches(df, 1000, "1996-04-08").select("match_id")
+
+
+@query("select o.o_orderkey from orders o semi join (select page_id from pages where page_id % 7 <> 0) p on o.o_orderkey = p.page_id")
+def exists_filter(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("match_url"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"))
+    return extract.landed(m, p).select("o_orderkey")
+
+
+@query("""select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages""")
+def link_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(extract.links(F.col("html"))).alias("link"))
+
+
+@query("""select page_id, regexp_extract(html, '<script>([^<]*)', 1) as script, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages""")
+def script_extract(spark, sf_dir):
+    get = lambda p: F.regexp_extract("html", p, 1)
+    return table(spark, sf_dir, "pages").select("page_id", get("<script>([^<]*)").alias("script"), get("<title>([^<]*)</title>").alias("title"))
+
+
+@query("select page_id, replace(replace(replace(url, '/en/', '/series/'), '/series/', '/hindi/series/'), 'live-cricket-score', 'full-scorecard') as url from pages")
+def url_rewrite(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.url_rewrite(F.replace("url", F.lit("/en/"), F.lit("/series/"))).alias("url"))
+
+
+@query("select event_id, event_type, props::json is not null as has_props, json_extract_string(props, '$.' || json_keys(props)[1]) as first_value from events")
+def props_json(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    key = F.get(F.json_object_keys("props"), F.lit(0))
+    value = F.try_element_at(F.from_json("props", "map<string,string>"), key)
+    return df.select("event_id", "event_type", F.json_object_keys("props").isNotNull().alias("has_props"), value.alias("first_value"))
+
+
+@query("select conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) > 12 then '' else w end), ' ') as text from conversations")
+def word_split_join(spark, sf_dir):
+    words = F.transform(text.split_words(F.col("text")), lambda w: F.when(F.length(w) <= 12, w))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.join_words(words).alias("text"))
+
+
+@query("select p_partkey, '^' || lower(p_name) || '$' as wrapped, lower(p_name) as bare from part")
+def sentinel_wrap(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", text.wrap(F.lower("p_name")).alias("wrapped"))
+    return df.withColumn("bare", F.regexp_replace(text.unwrap(F.col("wrapped")), r"^\^", ""))
+
+
+@query("select p_partkey, p_name, row_number() over (order by p_partkey) as unique_id from part")
+def surrogate_id(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(Window.orderBy("p_partkey")).cast("long").alias("unique_id"))
+
+
+@query("select p_partkey, p_name from part order by p_partkey limit 5")
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "part").orderBy("p_partkey").select("p_partkey", "p_name").limit(5)
+
+
+@query("select p_brand, max_by(p_name, p_retailprice * 100000 - p_partkey) as best from part group by p_brand")
+def argmax_per_group(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_name", F.expr("p_retailprice * 100000 - p_partkey")).alias("best"))
+
+
+@query("""select distinct ch from (select unnest(string_split(lower(p_name), '')) as ch from part union all select unnest(string_split(lower(c_name), '')) from customer)""")
+def char_set_union(spark, sf_dir):
+    one = lambda t, c: table(spark, sf_dir, t).select(F.explode(text.chars(F.lower(c))).alias("ch"))
+    return one("part", "p_name").union(one("customer", "c_name")).distinct()
+
+
+@query("""select distinct unnest(string_split(text, '')) as ch from benchmark except select distinct unnest(string_split(lower(p_name), '')) from part""")
+def vocab_gap(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.explode(text.chars(F.col("text"))).alias("ch")).distinct()
+    return b.exceptAll(table(spark, sf_dir, "part").select(F.explode(text.chars(F.lower("p_name"))).alias("ch")).distinct())
+
+
+@query("select l_returnflag, sum(l_extendedprice * (l_discount > 0.05)::int) / count(*) as masked_mean, count(*) as n from lineitem group by l_returnflag")
+def masked_mean(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg((F.sum(F.col("l_extendedprice") * (F.col("l_discount") > 0.05).cast("int")) / F.count("*")).alias("masked_mean"), F.count("*").alias("n"))
+
+
+@query(f"select p_partkey, levenshtein(split_part(english, ' ', 1), english)::double / strlen(english) as first_edit_distance, levenshtein(split_part(english, ' ', 2), english)::double / strlen(english) as second_edit_distance from {_PART}")
+def compare_systems(spark, sf_dir):
+    df = _part(spark, sf_dir).withColumns({"a": F.split_part("english", F.lit(" "), F.lit(1)), "b": F.split_part("english", F.lit(" "), F.lit(2))})
+    return evaluate.compare(df, "english", {"first": "a", "second": "b"}).select("p_partkey", "first_edit_distance", "second_edit_distance")
+
+
+@query()
+def translit_rules(spark, sf_dir):
+    df = _part(spark, sf_dir).select("p_partkey", "hindi")
+    return evaluate.predict_distinct(df, "hindi", rules.transliterate, "latin")
+
+
+@query()
+def translit_k_best(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.split_words(devanagari(F.col("text")))).alias("word")).filter("word <> ''").distinct()
+    return rules.k_best(words, "word", 5)
+
+
+@query()
+def translit_accuracy(spark, sf_dir):
+    df = evaluate.predict_distinct(_part(spark, sf_dir), "hindi", rules.transliterate, "latin")
+    return evaluate.exact_match(evaluate.best_of(evaluate.distances(df, "latin", "english"), "hindi"))
