@@ -298,9 +298,9 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
     found = keep(groups(docs, text, key, **how), "groups")
     gone = keep(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
     again = keep(found.groupBy(F.col(key).alias("_again")).count().filter("count > 1 and _again is not null").select("_again"), "again")
-    left = docs.join(_listed(gone, gone.count()), docs[key] == F.col("_gone"), "left_anti")
+    left = docs.join(_listed(gone, gone.count()), docs[key] == gone["_gone"], "left_anti")
     times = again.count()
     if not times:
         return left
-    twice = left.join(_listed(again, times), left[key] == F.col("_again"), "left_semi").dropDuplicates()
-    return left.join(_listed(again, times), left[key] == F.col("_again"), "left_anti").unionByName(twice)
+    twice = left.join(_listed(again, times), left[key] == again["_again"], "left_semi").dropDuplicates()
+    return left.join(_listed(again, times), left[key] == again["_again"], "left_anti").unionByName(twice)

@@ -115,7 +115,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     carry = docs.columns if carry is None else carry
     size = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(WORD))).cast("long")
-    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = keep(docs.select(*kept, F.col(source).cast("string").alias("source"), F.col(key).alias("_key"), content.alias("_hash"), size.alias("size")), "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
@@ -150,14 +150,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
     A document taken whole keeps its text as it is; otherwise its text is the taken words in order, each with the white space after it.
     """
-    columns = docs.columns
-    df = mix(docs, text=text, **how).select(*columns, F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    columns, kinds = docs.columns, dict(docs.dtypes)
+    names = {"source": how.pop("source", "source"), "key": how.pop("key", "doc_id")}
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_t"), *[F.col(c).alias(f"_{k}") for k, c in names.items()])
+    df = mix(marked, text="_t", source="_source", key="_key", carry=["_doc", "_t"], **how).select("_doc", "_t", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     df = df.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_taken", lambda x: x["epoch"]))))
     df = df.withColumn("_mine", F.array_sort(F.transform(F.filter("_taken", lambda x: x["epoch"] == F.col("_epoch")), lambda x: F.struct(x["from"].alias("a"), x["words"].alias("n")))))
     df = df.withColumn("_n", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    tokens = F.regexp_extract_all(F.regexp_replace(F.col(text), f"^{SPACE}", ""), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    tokens = F.regexp_extract_all(F.regexp_replace("_t", f"^{SPACE}", ""), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     df = df.withColumn("_words", F.when(F.col("_n") < F.col("_size"), tokens))
     part = F.rtrim(F.array_join(F.flatten(F.transform("_mine", lambda x: F.slice("_words", (x["a"] + 1).cast("int"), x["n"].cast("int")))), ""))
-    df = df.withColumn("_text", F.when(F.col("_n") < F.col("_size"), part).otherwise(F.col(text)))
-    out = {text: F.col("_text")} | ({n_chars: F.length("_text").cast(dict(docs.dtypes)[n_chars])} if n_chars in columns else {})
-    return df.select(*[out.get(c, F.col(c)).alias(c) for c in columns])
+    df = df.withColumn("_text", F.when(F.col("_n") < F.col("_size"), part).otherwise(F.col("_t")))
+    out = {text: F.col("_text")} | ({n_chars: F.length("_text").cast(kinds[n_chars])} if n_chars in columns else {})
+    return df.select(*[out.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])

@@ -99,9 +99,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     within the fences of its language and source. Null text counts as empty and fails; null lang or source is a
     group of its own; repeated rows are judged alike; an empty table gives an empty result.
     """
-    carry = docs.columns if carry is None else carry
-    docs = docs.withColumns({"_g_lang": F.col(lang), "_g_source": F.col(source)})
-    measured = keep(measure(docs, text).select(*dict.fromkeys([*[c for c in carry if c not in BASE], "_g_lang", "_g_source", *BASE]), *[f"_m_{m}" for m in MEASURES]), "quality")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in BASE]
+    docs = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"))
+    measured = keep(measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES]), "quality")
     fences = keep(thresholds(keep(sketch(measured, "_g_lang", "_g_source"), "sketch"), spread, min_rows), "fences")
     df = measured.join(fences, F.col("_g_lang").eqNullSafe(F.col("_lang")) & F.col("_g_source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -110,4 +110,4 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         inside = inside & (F.col(f"_m_{m}") <= F.col(f"_hi_{m}"))
     inside = inside & F.col("_m_length").between(F.col("_lo_length"), F.col("_hi_length"))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-    return df.select(*[c for c in carry if c not in BASE], *BASE, "base_failed", "kept")
+    return df.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c not in ("base_failed", "kept")], *BASE, "base_failed", "kept")

@@ -75,18 +75,20 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list
     each get their spans and count once as repository; an empty table gives an empty result.
     """
     carry = docs.columns if carry is None else carry
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = candidates(docs, text).withColumn("_repo", F.when(F.size("_base") + F.size("_opaque") > 0, F.sha2(t, 256)))
-    rows = rows.withColumn("_owner", F.when(F.col("_repo").isNotNull(), F.coalesce(F.col(owner).cast("string"), F.lit("\0"))))
-    rows = keep(rows.select(*carry, "_base", "_opaque", "_repo", "_owner", F.monotonically_increasing_id().alias("_rid")), "scan")
+    rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_who"))
+    rows = candidates(rows, "_text")
+    rows = rows.withColumn("_repo", F.when(F.size("_base") + F.size("_opaque") > 0, F.sha2("_text", 256)))
+    rows = rows.withColumn("_owner", F.when(F.col("_repo").isNotNull(), F.col("_who")))
+    rows = keep(rows.select("_doc", "_base", "_opaque", "_repo", "_owner", F.monotonically_increasing_id().alias("_rid")), "scan")
     some = rows.filter(F.col("_repo").isNotNull())
     each = keep(some.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "x.s", "x.k", "x.e", F.sha2("x.v", 256).alias("h")), "secrets")
     verdict = keep(ownership(each, max_owners, max_repos), "owners").select("h", "live")
     judged = each.join(verdict, "h").filter((F.col("k") < len(KINDS)) | F.col("live"))
     by_row = judged.groupBy(F.col("_rid").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("_spans"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,live:boolean>>")
-    joined = some.join(by_row, F.col("_rid") == F.col("_of"), "left").select(*carry, F.coalesce("_spans", none).alias("_spans"))
-    return joined.unionByName(rows.filter(F.col("_repo").isNull()).select(*carry, none.alias("_spans")))
+    joined = some.join(by_row, F.col("_rid") == F.col("_of"), "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
+    both = joined.unionByName(rows.filter(F.col("_repo").isNull()).select("_doc", none.alias("_spans")))
+    return both.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c != "_spans"], "_spans")
 
 
 def listed(spans: Column) -> Column:
