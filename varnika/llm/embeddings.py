@@ -41,15 +41,20 @@ def _child(node: int, path: int) -> int:
     return (x ^ (x >> 31)) >> 1
 
 
-def fit(sample: np.ndarray, directions: np.ndarray, spill: float) -> np.ndarray:
-    """Cuts (lo, hi) of each inner node, in heap order: the quantiles 0.5 - spill and 0.5 + spill of its part of the sample."""
+def fit(sample: np.ndarray, directions: np.ndarray, spill: float, tight: float) -> np.ndarray:
+    """Cuts (lo, hi) of each inner node, in heap order: the quantiles 0.5 - spill and 0.5 + spill of its part of the sample.
+
+    A part whose cosines with its mean are all at least `tight` is one group of near copies: it stays whole (all go left).
+    """
     depth = directions.shape[1]
     cuts, parts = np.zeros((2**depth - 1, 2)), {0: np.arange(len(sample))}
     for level in range(depth):
         p = sample @ directions[:, level]
         for k in range(2**level - 1, 2 ** (level + 1) - 1):
             mine = parts.pop(k)
-            lo, hi = np.quantile(p[mine], [0.5 - spill, 0.5 + spill]) if len(mine) else (0.0, 0.0)
+            mean = sample[mine].sum(axis=0)
+            whole = len(mine) and (sample[mine] @ mean).min() >= tight * np.sqrt(mean @ mean)
+            lo, hi = (np.inf, np.inf) if whole else np.quantile(p[mine], [0.5 - spill, 0.5 + spill]) if len(mine) else (0.0, 0.0)
             cuts[k] = lo, hi
             parts[2 * k + 1], parts[2 * k + 2] = mine[p[mine] <= hi], mine[p[mine] > lo]
     return cuts
@@ -66,7 +71,7 @@ def route(units: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> list[t
     return [(k, rows) for k, rows in parts.items() if len(rows)]
 
 
-def _split(rows: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+def _split(rows: DataFrame, sizes: DataFrame, leaf: int, tight: float) -> DataFrame:
     """rows with each node of over `leaf` rows replaced by the leaves of a tree fitted on about SAMPLE of its rows."""
     big = keep(sizes.filter(F.col("n") > leaf).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "n"), "big")
     same = (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n"))
@@ -77,7 +82,7 @@ def _split(rows: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
         tree, node, n = (int(x[c].iloc[0]) for c in ("tree", "node", "n"))
         depth = max(1, min(math.ceil(math.log(n / (0.7 * leaf)) / math.log(1 / (0.5 + SPILL))), int(math.log2(max(2, len(x) / 16)))))
         units = _units(x["vec"])
-        cuts = fit(units, _directions(tree, node, depth, units.shape[1]), SPILL)
+        cuts = fit(units, _directions(tree, node, depth, units.shape[1]), SPILL, tight)
         return pd.DataFrame({"_t": [tree], "_n": [node], "depth": [depth], "cuts": [cuts.ravel()]})
 
     models = keep(sample.groupBy("tree", "node").applyInPandas(fitted, "_t int, _n long, depth int, cuts array<double>"), "models")
@@ -136,8 +141,8 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
 
     Rows are compared if their labels are equal and not null. Null or zero vectors, and those with a null or non-finite component, link with
     nothing, as do rows of null key, whose component is null. Vectors of unlike length under one label are not compared. Equal
-    rows link with each other. Leaves that no projection can split are compared in pairs of chunks, so none is cut short. An
-    empty table gives an empty result.
+    rows link with each other. Groups of near copies are not split, and leaves above the limit are compared in pairs of chunks, so none
+    is cut short. An empty table gives an empty result.
     """
     v = F.col(vector).cast("array<double>")
     huge = F.lit(float("inf"))
@@ -150,10 +155,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     before = None
     for _ in range(6):
         sizes = keep(state.groupBy("tree", "node").agg(F.count("*").alias("n")), "sizes")
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-        if largest <= leaf or before is not None and largest > 0.9 * before:
+        large = sizes.filter(F.col("n") > leaf).agg(F.sum("n")).first()[0] or 0
+        if not large or before is not None and large > 0.9 * before:
             break
-        before, old, state = largest, state, keep(_split(state, sizes, leaf), "forest")
+        before, old, state = large, state, keep(_split(state, sizes, leaf, math.cos(math.acos(least) / 2)), "forest")
         drop(old)
     mark = F.xxhash64("tree", "node").alias("node")
     state = state.select(mark, "cid", "cnt", "vec")
