@@ -27,21 +27,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/varnika-{name}-{uuid.uuid4().hex}"
 
 
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made():
+    """A list of the folders that keep() writes while this holds."""
+    _watched.append([])
+    try:
+        yield _watched[-1]
+    finally:
+        _watched.pop()
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives Catalyst real sizes for its join choice.
     """
     path = shared_path(df.sparkSession, name)
+    for made in _watched:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by keep() that no later plan reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+    remove(df.sparkSession, {x.rpartition("/")[0] for x in df.inputFiles()})
+
+
+def remove(spark: SparkSession, folders) -> None:
+    """Delete folders that keep() made."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
         if "/varnika-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)

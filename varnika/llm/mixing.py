@@ -151,9 +151,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     A document taken whole keeps its text as it is; otherwise its text is the taken words in order, each with the white space after it.
     """
     columns, kinds = docs.columns, dict(docs.dtypes)
-    names = {"source": how.pop("source", "source"), "key": how.pop("key", "doc_id")}
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_t"), *[F.col(c).alias(f"_{k}") for k, c in names.items()])
-    df = mix(marked, text="_t", source="_source", key="_key", carry=["_doc", "_t"], **how).select("_doc", "_t", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    marks = [F.col(how.pop("key", "doc_id")), F.col(how.get("source", "source"))]
+    named = F.md5(F.concat_ws("\1", *[F.coalesce(c.cast("string"), F.lit("\2")) for c in marks], F.md5(F.coalesce(text, F.lit("\2")))))
+    rows = docs.select(named.alias("_id"), F.col(text).alias("_t"), F.col(how.pop("source", "source")).alias("_source"))
+    parts = mix(rows, text="_t", source="_source", key="_id", carry=["_id"], **how)
+    parts = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("first", "size", "taken"))).alias("_all"))
+    # texts move once: equal rows share an id, and the n-th of them takes the n-th place
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_t"), named.alias("_id"))
+    marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1))))
+    df = marked.join(parts, "_id").withColumn("_mix", F.get("_all", F.col("_copy") - 1))
+    df = df.select("_doc", "_t", F.col("_mix.size").alias("_size"), F.col("_mix.taken").alias("_taken"))
     df = df.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_taken", lambda x: x["epoch"]))))
     df = df.withColumn("_mine", F.array_sort(F.transform(F.filter("_taken", lambda x: x["epoch"] == F.col("_epoch")), lambda x: F.struct(x["from"].alias("a"), x["words"].alias("n")))))
     df = df.withColumn("_n", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
