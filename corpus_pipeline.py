@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. A stage deletes the tables that the stage before left in the shared folder, as
+that one's result has been written by then; tables that docs itself reads stay.
 """
 
 from __future__ import annotations
@@ -11,12 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varnika.llm import minhash, mixing, packing, quality, secrets
-from varnika.llm.common import shared_path
+from varnika.llm.common import remove, shared_path, tables_made
+
+_left: list[str] = []
+
+
+def _stage(f):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {x.rpartition("/")[0].rpartition("/")[2] for x in docs.inputFiles()}
+        remove(spark, [x for x in _left if x.rpartition("/")[2] not in read])
+        _left.clear()
+        with tables_made() as made:
+            df = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return df
+
+    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
+    return run_stage
 
 #: Verified near copies and packing have no counterpart in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the fences of their language and source; rejected ones go."""
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), *[F.col(c).alias(f"_{c}") for c in ("text", "lang", "source")])
@@ -24,11 +42,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select("_doc.*")
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity of 0.8 or more)."""
     return minhash.deduplicated(docs, size=5, percent=80)
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [SECRET] or [EXAMPLE] in place of each secret."""
     columns = docs.columns
@@ -43,11 +63,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return made.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in columns])
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix: each up to twice, and in part where the mix holds only some of its blocks."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens."""
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
