@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, filesystem, keep, shared_path
 
 ROLL = 64 << 20
+#: Up to so many repeated payloads (28 bytes each) are broadcast to the pages; beyond it, the join shuffles.
+BROADCAST_ROWS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -187,9 +189,11 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
-    best = keep(rows.groupBy("sha").agg(F.max("page").alias("_best")), "best").withColumnRenamed("sha", "_sha")
+    best = rows.groupBy("sha").agg(F.max("page").alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    best = keep(best.select(F.col("sha").alias("_sha"), "_best"), "best")
+    best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
     again = (F.octet_length("html") >= least) & F.col("_best").isNotNull() & ~F.col("page").eqNullSafe(F.col("_best"))
-    rows = rows.join(best, F.col("sha") == F.col("_sha")).select("page", "url", "html", F.when(again, F.col("_best")).alias("refers_to"))
+    rows = rows.join(best, F.col("sha") == F.col("_sha"), "left").select("page", "url", "html", F.when(again, F.col("_best")).alias("refers_to"))
     raw, folder = shared_path(spark, "warc-raw"), shared_path(spark, "warc")
     written = write(rows, raw, level)
     n = max(1, written.count())
