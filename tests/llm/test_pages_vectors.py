@@ -91,6 +91,29 @@ def test_tree_matching():
     assert wrapper.merged(["0:x 1:p", "0:x 1:q 2:s", "0:y"]) == "0:x 1:p 1:q 3:s 0:y"
 
 
+def test_tree_matching_is_greatest():
+    """Against the plain recursion, on random trees with repeated labels among siblings; and on a tree deeper than Python's stack."""
+
+    def greatest(a, b, i=0, j=0):
+        m = [[0] * (len(b[1][j]) + 1) for _ in range(len(a[1][i]) + 1)]
+        for s, u in enumerate(a[1][i], 1):
+            for t, v in enumerate(b[1][j], 1):
+                m[s][t] = max(m[s - 1][t], m[s][t - 1], m[s - 1][t - 1] + greatest(a, b, u, v) if a[0][u] == b[0][v] else 0)
+        return m[-1][-1] + 1
+
+    rng = np.random.default_rng(3)
+    grown = lambda: wrapper.tree(" ".join(f"{rng.integers(k + 1)}:{'abc'[rng.integers(3)]}" for k in range(rng.integers(12))))
+    for _ in range(500):
+        a, b = grown(), grown()
+        pairs = wrapper.matched(a, b)
+        assert len(pairs) == len(set(pairs.values())) == greatest(a, b)
+        for i, j in pairs.items():
+            kids = [pairs[c] for c in a[1][i] if c in pairs]
+            assert a[0][i] == b[0][j] and kids == sorted(kids) and set(kids) <= set(b[1][j])
+    deep, found = wrapper.blocks("<div>" * 5000 + "deep")
+    assert [t for _, t, _ in found] == ["deep"] and len(wrapper.matched(wrapper.tree(deep), wrapper.tree(deep))) == 5001
+
+
 def vectors():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
