@@ -89,12 +89,16 @@ def _split(rows: DataFrame, sizes: DataFrame, leaf: int, tight: float) -> DataFr
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (tree, node), x in batch.groupby(["tree", "node"]):
+            at, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for (tree, node), mine in batch.groupby(["tree", "node"]).indices.items():
+                x = batch.iloc[mine]
                 units = _units(x["vec"])
                 d = _directions(int(tree), int(node), int(x["depth"].iloc[0]), units.shape[1])
-                for path, at in route(units, d, np.reshape(x["cuts"].iloc[0], (-1, 2))):
-                    part = x.iloc[at]
-                    yield pd.DataFrame({"tree": tree, "node": _child(int(node), path), "cid": part["cid"], "cnt": part["cnt"], "vec": part["vec"]})
+                for path, part in route(units, d, np.reshape(x["cuts"].iloc[0], (-1, 2))):
+                    at.append(mine[part])
+                    nodes.append(np.full(len(part), _child(int(node), path)))
+            # one frame for all leaves: a batch holds few rows of each, and a frame costs more than they do
+            yield batch[["tree", "cid", "cnt", "vec"]].iloc[np.concatenate(at)].assign(node=np.concatenate(nodes))[["tree", "node", "cid", "cnt", "vec"]]
 
     small = rows.join(big, same, "left_anti")
     return small.unionByName(rows.join(models, same).mapInPandas(routed, ROWS))
