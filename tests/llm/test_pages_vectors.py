@@ -85,6 +85,27 @@ def test_wrapper_tells_template_from_content(spark):
     assert got == {i: f"Story {i} begins\n\nand ends {i * 7}" for i in range(8)}
 
 
+def test_every_skeleton_counts(spark):
+    """A host of 240 pages without two alike: the notice that only the last 150 skeletons (in any order) hold goes too, and rare lines stay."""
+    notice = lambda i: '<div class="zz">Read this first</div>' if i >= 90 else ""
+    rows = [(i, f"http://h.example/{i}", f'<body><div class="c{i:03}">Intro {i % 2}</div>{notice(i)}<div class="story"><p>Story {i} begins</p></div><div class="foot">Our site</div></body>') for i in range(240)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Intro {i % 2}\n\nStory {i} begins" for i in range(240)}
+
+
+def test_restricted_skeletons_keep_their_paths():
+    whole = "0:x 1:p 1:q 3:s 0:y"
+    ids = wrapper.path_ids(whole)
+    assert len(set(ids)) == 5 and wrapper.path_ids("0:y 0:x 2:q") == [ids[4], ids[0], ids[2]]
+    assert wrapper.restricted(whole, {ids[0], ids[2], ids[3]}) == "0:x 1:q 2:s" and wrapper.restricted(whole, set()) == wrapper.restricted("", set()) == ""
+
+
+def test_comments_in_articles_of_their_own(spark):
+    rows = [(1, "http://h.example/1", '<article class="post share"><h1>Head</h1><p>Text</p><article class="comment"><p>reader</p></article></article>'), (2, "http://h.example/2", '<article><p>Text</p></article><section><article class="comment-item"><p>reader</p></article></section>')]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Head\n\nText", 2: "Text"}
+
+
 def test_tree_matching():
     a, b = wrapper.tree("0:x 1:p 1:q 1:r"), wrapper.tree("0:x 1:q 1:z 1:r 1:p")
     assert wrapper.matched(a, b) == {0: 0, 1: 1, 3: 2, 4: 4} or len(wrapper.matched(a, b)) == 4
