@@ -76,3 +76,15 @@ def test_stream(spark, tmp_path):
     q = streaming.transliterated(spark.readStream.schema("text string").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("latin").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("latin").first().latin == "hindi"
+
+
+def test_candidate_fields(spark):
+    pages = [("", ), (None,), ("<section><div>cut",)]
+    got = extract.candidates(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "id long, html string"), "id").collect()
+    assert [(r.id, r.party_name, r.age) for r in got] == [(0, None, []), (1, None, []), (2, None, [])]
+
+
+def test_best_so_far_and_patience(spark):
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate([5.0, 4.0, 4.5, 4.0, 3.0, 3.5])], "run string, epoch int, loss double")
+    got = [(r.best, r.patience) for r in evaluate.best_so_far(df, ["run"], ["epoch"], "loss").orderBy("epoch").collect()]
+    assert got == [(5.0, 0), (4.0, 0), (4.0, 1), (4.0, 2), (3.0, 0), (3.0, 1)]

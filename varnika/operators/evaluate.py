@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varnika.functions.text import edit_distance
@@ -40,3 +40,16 @@ def histogram(df: DataFrame, distance: str = "distance", hundredths: int = 1) ->
 def compare(df: DataFrame, truth: str, systems: dict[str, str]) -> DataFrame:
     """Distances of several systems' predictions side by side (name to column)."""
     return df.withColumns({f"{name}_edit_distance": edit_distance(F.col(c), F.col(truth)) for name, c in systems.items()})
+
+
+def best_so_far(df: DataFrame, by: list[str], order: list[str], loss: str) -> DataFrame:
+    """df with the smallest loss up to each row of its run, and patience: the rows since that was first reached."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = df.withColumn("best", F.min(loss).over(w))
+    since = Window.partitionBy(*by, "best").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return best.withColumn("patience", F.count("*").over(since) - 1)
+
+
+def decayed_rate(rate: float, decay: float, epoch: Column) -> Column:
+    """The learning rate after so many epochs of time-based decay."""
+    return F.lit(rate) / (1 + F.lit(decay) * epoch)

@@ -311,3 +311,74 @@ def translit_k_best(spark, sf_dir):
 def translit_accuracy(spark, sf_dir):
     df = evaluate.predict_distinct(_part(spark, sf_dir), "hindi", rules.transliterate, "latin")
     return evaluate.exact_match(evaluate.best_of(evaluate.distances(df, "latin", "english"), "hindi"))
+
+
+@query("""select user_id, event_id, loss, best, (count(*) over (partition by user_id, best order by ts, event_id) - 1)::bigint as patience from
+(select user_id, event_id, ts, value as loss, min(value) over (partition by user_id order by ts, event_id) as best from events)""")
+def best_so_far(spark, sf_dir):
+    return evaluate.best_so_far(table(spark, sf_dir, "events").withColumn("loss", F.col("value")), ["user_id"], ["ts", "event_id"], "loss").select("user_id", "event_id", "loss", "best", "patience")
+
+
+@query("""select user_id, event_id, n::bigint as n, total / n as running_mean from (select user_id, event_id, count(*) over w as n, sum(round(value * 100)::bigint) over w / 100.0::double as total from events window w as (partition by user_id order by ts, event_id rows unbounded preceding))""")
+def running_loss(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cents = F.round(F.col("value") * 100).cast("long")
+    df = table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), (F.sum(cents).over(w) / F.lit(100.0)).alias("total"))
+    return df.select("user_id", "event_id", "n", (F.col("total") / F.col("n")).alias("running_mean"))
+
+
+@query("select n_nationkey as epoch, 0.001::double / (1 + 0.01::double * n_nationkey) as rate from nation")
+def rate_decay(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("epoch"), evaluate.decayed_rate(0.001, 0.01, F.col("n_nationkey")).alias("rate"))
+
+
+@query("select count(*) as n, (count(*) // 64)::bigint as steps, 100.0::double * sum((o_orderkey % 5 <> 0)::int) / count(*) as train_percent from orders")
+def steps_per_epoch(spark, sf_dir):
+    df = pairs.hash_split(table(spark, sf_dir, "orders"), "o_orderkey")
+    return df.agg(F.count("*").alias("n"), F.expr("count(*) div 64").alias("steps"), (F.lit(100.0) * F.count_if("is_train") / F.count("*")).alias("train_percent"))
+
+
+@query("""select c_custkey, c_name as stripped, case when c_mktsegment = 'BUILDING' then null else c_mktsegment end as segment from customer""")
+def strip_and_missing(spark, sf_dir):
+    padded = F.concat(F.lit("　\t \x1c"), F.col("c_name"), F.lit(" \r\n"))
+    segment = text.na_compat(F.when(F.col("c_mktsegment") == "BUILDING", "nan").otherwise(F.col("c_mktsegment")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.strip_ws(padded).alias("stripped"), segment.alias("segment"))
+
+
+_PLAYER_PAGE = """<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"data":{"pageData":{"content":{"matchPlayers":{"teamPlayers":[{"players":[{"player":{"id":%s,"name":"%s","longName":"%s","indexName":"%s","gender":"M","countryTeamId":%s,"slug":"%s"}}]}]}}}}}}}</script></html>"""
+
+
+@query("select p_partkey as id, translate(lower(p_name), {dev}) as hindi_name, translate(lower(p_name), {dev}) as hindi_long_name, p_name as english_name, 'M' as gender, p_size::bigint as country_id, p_brand as slug from part where p_partkey % 3 <> 0")
+def players_extract(spark, sf_dir):
+    hindi = devanagari(F.col("p_name"))
+    page = F.format_string(_PLAYER_PAGE, F.col("p_partkey").cast("string"), hindi, hindi, F.col("p_name"), F.col("p_size").cast("string"), F.col("p_brand"))
+    pages = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 3 != 0, page).otherwise("<p>none</p>").alias("html"))
+    return extract.players(pages).drop("date_of_birth")
+
+
+@query("select n_nationkey::bigint as unique_id, 'Party of ' || n_name as party_name, n_name as name_english, translate(lower(n_name), {dev}) as name_hindi, 'Seat ' || n_regionkey as assembly_constituency, 'Uploaded' as application_uploaded, '4' || n_regionkey as age from nation")
+def candidate_fields(spark, sf_dir):
+    row = lambda *v: F.concat(F.lit('<div class="row"><div>label</div><div>'), *v, F.lit("</div></div>"))
+    para = lambda *v: row(F.lit("<div><p>"), *v, F.lit("</p></div>"))
+    bold = lambda *v: para(F.lit("<b>"), *v, F.lit("</b>"))
+    personal = lambda *v: F.concat(F.lit("<div><label>l</label><div><p>"), *v, F.lit("</p></div></div>"))
+    name, region, none = F.col("n_name"), F.col("n_regionkey").cast("string"), F.lit("-")
+    first = F.concat(row(F.lit("\n Party of "), name, F.lit("\n")), para(none), bold(name), bold(devanagari(name)), para(F.lit("Seat "), region), para(none), para(F.lit("Uploaded")), para(none))
+    second = F.concat(*[personal(none) for _ in range(6)], personal(F.lit("4"), region))
+    head = F.lit("<section>" + "<div>" * 4 + '<div class="card-body"><div><div><p>photo</p></div><div>')
+    mid = F.lit("</div>" * 7 + '</section><section><div><div class="row">' + "<div>" * 5 + "<form><div><div>")
+    html = F.concat(head, first, mid, second, F.lit("</div></div></form>" + "</div>" * 7 + "</section>"))
+    df = extract.candidates(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("unique_id"), html.alias("html")), "unique_id")
+    one = lambda c: F.array_join(c, ",").alias(c)
+    return df.select("unique_id", "party_name", "name_english", "name_hindi", "assembly_constituency", one("application_uploaded"), one("age"))
+
+
+@query("""select page_id, contains(html, 'rel="next"') as has_next, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::bigint as n_links, regexp_extract_all(html, 'href="([^"]*)"', 1)[1] as first_link from pages""")
+def page_links(spark, sf_dir):
+    found = extract.links(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", extract.has_next(F.col("html")).alias("has_next"), F.size(found).cast("long").alias("n_links"), extract.first_field(found).alias("first_link"))
+
+
+@query()
+def random_rows(spark, sf_dir):
+    return pairs.sample_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), 10)

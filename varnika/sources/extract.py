@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,74 @@ def first_field(values: Column) -> Column:
     from varnika.functions.text import strip_ws
 
     return strip_ws(F.try_element_at(values, F.lit(1)))
+
+
+#: Where a candidate's page keeps its rows, in the first and second section, and the row and place of each field.
+CARD, FORM = "div/div/div/div/div.card-body/div/div", "div/div.row/div/div/div/div/div/form/div/div#1/div"
+SCALARS = {"party_name": (0, "div#2"), "name_english": (2, "div#2/div/p/b"), "name_hindi": (3, "div#2/div/p/b"), "assembly_constituency": (4, "div#2/div/p"), "state": (5, "div#2/div/p")}
+LISTS = {"application_uploaded": (6, "div#2/div/p"), "current_status": (7, "div#2/div/p")}
+PERSONAL = {"fathers_or_husbands_name_english": (0, "div/p"), "fathers_or_husbands_name_hindi": (1, "div/p"), "name": (2, "div/p"), "address": (4, "div/p"), "age": (6, "div/p")}
+CANDIDATE = ", ".join([*(f"{c} string" for c in SCALARS), *(f"{c} array<string>" for c in [*LISTS, *PERSONAL])])
+
+
+class _Element:
+    def __init__(self, tag: str, name: str = ""):
+        self.tag, self.name, self.children, self.texts = tag, name, [], []
+
+
+class _Page(HTMLParser):
+    """A page as a tree of elements, each with its children and its own texts."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.root = _Element("")
+        self.open, self.found = [self.root], []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        new = _Element(tag, dict(attrs).get("class") or "")
+        self.open[-1].children.append(new)
+        self.found.append(new)
+        if tag not in self.VOID:
+            self.open.append(new)
+
+    def handle_endtag(self, tag):
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), 0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.open[-1].texts.append(data)
+
+
+def _reach(elements: list[_Element], path: str) -> list[_Element]:
+    """The elements at a path of child steps: tag, tag.class (the whole class attribute) or tag#n (the n-th such child)."""
+    for step in path.split("/"):
+        tag, _, name = step.partition(".")
+        tag, _, n = tag.partition("#")
+        among = [[c for c in e.children if c.tag == tag and name in ("", c.name)] for e in elements]
+        elements = [c for kids in among for c in (kids[int(n) - 1 : int(n)] if n else kids)]
+    return elements
+
+
+def candidate_fields(html: str) -> dict:
+    """The fields of a candidate's page; what it lacks is null, or an empty list."""
+    sections = [e for e in _Page(html).found if e.tag == "section"][:2]
+    cards = _reach(sections[:1], CARD)
+    rows = _reach(cards[1:2], "div"), _reach(sections[1:2], FORM)
+    texts = lambda k, row, path: [t for e in _reach(rows[k][row : row + 1], path) for t in e.texts]
+    scalars = {c: next((t.strip() for t in texts(0, *at)), None) for c, at in SCALARS.items()}
+    return scalars | {c: texts(0, *at) for c, at in LISTS.items()} | {c: texts(1, *at) for c, at in PERSONAL.items()}
+
+
+def candidates(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """One row of candidate fields for each landed page, with its key. HTML needs a parser, so this runs in Python over Arrow batches."""
+
+    @F.pandas_udf(CANDIDATE)
+    def fields(page: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([candidate_fields(x if isinstance(x, str) else "") for x in page], columns=[c.split()[0] for c in CANDIDATE.split(", ")])
+
+    return pages.select(key, fields(html).alias("_c")).select(key, "_c.*")
