@@ -113,6 +113,26 @@ def test_widely_copied_values_are_examples(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 1}
 
 
+def test_opaque_spans_apart_from_base_spans(spark):
+    """Against all pairs, on random spans: base spans overlap each other, opaque ones don't."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in [60] * 300 + [6000] * 10:
+        base = sorted((int(s), int(k), int(s + rng.integers(1, 12)), "b") for s, k in zip(rng.integers(0, size, rng.integers(0, 6 * size // 60)), rng.integers(0, 3, size), strict=False))
+        cuts = np.sort(rng.choice(size, 2 * rng.integers(0, 5 * size // 60), replace=False)).tolist()
+        rows.append((base, [(s, 3, e, "o") for s, e in zip(cuts[::2], cuts[1::2], strict=True)]))
+    df = spark.createDataFrame(rows, f"base array<{secrets.SPAN}>, opaque array<{secrets.SPAN}>")
+    for r in df.select("base", "opaque", secrets._apart(F.col("base"), F.col("opaque")).alias("free")).collect():
+        assert r.free == [o for o in r.opaque if not any(b.s < o.e and o.s < b.e for b in r.base)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_running_sums(spark, n):
+    values = np.random.default_rng(n).integers(0, 9, n).tolist()
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    assert df.select(secrets._running(F.col("v")).alias("r")).first().r == np.cumsum(values).tolist()
+
+
 def test_tokens():
     plain = Tokenizer.from_file(PATH)
     texts = ["The cat's DOG, the.", "Éléphant naïve ΣΑΣ İstanbul ﬁn", "á 가 x y  z\t\n1234 don't...", "", " ", "日本語 <|endoftext|> ok!", *[r[1] for r in ROWS if r[1]]]

@@ -20,10 +20,27 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: Elements of a block in running sums and greatest values.
+BLOCK = 128
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 SPAN = "struct<s:int,k:int,e:int,v:string>"
 
 
+def _running(values: Column) -> Column:
+    """The sums of an array of integers up to and with each element: blocks first, then within a block.
+
+    An aggregate that grows an array would copy all of it, deeply, at each step.
+    """
+    add = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)
+
+    def sums(c: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / BLOCK).cast("int")), lambda b: add(F.slice(c, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(totals, lambda t: F.transform(t, lambda _, b: add(F.slice(t, F.lit(1), b))))
+        return let(before, lambda t: F.transform(c, lambda _, i: F.get(t, F.floor(i / BLOCK).cast("int")) + add(F.slice(c, i - i % BLOCK + 1, i % BLOCK + 1))))
+
+    return let(values, sums)
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """The leftmost non-overlapping matches as (start, kind, end, value), in code points.
 
@@ -31,15 +48,9 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
     """
 
     def places(x: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(x["gap"], i))
-            end = start + F.length(F.get(x["hit"], i))
-            one = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), F.get(x["value"], i).alias("v"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hit"]) - 1), zero, step, lambda a: a["out"])
+        steps = F.transform(x["hit"], lambda h, i: F.length(F.get(x["gap"], i)) + F.length(h))
+        span = lambda h, i, ends: F.struct((F.get(ends, i) - F.length(h)).alias("s"), F.lit(kind).alias("k"), F.get(ends, i).alias("e"), F.get(x["value"], i).alias("v"))
+        return let(_running(steps), lambda ends: F.transform(x["hit"], lambda h, i: span(h, i, ends)))
 
     p = F.lit(pattern)
     found = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
@@ -47,14 +58,38 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
     return F.when(text.rlike(pattern), some).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _apart(base: Column, opaque: Column) -> Column:
+    """The opaque spans that no base span overlaps. Both come by start, and opaque spans don't overlap each other, so one sweep tells.
+
+    A base span that starts earlier reaches into an opaque one if the greatest end so far does; one that starts within it is the next in order.
+    """
+    tagged = lambda spans, tag: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(tag).alias("tag"), x["e"].alias("e"), x["k"].alias("k"), x["v"].alias("v")))
+
+    def sweep(m: Column) -> Column:
+        ends = F.transform(m, lambda x: F.when(x["tag"] == 0, x["e"]).otherwise(0))
+        tops = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(c, b * BLOCK + 1, F.lit(BLOCK))))
+
+        def free(c: Column, t: Column) -> Column:
+            def apart(x: Column, i: Column) -> Column:
+                after = F.get(m, i + 1)
+                earlier = F.greatest(F.array_max(F.slice(t, F.lit(1), F.floor(i / BLOCK).cast("int"))), F.array_max(F.slice(c, i - i % BLOCK + 1, i % BLOCK)), F.lit(0))
+                return (x["tag"] == 1) & (x["s"] >= earlier) & ~F.coalesce((after["tag"] == 0) & (after["s"] < x["e"]), F.lit(False))
+
+            return F.filter(m, apart)
+
+        found = let(ends, lambda c: let(tops(c), lambda t: free(c, t)))
+        return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v")))
+
+    return F.when(F.size(opaque) > 0, let(F.array_sort(F.concat(tagged(base, 0), tagged(opaque, 1))), sweep)).otherwise(opaque)
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `_base` and `_opaque`: arrays of (s, k, e, v) by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*[_spans(t, p, k, g, n) for k, (_, p, g, n) in enumerate(KINDS)]))
     mixed = lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Z]") & x["v"].rlike("[a-z]")
     df = docs.withColumns({"_base": base, "_opaque": F.filter(_spans(t, OPAQUE, len(KINDS), 0, 24), mixed)})
-    apart = lambda b: F.filter("_opaque", lambda o: ~F.exists(b, lambda x: (x["s"] < o["e"]) & (o["s"] < x["e"])))
-    return df.withColumn("_opaque", F.when(F.size("_opaque") > 0, apart(F.col("_base"))).otherwise(F.col("_opaque")))
+    return df.withColumn("_opaque", _apart(F.col("_base"), F.col("_opaque")))
 
 
 def ownership(found: DataFrame, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
