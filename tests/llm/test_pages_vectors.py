@@ -168,6 +168,17 @@ def test_vectors(spark, leaf):
     assert {i: c for i, c in of.items() if i is not None} == {i: c for i, c in component.items() if i is not None}
 
 
+def test_hot_groups_keep_their_links(spark):
+    """A third of a label in one group of near copies, among unrelated vectors; many levels of cuts."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(unit(rng.normal(size=(1, 64))) + unit(rng.normal(size=(500, 64))) * np.sqrt(1 / 0.985 - 1))
+    x = np.concatenate([group, unit(rng.normal(size=(1000, 64)))])
+    got = embeddings.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), leaf=48).collect()
+    there = int((x @ x.T >= 0.98).sum()) - len(x)
+    assert there > 10_000 and 0.999 * there <= sum(r.n_links for r in got) <= there
+
+
 def test_leaves_that_cannot_be_split(spark):
     """Vectors that all project alike are compared in pairs of chunks."""
     rows = [(i, [1.0 + i * 1e-16 * 3, 1.0 + (i % 7) * 3e-16], 0) for i in range(40)]

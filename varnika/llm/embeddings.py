@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a random-projection tree forest.
 
 Equal vectors of a label form a class first. In each tree, a node of too many classes is split at quantiles of random projections
-(fitted on a bounded sample of the node); both sides keep what lies between the two quantiles around the median (spill). Only
+(fitted on a bounded sample of the node); both sides keep what lies between the two quantiles around the median (spill). A cut is never
+narrower than linked vectors project apart, so it goes beside dense groups, and a part that it wouldn't make smaller stays whole. Only
 classes of one leaf are compared, in double precision. A pair that meets in several leaves counts in the one of lowest id, so links are
 counted without ever listing them; each leaf gives the edges of a spanning forest of its links, which are then unified.
 """
@@ -20,6 +21,9 @@ from .common import drop, keep
 from .components import connected_components
 
 TREES, LEAF, SPILL, SAMPLE = 12, 1024, 0.05, 4096
+#: Width of a cut, in distances of the farthest linked unit vectors: at 1.25, a cut parts few of the links that it meets. Share of a
+#: part's pairs that both sides together may keep.
+REACH, WORTH = 1.25, 0.85
 ROWS = "tree int, node long, cid long, cnt long, vec array<double>"
 
 
@@ -41,20 +45,32 @@ def _child(node: int, path: int) -> int:
     return (x ^ (x >> 31)) >> 1
 
 
-def fit(sample: np.ndarray, directions: np.ndarray, spill: float, tight: float) -> np.ndarray:
-    """Cuts (lo, hi) of each inner node, in heap order: the quantiles 0.5 - spill and 0.5 + spill of its part of the sample.
+def cut(p: np.ndarray, spill: float, reach: float) -> tuple[float, float]:
+    """(lo, hi) between the sides of a part with projections p, or (inf, inf) if it stays whole (all go left).
 
-    A part whose cosines with its mean are all at least `tight` is one group of near copies: it stays whole (all go left).
+    The quantiles 0.5 - spill and 0.5 + spill, if `reach` apart. Where rows are denser, those would part many links: there the cut is
+    `reach` wide and lies where the sides have the fewest pairs, and none is made that leaves over WORTH of the pairs.
     """
+    lo, hi = np.quantile(p, [0.5 - spill, 0.5 + spill])
+    if hi - lo >= reach:
+        return lo, hi
+    p = np.sort(p)
+    lo = np.quantile(p, np.linspace(0, 1, 101)) - reach / 2
+    left, right = np.searchsorted(p, lo + reach, "right") / len(p), 1 - np.searchsorted(p, lo, "right") / len(p)
+    pairs = left * left + right * right
+    best = int(pairs.argmin())
+    return (lo[best], lo[best] + reach) if pairs[best] <= WORTH else (np.inf, np.inf)
+
+
+def fit(sample: np.ndarray, directions: np.ndarray, spill: float, reach: float) -> np.ndarray:
+    """Cuts (lo, hi) of each inner node, in heap order."""
     depth = directions.shape[1]
     cuts, parts = np.zeros((2**depth - 1, 2)), {0: np.arange(len(sample))}
     for level in range(depth):
         p = sample @ directions[:, level]
         for k in range(2**level - 1, 2 ** (level + 1) - 1):
             mine = parts.pop(k)
-            mean = sample[mine].sum(axis=0)
-            whole = len(mine) and (sample[mine] @ mean).min() >= tight * np.sqrt(mean @ mean)
-            lo, hi = (np.inf, np.inf) if whole else np.quantile(p[mine], [0.5 - spill, 0.5 + spill]) if len(mine) else (0.0, 0.0)
+            lo, hi = cut(p[mine], spill, reach) if len(mine) else (np.inf, np.inf)
             cuts[k] = lo, hi
             parts[2 * k + 1], parts[2 * k + 2] = mine[p[mine] <= hi], mine[p[mine] > lo]
     return cuts
@@ -71,7 +87,7 @@ def route(units: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> list[t
     return [(k, rows) for k, rows in parts.items() if len(rows)]
 
 
-def _split(rows: DataFrame, sizes: DataFrame, leaf: int, tight: float) -> DataFrame:
+def _split(rows: DataFrame, sizes: DataFrame, leaf: int, reach: float) -> DataFrame:
     """rows with each node of over `leaf` rows replaced by the leaves of a tree fitted on about SAMPLE of its rows."""
     big = keep(sizes.filter(F.col("n") > leaf).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "n"), "big")
     same = (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n"))
@@ -82,7 +98,7 @@ def _split(rows: DataFrame, sizes: DataFrame, leaf: int, tight: float) -> DataFr
         tree, node, n = (int(x[c].iloc[0]) for c in ("tree", "node", "n"))
         depth = max(1, min(math.ceil(math.log(n / (0.7 * leaf)) / math.log(1 / (0.5 + SPILL))), int(math.log2(max(2, len(x) / 16)))))
         units = _units(x["vec"])
-        cuts = fit(units, _directions(tree, node, depth, units.shape[1]), SPILL, tight)
+        cuts = fit(units, _directions(tree, node, depth, units.shape[1]), SPILL, reach)
         return pd.DataFrame({"_t": [tree], "_n": [node], "depth": [depth], "cuts": [cuts.ravel()]})
 
     models = keep(sample.groupBy("tree", "node").applyInPandas(fitted, "_t int, _n long, depth int, cuts array<double>"), "models")
@@ -145,7 +161,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
 
     Rows are compared if their labels are equal and not null. Null or zero vectors, and those with a null or non-finite component, link with
     nothing, as do rows of null key, whose component is null. Vectors of unlike length under one label are not compared. Equal
-    rows link with each other. Groups of near copies are not split, and leaves above the limit are compared in pairs of chunks, so none
+    rows link with each other. Groups of near copies are hardly ever split, and leaves above the limit are compared in pairs of chunks, so none
     is cut short. An empty table gives an empty result.
     """
     v = F.col(vector).cast("array<double>")
@@ -162,7 +178,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
         large = sizes.filter(F.col("n") > leaf).agg(F.sum("n")).first()[0] or 0
         if not large or before is not None and large > 0.9 * before:
             break
-        before, old, state = large, state, keep(_split(state, sizes, leaf, math.cos(math.acos(least) / 2)), "forest")
+        before, old, state = large, state, keep(_split(state, sizes, leaf, REACH * math.sqrt(max(0.0, 2 - 2 * least))), "forest")
         drop(old)
     mark = F.xxhash64("tree", "node").alias("node")
     state = state.select(mark, "cid", "cnt", "vec")
