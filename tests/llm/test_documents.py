@@ -180,6 +180,20 @@ def test_language(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_text_without_spaces_counts_whole(spark):
+    rng = np.random.default_rng(4)
+    runs = lambda lang, n: "".join(chr(0x4E00 + 0x1000 * lang + i) for i in rng.integers(0, 60, n))
+    model = langid.train([("ab"[k], [runs(k, 8) for _ in range(24)]) for k in (0, 1) for _ in range(40)])
+    (lang, score), mixed = model.predict([runs(1, 4) + runs(0, 400) + runs(1, 4), runs(0, 400) + runs(1, 1200)])
+    assert lang == "a" and score > 0.9 and mixed[0] == "b" and 0.7 < mixed[1] < 0.8
+    text = runs(0, 2999) + "x"
+    windows = langid.sample(spark.createDataFrame([(0, text, "a")], "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert len(windows) == langid.WINDOWS and any(w[-1].endswith("x") for _, w in windows) and any(text.startswith("".join(w)) for _, w in windows)
+    assert all(len(w) == langid.WINDOW_WORDS and max(len(x.encode()) for x in w) <= langid.WIDTH for _, w in windows)
+    for token in ("ab", "中" * 8, "中" * 9 + "é" * 31, "x" * 1001):
+        assert "".join(langid.parts(token)) == token and max(len(x.encode()) for x in langid.parts(token)) <= langid.WIDTH
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     e, start, trans = rng.normal(size=(1, 4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))

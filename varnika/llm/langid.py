@@ -4,6 +4,7 @@ Each word scores each language by hashed features: prefixes, suffixes, byte n-gr
 lexicon of frequent training words. Transitions between the languages of neighbouring words are learned with the feature weights, by
 gradient steps on the conditional likelihood, from training texts spliced into code-switched sequences. Forward-backward
 gives each word's language distribution; a text's language is the one with the greatest expected number of words.
+Words of over `WIDTH` bytes, as in text without spaces, count as several: parts of at most so many bytes, cut between characters.
 Texts are chained in runs of `CHAIN` words, so all words of a text count and memory stays bounded.
 """
 
@@ -32,22 +33,38 @@ def plain(token: str) -> str:
     return token[at[0] : at[-1] + 1].lower() if at else ""
 
 
+def parts(token: str) -> list[str]:
+    """The plain token as words of at most WIDTH bytes and nearly equal length; none if it has no letter. Parts without one are left out."""
+    word = plain(token)
+    raw = word.encode("utf-8", "surrogatepass")
+    if len(raw) <= WIDTH:
+        return [word] if word else []
+    out, at = [], 0
+    while at < len(raw):
+        left = len(raw) - at
+        end = at - -left // -(-left // WIDTH)
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[at:end].decode("utf-8", "surrogatepass"))
+        at = end
+    return [w for w in out if any(map(str.isalpha, w))]
+
+
 def word_hash(words: list[str]) -> np.ndarray:
     out = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
         h = 1469598103934665603
-        for b in w.encode("utf-8", "surrogatepass")[:64]:
+        for b in w.encode("utf-8", "surrogatepass"):
             h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
         out[i] = h
     return out
 
 
 def features(words: list[str], lexicon: np.ndarray) -> np.ndarray:
-    """Feature indices of each word, one row each; 2**BITS stands for none."""
+    """Feature indices of each word of at most WIDTH bytes, one row each; 2**BITS stands for none."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    n = np.array([min(len(b), WIDTH) for b in raw])
-    cut = [b if len(b) <= WIDTH else b[: WIDTH // 2] + b[-WIDTH // 2 :] for b in raw]
-    data = np.frombuffer(b"".join(b"\x02" + b.ljust(WIDTH + 1, b"\0") for b in cut), np.uint8).reshape(len(words), WIDTH + 2).astype(np.uint64)
+    n = np.array([len(b) for b in raw])
+    data = np.frombuffer(b"".join(b"\x02" + b.ljust(WIDTH + 1, b"\0") for b in raw), np.uint8).reshape(len(words), WIDTH + 2).astype(np.uint64)
     data[np.arange(len(words)), n + 1] = 3
     none, columns = 1 << BITS, []
 
@@ -110,25 +127,24 @@ class Model:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.first = np.zeros(1, np.int64)  # of each token in place, its first word in known, and the end
         self.known = np.zeros((1 << 12, len(self.labels)), np.float32)
         self.count = 0
 
     def _learn(self, tokens: list[str]) -> None:
-        for i in range(0, len(tokens), 20_000):
-            part = tokens[i : i + 20_000]
-            words = [plain(t) for t in part]
-            some = [w for w in words if w]
-            f = features(some, self.lexicon) if some else None
-            while self.count + len(some) > len(self.known):
-                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-            if some:
-                self.known[self.count : self.count + len(some)] = self.weights[f].sum(axis=1)
-            for t, w in zip(part, words, strict=True):
-                if w:
-                    self.place[t] = self.count
-                    self.count += 1
-                else:
-                    self.place[t] = -1
+        words: list[str] = []
+        ends = []
+        for t in tokens:
+            words += parts(t)
+            ends.append(self.count + len(words))
+            self.place[t] = len(self.place)
+        self.first = np.concatenate([self.first, np.array(ends, np.int64)])
+        while self.count + len(words) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            self.known[self.count : self.count + len(some)] = self.weights[features(some, self.lexicon)].sum(axis=1)
+            self.count += len(some)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, share of the expected words) of each text; `und` and 0 without a letter."""
@@ -143,7 +159,9 @@ class Model:
         get = self.place.__getitem__
         at = np.fromiter((x for tokens in cut for x in map(get, tokens)), np.int64)
         doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-        at, doc = at[at >= 0], doc[at >= 0]
+        first, many = self.first[at], self.first[at + 1] - self.first[at]
+        at = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        doc = np.repeat(doc, many)
         size = np.bincount(doc, minlength=len(cut))
         chains = -(-size // CHAIN)
         k = len(self.labels)
@@ -164,7 +182,7 @@ class Model:
 
 
 def train(windows: list[tuple[str, list[str]]], steps: int = 40, rate: float = 0.5, seed: int = 6, least: int = 5) -> Model:
-    """Fit on (language, words) windows, spliced at random into chains in which the language may change from window to window."""
+    """Fit on (language, words) windows, the words as parts() gives them, spliced at random into chains in which the language may change from window to window."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in windows})
     k = len(labels)
@@ -173,7 +191,7 @@ def train(windows: list[tuple[str, list[str]]], steps: int = 40, rate: float = 0
     seen: list[int] = []
     coded = []
     for lang, tokens in windows:
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in map(plain, tokens) if w]
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in tokens]
         seen += ids
         if ids:
             coded.append((index[lang], ids))
@@ -231,11 +249,11 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int = DOCS
         for b in batches:
             out = []
             for lang_, t in zip(b["lang"], b["text"], strict=True):
-                tokens = t.split()
+                tokens = [w for token in t.split() for w in parts(token)]
                 for i in range(WINDOWS):
                     at = max(0, len(tokens) - WINDOW_WORDS) * i // (WINDOWS - 1)
                     if i == 0 or len(tokens) > WINDOW_WORDS:
-                        out.append((lang_, " ".join(tokens[at : at + WINDOW_WORDS])[: 40 * WINDOW_WORDS]))
+                        out.append((lang_, " ".join(tokens[at : at + WINDOW_WORDS])))
             yield pd.DataFrame(out, columns=["lang", "words"])
 
     # one row per sampled document: at most per_lang for each language
