@@ -289,6 +289,25 @@ def test_targets_and_taken(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_tiny_sources_come_near_their_targets(spark):
+    """Two large sources, and sources of 1 to 600 words in documents of at most 50."""
+    sizes = {"a": 40_000, "b": 40_000} | {f"s{n:03}": n for n in (1, 2, 30, 63, 64, 127, 128, 129, 150, 191, 257, 600)}
+    rows = [(i, " ".join(["w"] * min(50, n - i)), s) for s, n in sizes.items() for i in range(0, n, 50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"]).collect()
+    taken, target, blocks = {}, {}, {}
+    for r in got:
+        target[r.source] = r.target
+        taken[r.source] = taken.get(r.source, 0) + sum(x.words for x in r.taken)
+        for x in r.taken:
+            at = blocks.setdefault((r.source, x.block, x.epoch), [])
+            at += range(r["first"] + x["from"], r["first"] + x["from"] + x.words)
+    for s, n in sizes.items():
+        of = -(-n // 128)
+        mine = {k[1:]: sorted(v) for k, v in blocks.items() if k[0] == s}
+        assert all(v == list(range(v[0], v[-1] + 1)) and len(v) in (n // of, -(-n // of)) for v in mine.values())
+        assert taken[s] > 0 and abs(taken[s] - target[s]) <= (1 if target[s] == 2 * n else len(v := next(iter(mine.values()))) / 2 + 1 + of), (s, taken[s], target[s])
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 61, 100, 1000])
 def test_permutation(spark, n):
     df = spark.range(n).select(F.col("id"), F.lit(n).cast("long").alias("n"))

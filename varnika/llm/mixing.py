@@ -1,7 +1,7 @@
-"""Mixing sources to target weights by fixed-length blocks of words.
+"""Mixing sources to target weights by blocks of words.
 
-The words of a source, in the order of its documents, are cut into blocks of `block` words. Each source gets a number of
-slots from its target; output shards share them by multinomial draws. Slot i of a source holds the block that a
+The words of a source, in the order of its documents, are cut into the least number of blocks of at most `block` words, whose lengths
+differ by one at most. Each source with a target gets a number of slots from it, at least one; output shards share them by multinomial draws. Slot i of a source holds the block that a
 pseudorandom permutation of its block indices (one per source and epoch) puts there. So whether and where a block stands in the
 mix follows from its own index, and no list of slots is ever made. All work is done by DataFrame functions.
 """
@@ -99,7 +99,9 @@ def plan(sizes: DataFrame, block: int, shards: int, seed: int, **how) -> DataFra
     """targets() with n_blocks, n_slots and `bounds`: the first slot of each shard and the end. One row per source."""
     df = targets(sizes, **how)
     df = df.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-    df = df.withColumn("n_slots", F.least(F.round(F.col("target") / F.lit(block)).cast("long"), F.floor(F.lit(how.get("most", 2.0)) * F.col("n_blocks")).cast("long")))
+    length = F.col("source_size") / F.greatest("n_blocks", F.lit(1))  # mean words of a block
+    few = F.least(F.round(F.col("target") / length).cast("long"), F.floor(F.lit(how.get("most", 2.0)) * F.col("n_blocks")).cast("long"))
+    df = df.withColumn("n_slots", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.greatest(few, F.lit(1))).otherwise(0).cast("long"))
     df = df.withColumn("_draws", draws(F.col("n_slots"), shards, F.coalesce("source", F.lit("\0")), F.lit(seed)))
     add = F.aggregate("_draws", F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     df = df.withColumn("keys", keys_of(F.col("n_blocks"), _epochs(how.get("most", 2.0)), F.coalesce("source", F.lit("\0")), F.lit(seed)))
@@ -123,14 +125,22 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     rows = prefix_sum(rows, ["source"], ["_key", "_hash"], "size", "first", rows.count())
     rows = rows.join(plans.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     n, slots = F.col("n_blocks"), F.col("n_slots")
+    longer = F.col("source_size") % n  # so many blocks, the first ones, have a word more than the others
+    length = ((F.col("source_size") - longer) / n).cast("long")
+    start = lambda b: b * length + F.least(b, longer)
+
+    def holder(word: Column) -> Column:
+        """The block that holds this word of the source."""
+        after = word - longer * (length + 1)
+        return F.when(after < 0, (word - word % (length + 1)) / (length + 1)).otherwise(longer + (after - after % length) / length).cast("long")
 
     def part(b: Column, slot: Column, epoch: int) -> Column:
-        begin = F.greatest(b * block, F.col("first"))
-        end = F.least((b + 1) * block, F.col("first") + F.col("size"))
+        begin = F.greatest(start(b), F.col("first"))
+        end = F.least(start(b + 1), F.col("first") + F.col("size"))
         shard = F.size(F.filter("bounds", lambda x: x <= slot)) - 1
         return F.struct(b.alias("block"), (begin - F.col("first")).alias("from"), (end - begin).alias("words"), F.lit(epoch).alias("epoch"), slot.alias("slot"), shard.alias("shard"))
 
-    span = F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))
+    span = F.sequence(holder(F.col("first")), holder(F.col("first") + F.col("size") - 1))
     placed = lambda e: F.transform(span, lambda b: F.struct(b.alias("b"), (n * e + permuted(b, n, F.get("keys", F.lit(e)))).alias("slot")))
     held = lambda e: F.transform(F.filter(placed(e), lambda x: x["slot"] < slots), lambda x: part(x["b"], x["slot"], e))
     parts = F.concat(*[held(e) for e in range(_epochs(most))])
