@@ -113,6 +113,16 @@ def test_widely_copied_values_are_examples(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 1}
 
 
+def test_owners_decide_and_opaque_examples_are_masked(spark):
+    one, many = "Ab3" * 9, "Xy7" * 9
+    rows = [(i, f"text {i} {one} end", "s0") for i in range(14)] + [(20 + i, f"text {i} {many} end", f"s{i}") for i in range(4)] + [(30 + i, f"text {i} password=sharedbytwo12", f"s{i % 2}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(df).withColumn("clean", secrets.redacted(F.col("text"), F.col("_spans"))).collect()}
+    assert all(got[i].clean == f"text {i} [SECRET] end" for i in range(14))
+    assert all(got[20 + i].clean == f"text {i} [EXAMPLE] end" and [x.live for x in got[20 + i]["_spans"]] == [False] for i in range(4))
+    assert all([x.live for x in got[30 + i]["_spans"]] == [False] for i in range(12))
+
+
 def test_opaque_spans_apart_from_base_spans(spark):
     """Against all pairs, on random spans: base spans overlap each other, opaque ones don't."""
     rng = np.random.default_rng(2)

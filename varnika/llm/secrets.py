@@ -1,10 +1,10 @@
 """Secret scans: patterns find candidates, and the corpus tells live credentials from widely copied examples.
 
 Each candidate value is hashed, and its hash is aggregated over all documents by distinct repositories (equal texts are
-copies of one repository) and distinct owners (`source`). A value held by more than `max_owners` owners or
-`max_repos` repositories is an example that is copied around; any other is owner-specific and looks live. The base kinds
-(assign, access, hex) stay in either case; the method adds spans of kind `opaque` (long tokens of mixed case with digits)
-where the value is owner-specific and no base span touches it. All work is done by DataFrame functions.
+copies of one repository) and distinct owners (`source`). A value held by more than `max_owners` owners, or by several owners and
+more than `max_repos` repositories, is an example that is copied around; any other is owner-specific and looks live, however often
+its one owner repeats it. Besides the base kinds (assign, access, hex), the method adds spans of kind `opaque` (long tokens of mixed
+case with digits) that no base span touches. Spans of all kinds stay in either case. All work is done by DataFrame functions.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def ownership(found: DataFrame, max_owners: int = 2, max_repos: int = 10) -> Dat
     owners = found.select("h", "owner").distinct().groupBy("h").agg(F.count("*").alias("n_owners"))
     repos = found.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n_repos"))
     df = owners.join(repos, "h")
-    return df.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    return df.withColumn("live", (F.col("n_owners") <= max_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= max_repos)))
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list
     some = rows.filter(F.col("_repo").isNotNull())
     each = keep(some.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "x.s", "x.k", "x.e", F.sha2("x.v", 256).alias("h")), "secrets")
     verdict = keep(ownership(each, max_owners, max_repos), "owners").select("h", "live")
-    judged = each.join(verdict, "h").filter((F.col("k") < len(KINDS)) | F.col("live"))
+    judged = each.join(verdict, "h")
     by_row = judged.groupBy(F.col("_rid").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("_spans"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,live:boolean>>")
     joined = some.join(by_row, F.col("_rid") == F.col("_of"), "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
