@@ -179,6 +179,15 @@ def test_hot_groups_keep_their_links(spark):
     assert there > 10_000 and 0.999 * there <= sum(r.n_links for r in got) <= there
 
 
+def test_nodes_of_the_last_round_are_compared(spark, monkeypatch):
+    """Each split renames all nodes and leaves out some trees, so that all rounds run."""
+    rounds = iter((10, 8, 6, 4, 3, 2))
+    monkeypatch.setattr(embeddings, "_split", lambda rows, *_: rows.filter(F.col("tree") < next(rounds)).withColumn("node", F.shiftrightunsigned(F.xxhash64("node"), 1)))
+    df = spark.createDataFrame([(i, [1.0, i * 1e-4], 0) for i in range(30)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.linked(df, leaf=8).collect()
+    assert len(got) == 30 and all(r.n_links == 29 and r.component_id == 0 for r in got)
+
+
 def test_leaves_that_cannot_be_split(spark):
     """Vectors that all project alike are compared in pairs of chunks."""
     rows = [(i, [1.0 + i * 1e-16 * 3, 1.0 + (i % 7) * 3e-16], 0) for i in range(40)]

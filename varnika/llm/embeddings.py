@@ -24,6 +24,8 @@ TREES, LEAF, SPILL, SAMPLE = 12, 1024, 0.05, 4096
 #: Width of a cut, in distances of the farthest linked unit vectors: at 1.25, a cut parts few of the links that it meets. Share of a
 #: part's pairs that both sides together may keep.
 REACH, WORTH = 1.25, 0.85
+#: Splits of the forest; what is above a leaf after them is compared in pairs of chunks.
+ROUNDS = 6
 ROWS = "tree int, node long, cid long, cnt long, vec array<double>"
 
 
@@ -173,10 +175,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     root = F.shiftrightunsigned(F.xxhash64(F.col("label").cast("string"), F.size("vec")), 1)
     state = keep(classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), root.alias("node"), "cid", "cnt", "vec"), "forest")
     before = None
-    for _ in range(6):
+    for left in reversed(range(ROUNDS + 1)):  # the sizes are always those of the last state
         sizes = keep(state.groupBy("tree", "node").agg(F.count("*").alias("n")), "sizes")
         large = sizes.filter(F.col("n") > leaf).agg(F.sum("n")).first()[0] or 0
-        if not large or before is not None and large > 0.9 * before:
+        if not left or not large or before is not None and large > 0.9 * before:
             break
         before, old, state = large, state, keep(_split(state, sizes, leaf, REACH * math.sqrt(max(0.0, 2 - 2 * least))), "forest")
         drop(old)
