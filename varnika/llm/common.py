@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,11 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all machines share, from spark.checkpoint.dir. Without it there is none: a temporary folder is one machine's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='varnika-')}"
+    if not found and spark.sparkContext.master.startswith("local["):
+        import tempfile
+
+        found = f"file://{tempfile.mkdtemp(prefix='varnika-')}"  # driver and executors are one process, as in tests
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found.rstrip("/")
 
 
@@ -76,15 +80,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str | None, out: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str | None, out: str, rows: int, per_bucket: int | None = None) -> DataFrame:
     """Add out: the sum of value (None: the count) over the rows before each row, separately for each combination of keys.
 
-    Rows are dealt into hash buckets of about per_bucket rows by the order columns, summed within their
+    Rows are dealt into hash buckets of about per_bucket rows (default: the square root of rows, so that buckets and totals grow
+    alike; 1,000 at least) by the order columns, summed within their
     bucket, and moved up by the totals of the buckets before theirs. No key, however frequent, meets in one task;
     only one row per key and bucket does. The order is by bucket and then by the order columns: the same on each
     run. Rows with equal order columns must be interchangeable. df should be cheap to read twice (see keep()).
     """
-    buckets = max(1, -(-rows // per_bucket))
+    buckets = max(1, -(-rows // (per_bucket or max(1_000, math.isqrt(rows)))))
     amount = F.lit(1).cast("long") if value is None else F.coalesce(F.col(value), F.lit(0)).cast("long")
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(17), *order), F.lit(buckets)).cast("int")).withColumn("_amount", amount)
     dealt = [*keys, "_bucket"]
@@ -102,15 +107,17 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str | No
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int):
-    """While this holds, Python functions get at most so many rows at once. Jobs must run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def arrow_batches(spark: SparkSession, rows: int, size: str = "4m"):
+    """While this holds, Python functions get at most so many rows and about so many bytes at once (one row at least). Jobs must run inside."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def filesystem(uri: str):

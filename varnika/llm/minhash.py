@@ -3,7 +3,7 @@
 Documents with equal shingle sets form a class first, so copies never meet each other. Each class has `bands` keys of `rows`
 minima. Round one checks each class against the smallest class with which it shares a key, and joins what is confirmed
 into components. Round two goes, within each key that still holds several components, through the pairs across components, in
-blocks of bounded size and without listing them, so every candidate pair is either confirmed, refuted or already joined. A pair that
+blocks of a bounded number of classes and shingles and without listing them, so every candidate pair is either confirmed, refuted or already joined. A pair that
 shares several keys counts in the first. A check first compares 8-bit signatures, then the full sets.
 """
 
@@ -21,8 +21,10 @@ from .common import arrow_batches, keep
 from .components import connected_components
 
 MASK = (1 << 64) - 1
-#: Classes of one key are compared in blocks of up to twice so many.
-CHUNK = 512
+#: Classes of one key are compared in blocks of up to twice so many, and of up to twice about so many shingles, but for a single class of more.
+CHUNK, SHINGLES = 512, 200_000
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 18
 ROWS = "band long, pos int, i int, j int, chunk int, node long, c long, n long, sig binary, bands array<long>"
 #: A list of ids of up to this many rows (8 bytes each) may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -41,49 +43,72 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """The sorted 48-bit hashes of each text's distinct word shingles.
-
-    A-Z are lower-cased; ASCII white space separates words. Fewer words than `size` are one shingle; none, or null, give an empty set.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    if not len(data):
-        return [np.zeros(0, np.uint64) for _ in texts]
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of some bytes."""
     space = _space[data]
     before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
+    before[:1], before[1:] = True, space[:-1]
     starts = np.flatnonzero(~space & before)
     if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    ends = np.flatnonzero(space & ~before)
-    long = int((ends - starts).max()) + 1
-    power = np.cumprod(np.full(long, 0x9E3779B97F4A7C15 | 1, np.uint64))
+        return np.zeros(0, np.uint64), starts
+    after = np.empty_like(space)
+    after[-1:], after[:-1] = True, space[1:]
+    length = np.flatnonzero(~space & after) + 1 - starts
     letters = np.flatnonzero(~space)
-    length = ends - starts
     first = np.cumsum(length) - length
     offset = np.arange(len(letters)) - np.repeat(first, length)
+    power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15 | 1, np.uint64))
     value = (data[letters].astype(np.uint64) + np.uint64(1)) * power[offset]
-    word = _mixed(np.add.reduceat(value, first) + length.astype(np.uint64))
-    doc_ends = np.cumsum([len(r) + 1 for r in raw])
-    upto = np.searchsorted(starts, doc_ends)
-    k = _odd(size + 1, 41)
-    n = max(0, len(word) - size + 1)
-    gram = np.zeros(n, np.uint64)
-    for j in range(size):
-        gram += word[j : j + n] * k[j]
-    gram = _mixed(gram) >> np.uint64(16)
-    out, at = [], 0
-    for end in upto:
-        if end - at >= size:
-            out.append(np.unique(gram[at : end - size + 1]))
-        elif end > at:
-            short = (word[at:end] * k[: end - at]).sum(keepdims=True, dtype=np.uint64) + k[size:] * np.uint64(end - at)
-            out.append(_mixed(short) >> np.uint64(16))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    return _mixed(np.add.reduceat(value, first) + length.astype(np.uint64)), starts
+
+
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, bytes) of consecutive parts of about PIECE bytes, cut at white space; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data):
+            gap = np.flatnonzero(_space[data[end : end + PIECE]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += PIECE
+        yield at, data[at:end]
         at = end
-    return out
+
+
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct word shingles.
+
+    A-Z are lower-cased; ASCII white space separates words. Fewer words than `size` are one shingle; none, or null, give an empty set.
+    Texts are cut into words a few hundred kilobytes at a time, however long they are.
+    """
+    k = _odd(size + 1, 41)
+    low = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    i = 0
+    while i < len(low):
+        j, total = i, 0
+        while j < len(low) and (j == i or total + len(low[j]) < PIECE):
+            total += len(low[j]) + 1
+            j += 1
+        found = [(h, s + at) for at, part in _pieces(np.frombuffer(b"\n".join([*low[i:j], b""]), np.uint8)) for h, s in [_words(part)]]
+        word, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in low[i:j]]))
+        n = max(0, len(word) - size + 1)
+        gram = np.zeros(n, np.uint64)
+        for step in range(size):
+            gram += word[step : step + n] * k[step]
+        gram = _mixed(gram)
+        at = 0
+        for end in ends:
+            if end - at >= size:
+                yield np.unique(gram[at : end - size + 1])
+            elif end > at:
+                yield _mixed((word[at:end] * k[: end - at]).sum(keepdims=True, dtype=np.uint64) + k[size:] * np.uint64(end - at))
+            else:
+                yield np.zeros(0, np.uint64)
+            at = end
+        i = j
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,13 +120,20 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _packed(shingles: np.ndarray) -> bytes:
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return shingles.astype("<u8").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    short, long = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(long) or 100 * len(short) < percent * len(long):
+        return False
+    inter = int(np.count_nonzero(long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short))
+    return 100 * inter >= percent * (len(p) + len(q) - inter)
 
 
 def signatures(docs: DataFrame, text: str, key: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -151,11 +183,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yes = []
-            for p, q in zip(x["_x"], x["_y"], strict=True):
-                p, q = _unpacked(p), _unpacked(q)
-                inter = len(np.intersect1d(p, q, assume_unique=True))
-                yes.append(100 * inter >= percent * (len(p) + len(q) - inter))
+            yes = [_similar(_unpacked(p), _unpacked(q), percent) for p, q in zip(x["_x"], x["_y"], strict=True)]
             yield x.loc[np.array(yes, bool), ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
@@ -201,6 +229,25 @@ def _open_pairs(x: pd.DataFrame, percent: int, bits: float) -> tuple[np.ndarray,
     return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
+def _blocks(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows (band, pos, node, c, chunk, _b) of keys that hold several components, once for each block (_b.i, _b.j) they are in.
+
+    Within a key, chunks of the component of most rows come first and meet only the chunks of the other components, never each
+    other: what is joined already is not compared. So a few strangers among many copies cost work in proportion to the copies.
+    """
+    sized = placed.join(reps.select(F.col("node").alias("_r"), "n"), F.col("node") == F.col("_r")).drop("_r")
+    parts = keep(sized.groupBy("band", "c").agg(F.count("*").alias("_k"), F.sum("n").alias("_n")), "sides")
+    held = parts.groupBy("band").agg(F.count("*").alias("_parts"), F.max(F.struct("_k", "_n", F.col("c").alias("_c"))).alias("_top"), F.sum("_k").alias("_k"), F.sum("_n").alias("_n")).filter("_parts > 1")
+    need = lambda k, n: F.greatest(F.ceil(k / F.lit(CHUNK)), F.ceil(n / F.lit(SHINGLES))).cast("int")
+    held = held.select(F.col("band").alias("_key"), F.col("_top._c").alias("_most"), need(F.col("_top._k"), F.col("_top._n")).alias("q"), need(F.col("_k") - F.col("_top._k"), F.col("_n") - F.col("_top._n")).alias("r"))
+    held = keep(held, "mixed")
+    df = placed.join(held, F.col("band") == F.col("_key")).withColumn("_large", F.col("c") == F.col("_most"))
+    df = df.withColumn("chunk", F.when(F.col("_large"), F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.col("q") + F.pmod(F.xxhash64("node"), F.col("r"))).cast("int"))
+    others = F.when(F.col("_large"), F.sequence(F.col("q"), F.col("q") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") + F.col("r") - 1))
+    blocks = F.transform(others, lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    return df.select("band", "pos", "node", "c", "chunk", F.explode(blocks).alias("_b"))
+
+
 def _candidates(rows: DataFrame, percent: int, bits: float) -> DataFrame:
     """The rows of blocks that have a pair to settle."""
 
@@ -224,11 +271,9 @@ def _settled(rows: DataFrame, percent: int, bits: float) -> DataFrame:
             links = []
             for k in np.argsort(-share, kind="stable"):
                 p, q = a[k], b[k]
-                if root[p] != root[q]:
-                    inter = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    if 100 * inter >= percent * (len(sets[p]) + len(sets[q]) - inter):
-                        links.append((node[p], node[q]))
-                        root[root == root[q]] = root[p]
+                if root[p] != root[q] and _similar(sets[p], sets[q], percent):
+                    links.append((node[p], node[q]))
+                    root[root == root[q]] = root[p]
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -272,12 +317,9 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     parts = keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
     placed = met.join(parts.withColumnRenamed("node", "_p"), F.col("node") == F.col("_p"), "left").select("band", "pos", "node", F.coalesce("component", "node").alias("c"))
     placed = keep(placed, "placed")
-    held = placed.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("q"))
-    open_ = keep(placed.join(keep(held.filter("_lo <> _hi").select("band", "q"), "mixed"), "band"), "open")
-    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    open_ = open_.withColumn("_b", F.explode(blocks)).join(reps.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"))
-    open_ = open_.select("band", "pos", "_b.i", "_b.j", "chunk", "node", "c", "n", "sig", "bands")
+    open_ = keep(_blocks(placed, reps), "open")
+    full_rows = reps.select(F.col("node").alias("_r"), "n", "sig", "bands")
+    open_ = open_.join(full_rows, F.col("node") == F.col("_r")).select("band", "pos", "_b.i", "_b.j", "chunk", "node", "c", "n", "sig", "bands")
     with arrow_batches(spark, 2048):
         rest = keep(_candidates(open_, percent, bits), "rest")
     with arrow_batches(spark, 512):
