@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,18 +87,18 @@ def layout(packed: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 def tokenized(docs: DataFrame, text: str, key: str, path: str, end: int, window: int) -> DataFrame:
     """(_key, tokens, crcs): token count with the end id, and the CRC-32 of each window-long piece of the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(path)
         for b in batches:
             total, crcs = [], []
-            for ids in tokens.encode([t if isinstance(t, str) else "" for t in b["_text"]]):
+            for ids in tokens.encode(b.column("_text")):
                 data = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
                 total.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[i : i + 4 * window]) for i in range(0, len(data), 4 * window)])
-            yield pd.DataFrame({"_key": b["_key"], "tokens": total, "crcs": crcs})
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["_key", "tokens", "crcs"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, tokens long, crcs array<long>")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, tokens long, crcs array<long>")
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = 2048, end: int = 1) -> DataFrame:
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     the window is cut at its multiples. Only counts by remaining length reach the driver. An empty table gives an empty result.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
-    with arrow_batches(spark, 512):
+    with arrow_batches(spark, 4096, "8m"):
         rows = keep(tokenized(docs, text, key, tokenizer, end, window), "tokens")
     rows = rows.withColumns({"_rest": (F.col("tokens") % window).cast("int"), "_full": F.expr(f"tokens div {window}"), "_one": F.lit(0)})
     counts = {r[0]: r[1] for r in rows.groupBy("_rest").count().collect()}
