@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import math
 import uuid
 
@@ -44,14 +45,34 @@ def tables_made():
         _watched.pop()
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that goes once nothing reads it."""
+    path = shared_path(spark, name)
+    for made in _watched:
+        made.append(path)
+    return path
+
+
+def tidy(f):
+    """f, returning a DataFrame, with the tables that keep() wrote meanwhile deleted but for those that the result reads."""
+
+    @functools.wraps(f)
+    def run(*args, **how):
+        with tables_made() as made:
+            df = f(*args, **how)
+        read = {x.rpartition("/")[0].rpartition("/")[2] for x in df.inputFiles()}
+        remove(df.sparkSession, [x for x in made if x.rpartition("/")[2] not in read])
+        return df
+
+    return run
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives Catalyst real sizes for its join choice.
     """
-    path = shared_path(df.sparkSession, name)
-    for made in _watched:
-        made.append(path)
+    path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

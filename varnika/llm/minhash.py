@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep
+from .common import arrow_batches, keep, tidy
 from .components import connected_components
 
 MASK = (1 << 64) - 1
@@ -280,6 +280,7 @@ def _settled(rows: DataFrame, percent: int, bits: float) -> DataFrame:
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "a long, b long")
 
 
+@tidy
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) for every row.
 
@@ -335,6 +336,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     return rows_.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
+@tidy
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of docs but for those whose component has a smaller key; of repeated rows, one stays."""
     found = keep(groups(docs, text, key, **how), "groups")

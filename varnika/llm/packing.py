@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep, prefix_sum
+from .common import arrow_batches, keep, prefix_sum, tidy
 from .tokens import Tokens
 
 PIECE = "_key {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -101,6 +101,7 @@ def tokenized(docs: DataFrame, text: str, key: str, path: str, end: int, window:
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, tokens long, crcs array<long>")
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = 2048, end: int = 1) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 

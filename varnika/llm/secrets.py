@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, let
+from .common import keep, let, tidy
 
 #: Kind, pattern, group with the value, least length of that group.
 KINDS = (
@@ -103,6 +103,7 @@ def ownership(found: DataFrame, max_owners: int = 2, max_repos: int = 10) -> Dat
     return df.withColumn("live", (F.col("n_owners") <= max_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= max_repos)))
 
 
+@tidy
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
     """carry (default: all columns) with `_spans`: an array of (s, k, e, live) for each row, by start, then kind.
 
