@@ -1,10 +1,13 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Every text is measured with DataFrame functions alone. Each measure is an integer share in thousandths (or a
-mean word length in hundredths, in bins of 2 %), so a table of counts per bin is a quantile sketch: sketches merge
-by adding counts, give the same quantiles in any merge order, and have a bounded size per language and source.
-The fences of a group are its quartiles plus or minus `spread` times their distance, with `margin`. A group of
-fewer than `min_rows` documents takes the merged sketch of its language, or else the one of all documents.
+Every text is measured with DataFrame functions alone. A measure is the empirical logit of a share (x of n, with half a case added to
+either side: ln((x + 0.5) / (n - x + 0.5))) or the logarithm of the mean word length, in bins of fixed width. So a table of
+counts per bin is a quantile sketch: sketches merge by adding counts, give the same quantiles in any merge order, and have a bounded
+size per language and source. On this scale texts without a single case still differ by their length, so quartiles don't coincide.
+
+The quartiles of a group are drawn towards those of its language, and these towards those of all documents, as if each had `prior` more
+rows of the wider kind. The fences stand `spread` times the distance of the quartiles beyond them; where a group's quartiles
+lie closer than a tenth as far as those of all documents (a group of copies), that tenth counts. No cutoff is a constant.
 """
 
 from __future__ import annotations
@@ -12,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, let, words
+from .common import keep, let, tidy, words
 
 WINDOW = 8
 MEASURES = ("symbols", "dup_lines", "repeats", "stutter", "length")
-#: By measure: smallest distance between median and fence that a rejection takes, in the measure's bins.
-MARGIN = {"symbols": 50, "dup_lines": 500, "repeats": 200, "stutter": 200, "length": 25}
+#: Bin width of each measure.
+WIDTH = {"symbols": 0.05, "dup_lines": 0.05, "repeats": 0.05, "stutter": 0.05, "length": 0.005}
+SPREAD, PRIOR, NOISE = 2.5, 50, 3
+#: Deviation of the length of a word, as a share of the mean.
+VARIES = 0.5
+ENDS = [*[f"_lo_end_{m}" for m in MEASURES], "_hi_end_length"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -35,7 +42,10 @@ def _repeat_words(hashes: Column, windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns BASE and the measures as `_m_<name>` (null where a text has no word). Null text counts as empty."""
+    """docs with the columns BASE, the measures as `_m_<name>` and the ends of their ranges of error (`_lo_end_<name>`; `_hi_end_length`), null where a text has no word.
+
+    Null text counts as empty.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_w": words(F.col(text)), "_lines": lines})
@@ -49,15 +59,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": _repeat_words(F.col("_h"), F.col("_win")).cast("long"),
         "_stutter": F.size(F.filter("_h", lambda h, i: F.coalesce(h == F.get("_h", i - 1), F.lit(False)))),
     })
-    some = F.col("n_words") > 0
-    share = lambda a, b: F.when(some, F.expr(f"1000 * {a} div {b}").cast("int"))
-    df = df.withColumns({
-        "_m_symbols": share("n_symbols", "greatest(word_chars, 1)"),
-        "_m_dup_lines": share("n_dup_lines", "greatest(_n_lines, 1)"),
-        "_m_repeats": share("n_repeat_words", "greatest(n_words, 1)"),
-        "_m_stutter": share("_stutter", "greatest(n_words, 1)"),
-        "_m_length": F.when(some, F.floor(F.log(F.expr("100 * word_chars div greatest(n_words, 1)") + 1.0) / F.lit(0.02)).cast("int")),
-    })
+    binned = lambda m, x: F.when(F.col("n_words") > 0, F.floor(x / F.lit(WIDTH[m])).cast("int"))
+    shares = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "_n_lines"), "repeats": ("n_repeat_words", "n_words"), "stutter": ("_stutter", "n_words")}
+    new = {}
+    for m, (x, n) in shares.items():
+        hits, rest = F.col(x) + 0.5, F.greatest(F.col(n) - F.col(x), F.lit(0)) + 0.5
+        new |= {f"_m_{m}": binned(m, F.ln(hits / rest)), f"_lo_end_{m}": binned(m, F.ln(hits / rest) - NOISE * F.sqrt(1 / hits + 1 / rest))}
+    n = F.greatest("n_words", F.lit(1))
+    mean, error = F.ln(F.col("word_chars") / n), F.lit(NOISE * VARIES) / F.sqrt(n)
+    new |= {"_m_length": binned("length", mean), "_lo_end_length": binned("length", mean - error), "_hi_end_length": binned("length", mean + error)}
+    df = df.withColumns(new)
     return df.drop("_w", "_h", "_win", "_lines", "_n_lines", "_stutter")
 
 
@@ -78,21 +89,22 @@ def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "measure").agg(F.max("_all").alias("rows"), *q)
 
 
-def thresholds(sketches: DataFrame, spread: int = 3, min_rows: int = 50) -> DataFrame:
+def thresholds(sketches: DataFrame, spread: float = SPREAD, prior: int = PRIOR) -> DataFrame:
     """One row per language and source: `_lo_<measure>` and `_hi_<measure>`, the bins beyond which a document is an outlier."""
     own, lang, every = (quartiles(sketches, by) for by in (["lang", "source"], ["lang"], []))
     name = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     df = name(own, "o").join(name(lang, "l"), F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_measure") == F.col("l_measure")))
     df = df.join(F.broadcast(name(every, "e")), F.col("o_measure") == F.col("e_measure"))  # one row per measure
-    pick = lambda c: F.when(F.col("o_rows") >= min_rows, F.col(f"o_{c}")).when(F.col("l_rows") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-    df = df.select(F.col("o_lang").alias("_lang"), F.col("o_source").alias("_source"), F.col("o_measure").alias("m"), *[pick(f"q{k}").alias(f"q{k}") for k in (1, 2, 3)])
-    margin = F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, MARGIN[m])]), F.col("m"))
-    reach = F.lit(spread) * (F.col("q3") - F.col("q1"))
-    df = df.withColumns({"hi": F.greatest(F.col("q3") + reach, F.col("q2") + margin), "lo": F.least(F.col("q1") - reach, F.col("q2") - margin)})
+    drawn = lambda p, q, wide: (F.col(f"{p}_rows") * F.col(q) + prior * wide) / (F.col(f"{p}_rows") + prior)
+    q1, q3 = (drawn("o", f"o_{q}", drawn("l", f"l_{q}", F.col(f"e_{q}"))) for q in ("q1", "q3"))
+    df = df.select(F.col("o_lang").alias("_lang"), F.col("o_source").alias("_source"), F.col("o_measure").alias("m"), q1.alias("q1"), q3.alias("q3"), ((F.col("e_q3") - F.col("e_q1")) / 10).alias("least"))
+    reach = F.lit(spread) * F.greatest(F.col("q3") - F.col("q1"), F.col("least"))
+    df = df.withColumns({"hi": F.col("q3") + reach, "lo": F.col("q1") - reach})
     return df.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("m") == m, F.col(b))).alias(f"_{b}_{m}") for m in MEASURES for b in ("lo", "hi")])
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, spread: int = 3, min_rows: int = 50) -> DataFrame:
+@tidy
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, spread: float = SPREAD, prior: int = PRIOR) -> DataFrame:
     """carry (default: all columns) with BASE, base_failed and kept for each row.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of eight. kept: not base_failed, and
@@ -101,13 +113,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in BASE]
     docs = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"))
-    measured = keep(measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES]), "quality")
-    fences = keep(thresholds(keep(sketch(measured, "_g_lang", "_g_source"), "sketch"), spread, min_rows), "fences")
+    measured = keep(measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES], *ENDS), "quality")
+    fences = keep(thresholds(keep(sketch(measured, "_g_lang", "_g_source"), "sketch"), spread, prior), "fences")
     df = measured.join(fences, F.col("_g_lang").eqNullSafe(F.col("_lang")) & F.col("_g_source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    inside = F.lit(True)
-    for m in ("symbols", "dup_lines", "repeats", "stutter"):
-        inside = inside & (F.col(f"_m_{m}") <= F.col(f"_hi_{m}"))
-    inside = inside & F.col("_m_length").between(F.col("_lo_length"), F.col("_hi_length"))
+    inside = F.col("_hi_end_length") >= F.col("_lo_length")
+    for m in MEASURES:
+        inside = inside & (F.col(f"_lo_end_{m}") <= F.col(f"_hi_{m}"))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
     return df.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c not in ("base_failed", "kept")], *BASE, "base_failed", "kept")
