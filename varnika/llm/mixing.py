@@ -1,9 +1,12 @@
 """Mixing sources to target weights by blocks of words.
 
 The words of a source, in the order of its documents, are cut into the least number of blocks of at most `block` words, whose lengths
-differ by one at most. Each source with a target gets a number of slots from it, at least one; output shards share them by multinomial draws. Slot i of a source holds the block that a
-pseudorandom permutation of its block indices (one per source and epoch) puts there. So whether and where a block stands in the
-mix follows from its own index, and no list of slots is ever made. All work is done by DataFrame functions.
+differ by one at most. The slots of each output shard are dealt to the sources by a multinomial draw: every slot draws its
+source for itself, so a draw is exact at any size. Shards are drawn in rounds, three quarters of those left in each; a round's
+probabilities are what the sources lack after the rounds before it, so sources come near their targets though every slot is drawn.
+Slot i of a source holds the block that a pseudorandom permutation of its block indices (one per source and epoch) puts there. So
+whether and where a block stands in the mix follows from its own index and the number of slots that its source drew: the join of slots to blocks by
+index needs no shuffle. All work is done by DataFrame functions.
 """
 
 from __future__ import annotations
@@ -11,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, keep, let, prefix_sum
+from .common import SPACE, WORD, keep, let, prefix_sum, tidy
 
 WEIGHTS = (5, 2, 1)
+BLOCK, SHARDS = 64, 64
+MADE = ("size", "source_size", "target", "first", "taken")
 #: Primes near 2**20; for any number of blocks below 2**43, one of them doesn't divide it, and no product overflows.
 PRIMES = (1048573, 1048571, 1048559, 1048549, 1048517, 1048507, 1048447, 1048433, 1048423, 1048391)
 
@@ -43,26 +48,34 @@ def _uniform(*key: Column | str) -> Column:
     return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
 
 
-def draws(slots: Column, shards: int, *key: Column) -> Column:
-    """Multinomial counts of `slots` over equal shards, as an array: shard by shard a binomial draw of what is left.
+def draws(plans: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(sid, shard, n): how many slots of each shard a source drew. plans: (sid, need, room), the slots it should and may have.
 
-    A draw adds single hashes up to 64 slots and takes the rounded normal above.
+    Each round goes over its slots once, looks the source of a slot up by a uniform hash, and adds up. Sources lie side by side on a line, as wide
+    as what they lack; the line has as many cells as sources, and a slot meets those of its cell only.
     """
-
-    def draw(n: Column, k: Column) -> Column:
-        p = F.lit(1.0) / (F.lit(shards) - k)
-        exact = F.aggregate(F.sequence(F.lit(0), F.greatest(F.least(n, F.lit(64)) - 1, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda a, i: a + F.when((i < n) & (_uniform(*key, k, i) < p), 1).otherwise(0))
-        normal = F.sqrt(F.lit(-2.0) * F.log(_uniform(*key, k, F.lit(-1)))) * F.cos(F.lit(6.283185307179586) * _uniform(*key, k, F.lit(-2)))
-        wide = F.round(n * p + normal * F.sqrt(n * p * (F.lit(1.0) - p))).cast("long")
-        drawn = F.when(n <= 64, exact).otherwise(F.greatest(F.lit(0).cast("long"), F.least(n, wide)))
-        return F.when(k == shards - 1, n).otherwise(drawn)
-
-    def step(a: Column, k: Column) -> Column:
-        n = draw(a["left"], k)
-        return F.struct((a["left"] - n).alias("left"), F.concat(a["out"], F.array(n)).alias("out"))
-
-    zero = F.struct(slots.cast("long").alias("left"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), zero, step, lambda a: a["out"])
+    spark, at, counts = plans.sparkSession, 0, None
+    w = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while at < shards:
+        end = at + max(1, (shards - at) * 3 // 4)
+        state = plans.withColumn("had", F.lit(0).cast("long")) if counts is None else plans.join(counts.groupBy(F.col("sid").alias("_s")).agg(F.sum("n").alias("had")), F.col("sid") == F.col("_s"), "left").fillna(0, ["had"])
+        lack = F.when(F.col("room") > F.col("had"), F.greatest(F.col("need") - F.col("had"), F.lit(0.0))).otherwise(0.0)
+        state = state.select("sid", (F.col("room") - F.col("had")).alias("room"), lack.alias("lack")).filter("lack > 0")
+        state = keep(state.withColumn("hi", F.sum("lack").over(upto)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0))), "lack")
+        total, cells = state.agg(F.max("hi"), F.count("*")).first()
+        slots = round((total or 0) * (end - at) / (shards - at))
+        if slots:
+            cell = lambda x: F.least(F.floor(x / F.lit(total) * F.lit(cells)), F.lit(cells - 1))
+            side = state.select("sid", "room", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"))
+            shard = F.lit(at) + F.floor(F.col("id") * (end - at) / slots)
+            rows = spark.range(slots).select(shard.cast("int").alias("shard"), (_uniform(F.lit(seed), F.lit(at), F.col("id")) * total).alias("x"))
+            rows = rows.withColumn("_cell", cell(F.col("x"))).join(side, "_cell").filter("x >= lo and x < hi")
+            drawn = rows.groupBy("sid", "room", "shard").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(w) - F.col("n"))
+            drawn = drawn.select("sid", "shard", F.greatest(F.least("n", F.col("room") - F.col("_before")), F.lit(0)).cast("long").alias("n")).filter("n > 0")
+            counts = keep(drawn if counts is None else counts.unionByName(drawn), "drawn")
+        at = end
+    return counts if counts is not None else plans.select("sid", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("n")).limit(0)
 
 
 def keys_of(n: Column, epochs: int, *key: Column) -> Column:
@@ -96,26 +109,38 @@ def _epochs(most: float) -> int:
 
 
 def plan(sizes: DataFrame, block: int, shards: int, seed: int, **how) -> DataFrame:
-    """targets() with n_blocks, n_slots and `bounds`: the first slot of each shard and the end. One row per source."""
+    """targets() with n_blocks, n_slots and `bounds`: the first slot of each shard and the end. One row per source.
+
+    A source with a target that drew no slot has one, in a shard that its number decides, so that tiny sources stay in the mix.
+    """
     df = targets(sizes, **how)
+    df = df.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
     df = df.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
     length = F.col("source_size") / F.greatest("n_blocks", F.lit(1))  # mean words of a block
-    few = F.least(F.round(F.col("target") / length).cast("long"), F.floor(F.lit(how.get("most", 2.0)) * F.col("n_blocks")).cast("long"))
-    df = df.withColumn("n_slots", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.greatest(few, F.lit(1))).otherwise(0).cast("long"))
-    df = df.withColumn("_draws", draws(F.col("n_slots"), shards, F.coalesce("source", F.lit("\0")), F.lit(seed)))
-    add = F.aggregate("_draws", F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    some = (F.col("source_size") > 0) & (F.col("target") > 0)
+    df = df.withColumn("need", F.when(some, F.col("target") / length).otherwise(0.0))
+    df = df.withColumn("room", F.when(some, F.floor(F.lit(how.get("most", 2.0)) * F.col("n_blocks"))).otherwise(0).cast("long"))
     df = df.withColumn("keys", keys_of(F.col("n_blocks"), _epochs(how.get("most", 2.0)), F.coalesce("source", F.lit("\0")), F.lit(seed)))
-    return df.withColumn("bounds", add).drop("_draws")
+    df = keep(df, "targets")
+    drawn = draws(df.select("sid", "need", "room"), shards, seed)
+    drawn = drawn.groupBy(F.col("sid").alias("_s")).agg(F.collect_list(F.struct("shard", "n")).alias("_n"))  # a struct per shard at most
+    df = df.join(drawn, F.col("sid") == F.col("_s"), "left")
+    alone = F.array(F.struct(F.pmod(F.xxhash64("sid"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).cast("long").alias("n")))
+    df = df.withColumn("_n", F.coalesce("_n", F.when(F.col("room") > 0, alone).otherwise(F.array())))
+    before = lambda k: F.aggregate(F.filter("_n", lambda x: x["shard"] < k), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    df = df.withColumn("bounds", F.transform(F.sequence(F.lit(0), F.lit(shards)), before))
+    return df.withColumn("n_slots", F.element_at("bounds", -1)).drop("_n", "_s", "sid", "need", "room")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: list[str] | None = None, block: int = 128, shards: int = 8, seed: int = 9, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """carry (default: all columns) with size, source_size, target, first (the document's first word in its source) and `taken`.
+@tidy
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: list[str] | None = None, block: int = BLOCK, shards: int = SHARDS, seed: int = 9, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """carry (default: all columns) with size, source_size, target, first (the document's first word in its source) and `taken`; these replace columns of docs of the same name.
 
     taken is an array with one (block, from, words, epoch, slot, shard) for each part of the document that the mix holds: words of the
     document from word `from` on, in this block, at this slot of this shard. Null or blank texts have size 0 and no part; null
     source is a source of its own, last in order; repeated rows are documents of their own; an empty table gives an empty result.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
     size = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(WORD))).cast("long")
     kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -155,22 +180,24 @@ def blocks(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     return part.groupBy("source", "x.shard", "x.slot", "x.block").agg(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("x.from"), F.col("x.words")))).alias("parts"))
 
 
+@tidy
 def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
     """The columns of docs, with one row for each document and epoch of which the mix holds words.
 
     A document taken whole keeps its text as it is; otherwise its text is the taken words in order, each with the white space after it.
+    Null and blank texts hold no word and are not in the mix; null keys and sources are values like others; repeated rows are documents
+    of their own; columns of any name stay; an empty table gives an empty result.
     """
     columns, kinds = docs.columns, dict(docs.dtypes)
     marks = [F.col(how.pop("key", "doc_id")), F.col(how.get("source", "source"))]
     named = F.md5(F.concat_ws("\1", *[F.coalesce(c.cast("string"), F.lit("\2")) for c in marks], F.md5(F.coalesce(text, F.lit("\2")))))
     rows = docs.select(named.alias("_id"), F.col(text).alias("_t"), F.col(how.pop("source", "source")).alias("_source"))
     parts = mix(rows, text="_t", source="_source", key="_id", carry=["_id"], **how)
-    parts = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("first", "size", "taken"))).alias("_all"))
     # texts move once: equal rows share an id, and the n-th of them takes the n-th place
+    parts = parts.select(F.col("_id").alias("_p"), F.row_number().over(Window.partitionBy("_id").orderBy("first")).alias("_place"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_t"), named.alias("_id"))
     marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1))))
-    df = marked.join(parts, "_id").withColumn("_mix", F.get("_all", F.col("_copy") - 1))
-    df = df.select("_doc", "_t", F.col("_mix.size").alias("_size"), F.col("_mix.taken").alias("_taken"))
+    df = marked.join(parts, (F.col("_id") == F.col("_p")) & (F.col("_copy") == F.col("_place"))).select("_doc", "_t", "_size", "_taken")
     df = df.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_taken", lambda x: x["epoch"]))))
     df = df.withColumn("_mine", F.array_sort(F.transform(F.filter("_taken", lambda x: x["epoch"] == F.col("_epoch")), lambda x: F.struct(x["from"].alias("a"), x["words"].alias("n")))))
     df = df.withColumn("_n", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
