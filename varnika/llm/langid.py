@@ -5,7 +5,8 @@ lexicon of frequent training words. Transitions between the languages of neighbo
 gradient steps on the conditional likelihood, from training texts spliced into code-switched sequences. Forward-backward
 gives each word's language distribution; a text's language is the one with the greatest expected number of words.
 Words of over `WIDTH` bytes, as in text without spaces, count as several: parts of at most so many bytes, cut between characters.
-Texts are chained in runs of `CHAIN` words, so all words of a text count and memory stays bounded.
+A text is one chain, however long. It is worked off in segments of `CHAIN` words side by side: what the words of a segment do to a message
+that passes them is a matrix, so messages first go from segment to segment, and then through all segments at once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep
+from .common import arrow_batches, keep, tidy
 
 #: Bounds of the training sample: documents of each language, and windows of so many words from each.
 DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 300, 6, 24
@@ -89,21 +90,27 @@ def features(words: list[str], lexicon: np.ndarray) -> np.ndarray:
     return np.concatenate(columns, axis=1).astype(np.int32)
 
 
-def forward_backward(scores: np.ndarray, length: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Marginals (chains, steps, labels) from emission scores, and summed pair marginals if asked. Steps beyond a chain's length are 0."""
+def forward_backward(scores: np.ndarray, length: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Marginals (chains, steps, labels) from emission scores, and summed pair marginals if asked. Steps beyond a chain's length are 0.
+
+    before: the forward message (chains, labels) of the word before each chain, negative where there is none; after: the backward message of its last word.
+    """
     c, t, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     a = np.exp(trans - trans.max())
     alpha, beta = np.empty((t, c, k), e.dtype), np.ones((t, c, k), e.dtype)
-    now = np.exp(start - start.max()) * e[:, 0]
+    first = np.exp(start - start.max())
+    now = (first if before is None else np.where(before[:, :1] < 0, first, before @ a)) * e[:, 0]
     alpha[0] = now / now.sum(axis=1, keepdims=True)
     for i in range(1, t):
         now = (alpha[i - 1] @ a) * e[:, i]
         alpha[i] = now / now.sum(axis=1, keepdims=True)
+    last = np.ones(k, e.dtype) if after is None else after
+    beta[t - 1] = last
     for i in range(t - 2, -1, -1):
         now = (e[:, i + 1] * beta[i + 1]) @ a.T
         now /= now.sum(axis=1, keepdims=True)
-        beta[i] = np.where((i + 1 < length)[:, None], now, 1)
+        beta[i] = np.where((i + 1 < length)[:, None], now, last)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
     gamma *= (np.arange(t)[:, None] < length[None, :])[:, :, None]
@@ -117,6 +124,34 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, start: np.ndarray,
     return gamma.transpose(1, 0, 2), xi
 
 
+def messages(scores: np.ndarray, length: np.ndarray, of: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of the segments of some texts, for forward_backward; `of` numbers the texts, whose segments come in order, all but the last of them full."""
+    n, t, k = scores.shape
+    e = np.exp(scores.astype(np.float64) - scores.max(axis=2, keepdims=True))
+    a = np.exp((trans - trans.max()).astype(np.float64))
+    opens = np.ones(n, bool)
+    opens[1:] = of[1:] != of[:-1]
+    first = np.exp(start - start.max())
+    # row i of a segment's matrix: the message after its last word, if the word before it had label i for certain
+    moved = np.where(opens[:, None, None], first, a) * e[:, None, 0]
+    for i in range(1, t):
+        moved /= moved.sum(axis=(1, 2), keepdims=True)
+        moved = np.where((i < length)[:, None, None], (moved @ a) * e[:, None, i], moved)
+    moved /= moved.sum(axis=(1, 2), keepdims=True)
+    before, after = np.full((n, k), -1.0), np.ones((n, k))
+    place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    order = np.argsort(place, kind="stable")
+    cuts = np.cumsum(np.bincount(place))
+    for here in np.split(order, cuts[:-1])[1:]:  # the second segments of all texts, the third, ...
+        past = np.where(before[here - 1, :1] < 0, 1.0, before[here - 1])
+        now = (past[:, None] @ moved[here - 1])[:, 0]
+        before[here] = now / now.sum(axis=1, keepdims=True)
+    for here in reversed(np.split(order, cuts[:-1])[1:]):
+        now = (moved[here] @ after[here][:, :, None])[:, :, 0]
+        after[here - 1] = now / now.sum(axis=1, keepdims=True)
+    return before, after
+
+
 class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, start: np.ndarray, trans: np.ndarray, lexicon: np.ndarray):
         self.labels, self.weights, self.start, self.trans, self.lexicon = labels, weights, start, trans, lexicon
@@ -173,9 +208,10 @@ class Model:
             length = np.bincount(chain, minlength=len(of))
             scores = np.zeros((len(of), min(CHAIN, int(size.max())), k), np.float32)
             scores[chain, within % CHAIN] = self.known[at]
+            before, after = messages(scores, length, of, self.start, self.trans)
             for i in range(0, len(of), 4096):
                 part = slice(i, i + 4096)
-                gamma, _ = forward_backward(scores[part], length[part], self.start, self.trans)
+                gamma, _ = forward_backward(scores[part], length[part], self.start, self.trans, before=before[part], after=after[part])
                 np.add.at(total, of[part], gamma.sum(axis=1))
         best = total.argmax(axis=1)
         return [(self.labels[b], float(min(1.0, total[i, b] / size[i]))) if size[i] else ("und", 0.0) for i, b in enumerate(best)]
@@ -242,7 +278,11 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int = DOCS
     fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3))
     rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold != 1))
     rows = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    ids = rows.select("key", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).filter(F.col("r") <= per_lang)
+    # a share of the ids, by hash, that leaves about four times per_lang of them, is ranked: no task gets more, however many there are
+    many = rows.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_many"))
+    few = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") <= 4 * per_lang
+    near = rows.select("key", "lang").join(keep(many, "languages"), F.col("lang") == F.col("_l")).filter(few)
+    ids = near.select("key", "lang").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).filter(F.col("r") <= per_lang)
     ids = keep(ids.select(F.col("key").alias("_k")).distinct(), "sampled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,6 +301,7 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int = DOCS
     return sorted((r.lang, r.words.split()) for r in picked.collect())
 
 
+@tidy
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """key, held_out, lang_pred and score for every row.
 
