@@ -4,8 +4,8 @@ A page's block elements form a skeleton tree, in which siblings of one label are
 aligned by simple tree matching (the greatest number of node pairs that keeps parents and order) and merged into its
 wrapper, in rounds of bounded groups, so that all of them count and none meets too many others; each page is aligned to it in the same way.
 Nodes that too few pages have can't be template, whatever their text, and are left out of the wrapper, which keeps it small. Over all pages of the host, a wrapper node whose text is the same
-on most pages is template; the slots whose text varies are content. Elements that say what they are (nav, footer, class "ad", ...) are never
-content, and what lies in an article (or else in main) always is.
+on most pages is template; the slots whose text varies are content. Marks only narrow this: elements that say what they are (nav, footer,
+class "ad", ...) are never content, and a page with an article (or else main) has none outside it. Within an article, too, the wrapper decides.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep
+from .common import arrow_batches, keep, tidy
 
 #: About so many skeletons of a host are merged at once; what comes of these is merged in the next round.
 FAN = 50
 #: A text is template if this share of a host's distinct pages, and at least so many, have it at the same node.
 SHARE, PAGES = 0.5, 3
-BROADCAST_ROWS = 200_000
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -279,6 +278,7 @@ def wrappers(kinds: DataFrame, sizes: DataFrame, share: float, least: int, fan:
         level = keep(parts.groupBy("host", "skeleton").agg(F.sum("n").alias("n")), "level")
 
 
+@tidy
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", share: float = SHARE, least: int = PAGES) -> DataFrame:
     """key, url, text and n_chars for every page.
 
@@ -286,9 +286,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     repeated rows each give their text and count once as a page of the host; an empty table gives an empty result.
     """
     parsed = _parsed(pages, key, url, html)
-    loose = parsed.filter("zone = 0 and size(at) > 0")  # only pages without article and main need the wrapper to tell
-    sizes = keep(loose.select("host", "copy").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("pages")), "sizes")
-    kinds = keep(loose.select("host", "copy", "skeleton").distinct().groupBy("host", "skeleton").agg(F.count("*").alias("n")), "kinds")
+    some = parsed.filter("size(at) > 0")
+    sizes = keep(some.select("host", "copy").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("pages")), "sizes")
+    kinds = keep(some.select("host", "copy", "skeleton").distinct().groupBy("host", "skeleton").agg(F.count("*").alias("n")), "kinds")
     made = keep(wrappers(kinds, sizes, share, least), "wrappers")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,20 +300,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pd.DataFrame({"_host": b["host"], "_skeleton": b["skeleton"], "slots": slots})
 
     aligned = keep(kinds.join(made, "host").select("host", "skeleton", "wrapper").mapInPandas(align, "_host string, _skeleton string, slots array<int>"), "aligned")
-    n = aligned.count()
-    small = F.broadcast(aligned) if n <= BROADCAST_ROWS else aligned
-    parsed = parsed.join(small, (F.col("host") == F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left").drop("_host", "_skeleton")
+    # keep() tells Catalyst the bytes of both tables, so it broadcasts them only where they are small
+    parsed = parsed.join(aligned, (F.col("host") == F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left").drop("_host", "_skeleton")
     parsed = parsed.withColumn("slot", F.transform("at", lambda i: F.get("slots", i)))
-    loose = parsed.filter("zone = 0 and size(at) > 0")
-    each = loose.select("host", "copy", F.explode(F.arrays_zip("slot", F.transform("text", lambda t: F.xxhash64(t)).alias("h"))).alias("x"))
+    each = parsed.filter("size(at) > 0").select("host", "copy", F.explode(F.arrays_zip("slot", F.transform("text", lambda t: F.xxhash64(t)).alias("h"))).alias("x"))
     each = each.select("host", "copy", F.col("x.slot").alias("slot"), F.col("x.h").alias("h")).filter("slot >= 0").distinct()
     same = each.groupBy("host", "slot", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     same = same.join(sizes, F.col("host") == F.col("_host")).filter(F.col("n") >= share * F.col("pages"))
     template = keep(same.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("slot", "h")).alias("template")), "template")
-    hosts = template.count()
-    parsed = parsed.join(F.broadcast(template) if hosts <= BROADCAST_ROWS else template, F.col("host") == F.col("_host"), "left")
+    parsed = parsed.join(template, F.col("host") == F.col("_host"), "left")
     rows = F.arrays_zip("slot", "text", "zones")
     constant = lambda x: F.coalesce(F.array_contains(F.col("template"), F.struct(x["slot"].alias("slot"), F.xxhash64(x["text"]).alias("h"))), F.lit(False))
-    chosen = F.filter(rows, lambda x: (x["zones"] == F.col("zone")) & ((F.col("zone") > 0) | ~constant(x)))
+    chosen = F.filter(rows, lambda x: (x["zones"] == F.col("zone")) & ~constant(x))
     text = F.array_join(F.transform(chosen, lambda x: x["text"]), "\n\n")
     return parsed.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
