@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, tidy
 from .components import connected_components
 
 TREES, LEAF, SPILL, SAMPLE = 12, 1024, 0.05, 4096
@@ -158,6 +158,7 @@ def _compared(x: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"cid": cid, "other": cid[label], "links": own @ cnt})
 
 
+@tidy
 def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """key, n_links and component_id for every row.
 
@@ -173,7 +174,11 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     good = rows.filter(F.col("vec").isNotNull())
     classes = keep(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count("*").alias("cnt")), "classes")
     root = F.shiftrightunsigned(F.xxhash64(F.col("label").cast("string"), F.size("vec")), 1)
-    state = keep(classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), root.alias("node"), "cid", "cnt", "vec"), "forest")
+    # a label that fits a leaf is the same leaf in each tree, so one tree holds it
+    many = keep(classes.groupBy(root.alias("_root")).agg(F.count("*").alias("_many")), "labels")
+    grown = classes.withColumn("_at", root).join(many, F.col("_at") == F.col("_root"))
+    last = F.when(F.col("_many") > leaf, trees - 1).otherwise(0)
+    state = keep(grown.select(F.explode(F.sequence(F.lit(0), last)).alias("tree"), F.col("_at").alias("node"), "cid", "cnt", "vec"), "forest")
     before = None
     for left in reversed(range(ROUNDS + 1)):  # the sizes are always those of the last state
         sizes = keep(state.groupBy("tree", "node").agg(F.count("*").alias("n")), "sizes")
