@@ -85,6 +85,14 @@ def test_wrapper_tells_template_from_content(spark):
     assert got == {i: f"Story {i} begins\n\nand ends {i * 7}" for i in range(8)}
 
 
+def test_wrapper_decides_within_articles(spark):
+    """All pages have an article, and marks alone would keep lines that stand on each page of the host."""
+    rows = [(i, f"http://h.example/{i}", f"<body><nav>Menu</nav><article><h1>Title {i}</h1><div>Written by our staff</div><p>Story {i}</p><div>Send us your story</div></article></body>") for i in range(6)]
+    rows += [(9, "http://other.example/9", rows[0][2])]  # alone on its host, nothing tells template from content
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nStory {i}" for i in range(6)} | {9: "Title 0\n\nWritten by our staff\n\nStory 0\n\nSend us your story"}
+
+
 def test_every_skeleton_counts(spark):
     """A host of 240 pages without two alike: the notice that only the last 150 skeletons (in any order) hold goes too, and rare lines stay."""
     notice = lambda i: '<div class="zz">Read this first</div>' if i >= 90 else ""
