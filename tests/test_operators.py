@@ -1,10 +1,14 @@
 import json
+import logging
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from varnika import streaming
-from varnika.operators import evaluate, neural, pairs
+from varnika.functions import vocab
+from varnika.operators import evaluate, neural, numbering, pairs
+from varnika.plans import catalog
 from varnika.sources import extract, io
 
 
@@ -88,3 +92,104 @@ def test_best_so_far_and_patience(spark):
     df = spark.createDataFrame([("r", i, x) for i, x in enumerate([5.0, 4.0, 4.5, 4.0, 3.0, 3.5])], "run string, epoch int, loss double")
     got = [(r.best, r.patience) for r in evaluate.best_so_far(df, ["run"], ["epoch"], "loss").orderBy("epoch").collect()]
     assert got == [(5.0, 0), (4.0, 0), (4.0, 1), (4.0, 2), (3.0, 0), (3.0, 1)]
+
+
+def plain_greedy(ids, w, start, end, steps):
+    """One word by nested loops over Python numbers."""
+    p = {k: v.astype(float).tolist() for k, v in w.items()}
+    units = len(p["enc_r"])
+    mul = lambda x, m: [sum(a * m[i][j] for i, a in enumerate(x)) for j in range(len(m[0]))]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def cell(x, h, c, a, r, b):
+        z = [u + v + t for u, v, t in zip(mul(x, a), mul(h, r), b, strict=True)]
+        i, f, g, o = (z[k * units : (k + 1) * units] for k in range(4))
+        c = [sig(f[k]) * c[k] + sig(i[k]) * math.tanh(g[k]) for k in range(units)]
+        return [sig(o[k]) * math.tanh(c[k]) for k in range(units)], c
+
+    h, c, seen, out, token = [0.0] * units, [0.0] * units, [], [], start
+    for i in ids:
+        h, c = cell(p["enc_embed"][i], h, c, p["enc_w"], p["enc_r"], p["enc_b"])
+        seen.append(h)
+    while len(out) < steps and token != end or not out:
+        e = p["dec_embed"][token]
+        query = [a + b for a, b in zip(mul(e, p["query_w"]), p["query_b"], strict=True)]
+        weight = [math.exp(sum(a * b for a, b in zip(query, s, strict=True))) for s in seen]
+        context = [sum(a * s[k] for a, s in zip(weight, seen, strict=True)) / sum(weight) for k in range(units)]
+        h, c = cell(context + e, h, c, p["dec_w"], p["dec_r"], p["dec_b"])
+        score = [a + b for a, b in zip(mul(h, p["out_w"]), p["out_b"], strict=True)]
+        token = score.index(max(score))
+        out.append(token)
+    return out
+
+
+def test_kernel_against_plain_loops():
+    w = neural.random_weights(6, 5, 4, 3, 2)
+    for ids in ([1, 2, 0, 0], [5, 4, 3, 2], [3, 0, 0, 0]):
+        assert neural.run(np.array([ids]), w, 1, 2, 8)[0] == plain_greedy(ids, w, 1, 2, 8)
+
+
+def test_registered_kernel(spark):
+    data = "/root/testdata/sf0.001"
+    got = {r.hindi: r.latin for r in catalog.neural_spell(spark, data).collect()}
+    w, letters = neural.random_weights(len(catalog.VOCAB_IN) + 1, len(catalog.VOCAB_OUT) + 1, seed=7), {i: c for c, i in catalog.VOCAB_OUT.items()}
+    for hindi in sorted(got)[:3]:
+        want = []
+        for word in hindi.split(" "):
+            ids = [catalog.VOCAB_IN[c] for c in word] + [0] * (47 - len(word))
+            out = plain_greedy(ids, w, catalog.VOCAB_OUT["^"], catalog.VOCAB_OUT["$"], 20)
+            want.append("".join(letters.get(i, "") for i in out).strip("$"))
+        assert got[hindi] == " ".join(want)
+
+
+def test_weights_round_trip(tmp_path):
+    w = neural.random_weights(4, 5)
+    neural.save_weights(str(tmp_path / "w.npz"), w)
+    back = neural.load_weights(str(tmp_path / "w.npz"))
+    assert set(back) == set(w) and all((back[k] == w[k]).all() for k in w)
+
+
+def test_numbers_in_many_buckets(spark):
+    rows = [(f"k{i * 7919 % 1000:04}", i) for i in range(1000)] + [(None, -1)]
+    df, n = numbering.numbered(spark.createDataFrame(rows, "k string, i int").repartition(5), "k", "no", 1, rows=50)
+    got = [(r.k, r.no) for r in df.collect()]
+    assert n == 1001 and sorted(got, key=lambda r: r[1]) == [(k, j) for j, k in enumerate([None, *sorted(k for k, _ in rows if k)], 1)]
+    assert numbering.numbered(spark.createDataFrame([], "k string"), "k", "no")[0].count() == 0
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan(df) and "SinglePartition" not in plan(pairs.batches(spark.range(500), "id"))
+
+
+def test_vocabulary_is_one_shuffle_of_counts(spark):
+    plan = vocab.fit_vocab(spark.range(9).selectExpr("id", "concat('ab', id) as t"), "t", "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 2  # the second ranks a row per character
+
+
+def test_splits_and_orders_take_any_key(spark):
+    df = spark.createDataFrame([(f"a{i}",) for i in range(500)], "k string")
+    split = {r.k: r.is_train for r in pairs.hash_split(df, "k").collect()}
+    assert 350 < sum(split.values()) < 450 and split == {r.k: r.is_train for r in pairs.hash_split(df.repartition(7), "k").collect()}
+    places = [r.place for r in pairs.shuffled(df, "k").orderBy("k").collect()]
+    assert sorted(places) == list(range(500)) and places != sorted(places)
+    assert [r.k for r in pairs.sample_rows(df, 5).collect()] == [r.k for r in pairs.sample_rows(df.repartition(3), 5).collect()]
+
+
+def test_status_and_log(spark, caplog):
+    df = spark.createDataFrame([("a", "x"), ("b", ""), ("c", None), (None, None), ("", "")], "s string, p string")
+    got = evaluate.with_status(df, "s", "p")
+    assert [tuple(r.result) for r in got.collect()] == [("x", "ok"), ("", "failed"), ("", "failed"), ("", "null"), ("", "ok")]
+    with caplog.at_level(logging.ERROR, "varnika"):
+        assert evaluate.log_failures(got) == 2
+    assert "2 predictions failed" in caplog.text
+
+
+def test_round_trips(spark, tmp_path):
+    one = io.literal(spark, [(7, "क", "ka")], "unique_id long, name_hindi string, name_english string")
+    io.write_affidavits(one, str(tmp_path / "a"))
+    back = io.read_affidavits(spark, str(tmp_path / "a")).first()
+    assert list(back.asDict()) == io.AFFIDAVIT and (back.unique_id, back.name_hindi, back.name_english, back.age) == (7, "क", "ka", None)
+    io.write_json(one, str(tmp_path / "j"))
+    assert spark.read.schema("unique_id long, name_hindi string").json(str(tmp_path / "j")).first().name_hindi == "क"
+    vocab.write_tokenizer(str(tmp_path / "t.json"), [("b", 2, 2, 1), ("a", 2, 1, 2)], 3)
+    assert sorted(map(tuple, vocab.tokenizer_frame(spark, str(tmp_path / "t.json")).collect())) == [("a", 2, 2, 1), ("b", 1, 2, 2)]
+    (tmp_path / "ids.json").write_text("[3, 5]")
+    assert io.read_ids(spark, str(tmp_path / "ids.json")).agg(F.sum("match_id")).first()[0] == 8

@@ -16,6 +16,11 @@ def na_compat(c: Column) -> Column:
     return F.when(~c.isin(NA_SET), c)
 
 
+def as_text(c: Column, missing: str | None = "nan") -> Column:
+    """Any value as a string; a missing one as that word (None: stays null)."""
+    return c.cast("string") if missing is None else F.coalesce(c.cast("string"), F.lit(missing))
+
+
 def strip_ws(c: Column) -> Column:
     """Without Unicode white space at both ends; U+200B stays."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")

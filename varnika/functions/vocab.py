@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import chars
@@ -17,9 +17,12 @@ def char_rows(df: DataFrame, text: str, row_id: str, lower: bool = True) -> Data
 
 
 def fit_vocab(df: DataFrame, text: str, row_id: str, lower: bool = True) -> DataFrame:
-    """(ch, n, docs, id): ids from 1 by falling count; ties by first place (row_id, position). One row per character is ranked."""
-    rows = char_rows(df, text, row_id, lower)
-    per_row = rows.groupBy("ch", "row_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    """(ch, n, docs, id): ids from 1 by falling count; ties by first place (row_id, position). row_id is unique. One row per character is ranked."""
+    c = F.lower(text) if lower else F.col(text)
+    rows = df.select(F.col(row_id).alias("row_id"), chars(c).alias("_c"))
+    # what a row knows alone is counted in it, so that one shuffle carries a row per character and task
+    each = F.transform(F.array_distinct("_c"), lambda x: F.struct(x.alias("ch"), F.size(F.filter("_c", lambda y: y == x)).alias("n"), (F.array_position("_c", x) - 1).alias("pos")))
+    per_row = rows.select("row_id", F.inline(each))
     counts = per_row.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(F.struct("row_id", "pos")).alias("first"))
     return counts.select("ch", "n", "docs", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long").alias("id"))
 
@@ -58,6 +61,16 @@ def teacher_pair(ids: Column) -> Column:
     return F.struct(F.slice(ids, F.lit(1), n).alias("input"), F.slice(ids, F.lit(2), n).alias("target"))
 
 
+def tile(ids: Column, times: int = 1) -> Column:
+    """The ids so many times over."""
+    return F.flatten(F.array_repeat(ids, times))
+
+
+def shifted_one_hot(df: DataFrame, ids: str, row_id: str) -> DataFrame:
+    """(row_id, t, idx): the places of ones of the target one step ahead."""
+    return one_hot(df.withColumn(ids, teacher_pair(F.col(ids))["target"]), ids, row_id)
+
+
 def one_hot(df: DataFrame, ids: str, row_id: str) -> DataFrame:
     """(row_id, t, idx): the places of ones, instead of a dense cube."""
     return df.select(F.col(row_id).alias("row_id"), F.posexplode(ids).alias("t", "idx"))
@@ -72,6 +85,13 @@ def read_tokenizer(path: str) -> dict:
     return config | {k: json.loads(v) for k, v in config.items() if isinstance(v, str) and k in ("word_counts", "word_docs", "index_docs", "index_word", "word_index")}
 
 
+def tokenizer_frame(spark: SparkSession, path: str) -> DataFrame:
+    """(ch, id, n, docs) of a tokenizer JSON: one row per character."""
+    t = read_tokenizer(path)
+    rows = [(c, i, t["word_counts"].get(c), t["word_docs"].get(c)) for c, i in t["word_index"].items()]
+    return spark.createDataFrame(rows, "ch string, id long, n long, docs long")
+
+
 def write_tokenizer(path: str, vocab: list[tuple[str, int, int, int]], documents: int) -> None:
     """(ch, n, docs, id) rows as a tokenizer JSON of the same nesting."""
     inner = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from varnika.functions.text import edit_distance
 
+log = logging.getLogger("varnika")
+
 
 def predict_distinct(df: DataFrame, source: str, predict: Callable[[Column], Column], out: str) -> DataFrame:
-    """df with predictions, made once for each distinct input and joined back."""
+    """df with predictions, made once for each distinct input and joined back: for kernels in Python that cost more than two shuffles."""
     once = df.select(source).distinct().select(F.col(source).alias("_in"), predict(F.col(source)).alias(out))
     return df.join(once, F.col(source).eqNullSafe(F.col("_in")), "left").drop("_in")
 
@@ -53,3 +56,37 @@ def best_so_far(df: DataFrame, by: list[str], order: list[str], loss: str) -> Da
 def decayed_rate(rate: float, decay: float, epoch: Column) -> Column:
     """The learning rate after so many epochs of time-based decay."""
     return F.lit(rate) / (1 + F.lit(decay) * epoch)
+
+
+def masked_loss(df: DataFrame, probability: str, target: str, pad: int = 0) -> DataFrame:
+    """Cross-entropy of the probabilities given to the targets: padded places add nothing, but count in the mean."""
+    loss = F.when(F.col(target) != pad, -F.ln(F.col(probability))).otherwise(0.0)
+    return df.agg(F.count("*").alias("n"), F.count_if(F.col(target) != pad).alias("n_used"), (F.sum(loss) / F.count("*")).alias("loss"))
+
+
+def status(source: Column, predicted: Column) -> Column:
+    """What became of a prediction: null (no input), failed (input, but nothing came of it; the prediction counts as empty) or ok."""
+    return F.when(source.isNull(), "null").when(F.coalesce(F.length(predicted), F.lit(0)) == 0, F.when(F.length(source) == 0, "ok").otherwise("failed")).otherwise("ok")
+
+
+def with_status(df: DataFrame, source: str, predicted: str, out: str = "result") -> DataFrame:
+    """df with a struct (text, status) for each prediction; a failed one has the empty text."""
+    return df.withColumn(out, F.struct(F.coalesce(predicted, F.lit("")).alias("text"), status(F.col(source), F.col(predicted)).alias("status")))
+
+
+def log_failures(df: DataFrame, result: str = "result") -> int:
+    """Writes the number of failed predictions to the log, as an error if there are any, and returns it."""
+    n = df.filter(F.col(result)["status"] == "failed").count()
+    (log.error if n else log.debug)("%d predictions failed", n)
+    return n
+
+
+def elapsed(df: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Seconds from the first to the last moment of each group."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return df.groupBy(*by).agg(((micros(F.max(at)) - micros(F.min(at))) / F.lit(1e6)).alias("seconds"))
+
+
+def message(template: str, *values: Column) -> Column:
+    """A line of a report."""
+    return F.format_string(template, *values)

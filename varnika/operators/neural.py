@@ -26,6 +26,15 @@ def random_weights(n_in: int, n_out: int, embed: int = 16, units: int = 32, seed
     return {k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in shape.items()}
 
 
+def save_weights(path: str, weights: dict[str, np.ndarray]) -> None:
+    np.savez(path, **weights)
+
+
+def load_weights(path: str) -> dict[str, np.ndarray]:
+    with np.load(path) as f:
+        return {k: f[k] for k in f.files}
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -83,7 +92,7 @@ def transliterator(path: str, vocab_in: dict[str, int], vocab_out: dict[str, int
 
         where = SparkFiles.get(path.rpartition("/")[2])
         if where not in _loaded:
-            _loaded[where] = dict(np.load(where))
+            _loaded[where] = load_weights(where)
         for texts in batches:
             words = [w for t in texts.dropna() for w in t.split(" ")]
             made = spell(words, _loaded[where], vocab_in, vocab_out, steps_in, steps)

@@ -5,15 +5,23 @@ Queries derive Devanagari from Latin names by a fixed letter table, in the same
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varnika.functions import rules, text, vocab
-from varnika.operators import evaluate, pairs
+from varnika.operators import evaluate, neural, numbering, pairs
+from varnika.plans import spelling_sql
 from varnika.sources import extract
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "अबचदएफगहइजकलमनओपखरसतउवभषयझ"
+#: The same with vowel signs, virama, nukta and nasals for some letters, so that words hold all that the rules know.
+SIGNED = "ाबचदेफग्िजकलमनोपखरसतुवँष़ं"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +35,15 @@ def devanagari(c: Column) -> Column:
     return F.translate(F.lower(c), LATIN, LETTERS)
 
 
+def signed(c: Column) -> Column:
+    return F.translate(F.lower(c), LATIN, SIGNED)
+
+
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle.replace("{dev}", f"'{LATIN}', '{LETTERS}'")
+            ORACLES[f.__name__] = oracle.replace("{dev}", f"'{LATIN}', '{LETTERS}'").replace("{signed}", f"'{LATIN}', '{SIGNED}'")
         return f
 
     return add
@@ -198,7 +210,7 @@ def distance_hist(spark, sf_dir):
     return evaluate.histogram(_distances(spark, sf_dir))
 
 
-@query("select o_orderkey, o_orderkey % 5 <> 0 as is_train from orders")
+@query("select o_orderkey, ('0x' || left(md5(o_orderkey::varchar), 8))::bigint % 5 <> 0 as is_train from orders")
 def hash_split(spark, sf_dir):
     return pairs.hash_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "is_train")
 
@@ -259,7 +271,7 @@ def sentinel_wrap(spark, sf_dir):
 
 @query("select p_partkey, p_name, row_number() over (order by p_partkey) as unique_id from part")
 def surrogate_id(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(Window.orderBy("p_partkey")).cast("long").alias("unique_id"))
+    return numbering.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "unique_id", 1)[0]
 
 
 @query("select p_partkey, p_name from part order by p_partkey limit 5")
@@ -295,24 +307,117 @@ def compare_systems(spark, sf_dir):
     return evaluate.compare(df, "english", {"first": "a", "second": "b"}).select("p_partkey", "first_edit_distance", "second_edit_distance")
 
 
-@query()
+_HINDI_WORDS = f"select unnest(string_split(hindi, ' ')) as word from {_PART}"
+_TEXTS = f"(select hindi, string_agg(latin, ' ' order by place) as latin from (select hindi, unnest(string_split(hindi, ' ')) as word, unnest(range(len(string_split(hindi, ' ')))) as place from (select distinct hindi from {_PART})) join spelled using (word) group by hindi)"
+_SIGNED_WORDS = "select unnest(string_split(translate(lower(text), {signed}), ' ')) as word from benchmark"
+
+
+@query(spelling_sql.spelled(_HINDI_WORDS) + f"select p_partkey, hindi, latin from {_PART} join {_TEXTS} using (hindi)")
 def translit_rules(spark, sf_dir):
-    df = _part(spark, sf_dir).select("p_partkey", "hindi")
-    return evaluate.predict_distinct(df, "hindi", rules.transliterate, "latin")
+    return _part(spark, sf_dir).select("p_partkey", "hindi", rules.transliterate(F.col("hindi")).alias("latin"))
 
 
-@query()
+def _signed_words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.explode(text.split_words(signed(F.col("text")))).alias("word")).filter("word <> ''").distinct()
+
+
+@query(spelling_sql.spelled(_SIGNED_WORDS) + "select word, latin from spelled where word <> ''")
+def translit_signs(spark, sf_dir):
+    return _signed_words(spark, sf_dir).select("word", rules.transliterate(F.col("word")).alias("latin"))
+
+
+@query(spelling_sql.k_best("select * from (" + _SIGNED_WORDS + ") where word <> ''"))
 def translit_k_best(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(text.split_words(devanagari(F.col("text")))).alias("word")).filter("word <> ''").distinct()
-    return rules.k_best(words, "word", 5)
+    return rules.k_best(_signed_words(spark, sf_dir), "word", 5).select("word", "guess", F.col("cost").cast("int").alias("cost"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+@query(spelling_sql.spelled(_HINDI_WORDS) + f"select count(*) as n, count(*) filter (distance = 0) as n_exact, avg((distance = 0)::int::double) as accuracy from (select hindi, min(levenshtein(latin, english)::double / strlen(english)) as distance from {_PART} join {_TEXTS} using (hindi) group by hindi)")
 def translit_accuracy(spark, sf_dir):
-    df = evaluate.predict_distinct(_part(spark, sf_dir), "hindi", rules.transliterate, "latin")
+    df = _part(spark, sf_dir).withColumn("latin", rules.transliterate(F.col("hindi")))
     return evaluate.exact_match(evaluate.best_of(evaluate.distances(df, "latin", "english"), "hindi"))
 
 
+@query(spelling_sql.spelled(_SIGNED_WORDS) + "select status, count(*) as n from (select case when word = '' or latin <> '' then 'ok' else 'failed' end as status from spelled union all select 'null' from nation where n_nationkey % 2 = 0) group by status")
+def translit_status(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.split_words(signed(F.col("text")))).alias("word")).distinct()
+    missing = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.lit(None).cast("string").alias("word"))
+    df = words.unionByName(missing).withColumn("latin", rules.transliterate(F.col("word")))
+    return evaluate.with_status(df, "word", "latin").groupBy(F.col("result.status").alias("status")).agg(F.count("*").alias("n"))
+
+
+VOCAB_IN, VOCAB_OUT = {c: i for i, c in enumerate(LETTERS, 1)}, {c: i for i, c in enumerate("^$" + LATIN, 1)}
+
+
+def _weights_file() -> str:
+    """Seeded weights in a folder of the driver, which ships the file; it goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="varnika-weights-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "seeded.npz")
+    neural.save_weights(path, neural.random_weights(len(VOCAB_IN) + 1, len(VOCAB_OUT) + 1, seed=7))
+    return path
+
+
+@query()
+def neural_spell(spark, sf_dir):
+    path = _weights_file()
+    spark.sparkContext.addFile(path)
+    kernel = neural.transliterator(path, VOCAB_IN, VOCAB_OUT, 47, 20)
+    return evaluate.predict_distinct(_part(spark, sf_dir).select("p_partkey", "hindi"), "hindi", kernel, "latin")
+
+
+@query("select l_returnflag, n, n_used, round(loss, 6) as loss from (select l_returnflag, count(*) as n, count(*) filter (l_linenumber % 4 <> 0) as n_used, sum(case when l_linenumber % 4 <> 0 then -ln((l_discount + 0.01) / 0.2) else 0 end) / count(*) as loss from lineitem group by l_returnflag)")
+def masked_loss(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", ((F.col("l_discount") + 0.01) / 0.2).alias("p"), (F.col("l_linenumber") % 4).alias("target"))
+    one = lambda flag: evaluate.masked_loss(df.filter(F.col("l_returnflag") == flag), "p", "target").select(F.lit(flag).alias("l_returnflag"), "n", "n_used", F.round("loss", 6).alias("loss"))
+    return one("A").unionByName(one("N")).unionByName(one("R"))
+
+
+@query(f"select c.p_partkey as row_id, (c.pos - 1)::bigint as t, v.id as idx from {_CHARS} c join {_VOCAB} v using (ch) where c.pos > 0")
+def one_hot_shifted(spark, sf_dir):
+    df = vocab.shifted_one_hot(_encoded(spark, sf_dir), "ids", "p_partkey")
+    return df.select("row_id", F.col("t").cast("long").alias("t"), F.col("idx").cast("long").alias("idx"))
+
+
+@query(f"select p_partkey, array_to_string(list_concat(ids, ids), ' ') as ids from {_IDS}")
+def tile_ids(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("p_partkey", _text(vocab.tile(F.col("ids"), 2)).alias("ids"))
+
+
+@query("""select 0 as place, 'c_custkey' as name, 'bigint' as dtype, count(*) as n_rows, count(c_custkey) as n_values from customer
+union all select 1, 'segment', 'string', count(*), count(nullif(c_mktsegment, 'BUILDING')) from customer union all select 2, 'c_acctbal', 'double', count(*), count(c_acctbal) from customer""")
+def table_info(spark, sf_dir):
+    return pairs.info(table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), "c_acctbal"))
+
+
+@query("select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'nan') as segment, nullif(c_mktsegment, 'BUILDING') as kept_null, c_nationkey::varchar as nation from customer")
+def as_text(spark, sf_dir):
+    segment = F.nullif("c_mktsegment", F.lit("BUILDING"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.as_text(segment).alias("segment"), text.as_text(segment, None).alias("kept_null"), text.as_text(F.col("c_nationkey")).alias("nation"))
+
+
+@query("select p_partkey, (row_number() over (order by md5('1|' || p_partkey)) - 1)::bigint as place from part")
+def shuffled_rows(spark, sf_dir):
+    return pairs.shuffled(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+@query("select item_id, (i - 1)::bigint as place, words[i] as words, sizes[i]::bigint as sizes from (select item_id, words, sizes, unnest(range(1, len(words) + 1)) as i from (select item_id, string_split(text, ' ') as words, list_transform(string_split(text, ' ')[2:], lambda w: length(w)) as sizes from benchmark))")
+def zipped_lists(spark, sf_dir):
+    words = text.split_words(F.col("text"))
+    sizes = F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w: F.length(w).cast("long"))
+    df = pairs.zip_lists(table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"), sizes.alias("sizes")), "words", "sizes")
+    return df.select("item_id", F.col("place").cast("long").alias("place"), "words", "sizes")
+
+
+@query("select event_type, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::double as seconds from events group by event_type")
+def epoch_seconds(spark, sf_dir):
+    return evaluate.elapsed(table(spark, sf_dir, "events"), ["event_type"], "ts")
+
+
+@query("select event_id, 'Epoch ' || user_id || ' Loss ' || printf('%.4f', value) as line from events")
+def report_lines(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", evaluate.message("Epoch %d Loss %.4f", F.col("user_id"), F.col("value")).alias("line"))
+
+
 @query("""select user_id, event_id, loss, best, (count(*) over (partition by user_id, best order by ts, event_id) - 1)::bigint as patience from
 (select user_id, event_id, ts, value as loss, min(value) over (partition by user_id order by ts, event_id) as best from events)""")
 def best_so_far(spark, sf_dir):
@@ -332,7 +437,7 @@ def rate_decay(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("epoch"), evaluate.decayed_rate(0.001, 0.01, F.col("n_nationkey")).alias("rate"))
 
 
-@query("select count(*) as n, (count(*) // 64)::bigint as steps, 100.0::double * sum((o_orderkey % 5 <> 0)::int) / count(*) as train_percent from orders")
+@query("select count(*) as n, (count(*) // 64)::bigint as steps, 100.0::double * sum((('0x' || left(md5(o_orderkey::varchar), 8))::bigint % 5 <> 0)::int) / count(*) as train_percent from orders")
 def steps_per_epoch(spark, sf_dir):
     df = pairs.hash_split(table(spark, sf_dir, "orders"), "o_orderkey")
     return df.agg(F.count("*").alias("n"), F.expr("count(*) div 64").alias("steps"), (F.lit(100.0) * F.count_if("is_train") / F.count("*")).alias("train_percent"))
@@ -379,6 +484,6 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.has_next(F.col("html")).alias("has_next"), F.size(found).cast("long").alias("n_links"), extract.first_field(found).alias("first_link"))
 
 
-@query()
+@query("select p_partkey, p_name from part order by md5('1|' || p_partkey || '|' || p_name) limit 10")
 def random_rows(spark, sf_dir):
     return pairs.sample_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), 10)

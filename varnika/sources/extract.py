@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -52,9 +53,9 @@ def first_field(values: Column) -> Column:
 
 
 #: Where a candidate's page keeps its rows, in the first and second section, and the row and place of each field.
-CARD, FORM = "div/div/div/div/div.card-body/div/div", "div/div.row/div/div/div/div/div/form/div/div#1/div"
-SCALARS = {"party_name": (0, "div#2"), "name_english": (2, "div#2/div/p/b"), "name_hindi": (3, "div#2/div/p/b"), "assembly_constituency": (4, "div#2/div/p"), "state": (5, "div#2/div/p")}
-LISTS = {"application_uploaded": (6, "div#2/div/p"), "current_status": (7, "div#2/div/p")}
+CARD, FORM = 'div/div/div/div/div[@class="card-body"]/div/div', 'div/div[@class="row"]/div/div/div/div/div/form/div/div[1]/div'
+SCALARS = {"party_name": (0, "div[2]"), "name_english": (2, "div[2]/div/p/b"), "name_hindi": (3, "div[2]/div/p/b"), "assembly_constituency": (4, "div[2]/div/p"), "state": (5, "div[2]/div/p")}
+LISTS = {"application_uploaded": (6, "div[2]/div/p"), "current_status": (7, "div[2]/div/p")}
 PERSONAL = {"fathers_or_husbands_name_english": (0, "div/p"), "fathers_or_husbands_name_hindi": (1, "div/p"), "name": (2, "div/p"), "address": (4, "div/p"), "age": (6, "div/p")}
 CANDIDATE = ", ".join([*(f"{c} string" for c in SCALARS), *(f"{c} array<string>" for c in [*LISTS, *PERSONAL])])
 
@@ -92,13 +93,15 @@ class _Page(HTMLParser):
         self.open[-1].texts.append(data)
 
 
+STEP = re.compile(r"""(?P<tag>\w+)(?:\[(?:(?P<n>\d+)|@class="(?P<name>[^"]*)")\])?""")
+
+
 def _reach(elements: list[_Element], path: str) -> list[_Element]:
-    """The elements at a path of child steps: tag, tag.class (the whole class attribute) or tag#n (the n-th such child)."""
+    """The elements at a path of child steps: tag, tag[n] (the n-th such child) or tag[@class="..."] (the whole attribute)."""
     for step in path.split("/"):
-        tag, _, name = step.partition(".")
-        tag, _, n = tag.partition("#")
-        among = [[c for c in e.children if c.tag == tag and name in ("", c.name)] for e in elements]
-        elements = [c for kids in among for c in (kids[int(n) - 1 : int(n)] if n else kids)]
+        want = STEP.fullmatch(step)
+        kids = [[c for c in e.children if c.tag == want["tag"] and want["name"] in (None, c.name)] for e in elements]
+        elements = [c for k in kids for c in (k if want["n"] is None else k[int(want["n"]) - 1 : int(want["n"])])]
     return elements
 
 

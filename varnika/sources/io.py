@@ -48,6 +48,11 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def write_affidavits(df: DataFrame, path: str) -> None:
+    """Affidavit records in file order; columns that df lacks are empty."""
+    write_csv(df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in AFFIDAVIT]), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
