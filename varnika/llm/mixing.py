@@ -193,11 +193,20 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     named = F.md5(F.concat_ws("\1", *[F.coalesce(c.cast("string"), F.lit("\2")) for c in marks], F.md5(F.coalesce(text, F.lit("\2")))))
     rows = docs.select(named.alias("_id"), F.col(text).alias("_t"), F.col(how.pop("source", "source")).alias("_source"))
     parts = mix(rows, text="_t", source="_source", key="_id", carry=["_id"], **how)
-    # texts move once: equal rows share an id, and the n-th of them takes the n-th place
-    parts = parts.select(F.col("_id").alias("_p"), F.row_number().over(Window.partitionBy("_id").orderBy("first")).alias("_place"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    # Texts move once, to their id. Only where several rows share an id, the n-th row also has to find the n-th place of it.
+    parts = parts.select(F.col("_id").alias("_p"), "first", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    parts = keep(parts, "parts")
+    again = keep(parts.groupBy(F.col("_p").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again"), "again")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_t"), named.alias("_id"))
-    marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1))))
-    df = marked.join(parts, (F.col("_id") == F.col("_p")) & (F.col("_copy") == F.col("_place"))).select("_doc", "_t", "_size", "_taken")
+    some = ("_doc", "_t", "_size", "_taken")
+    if again.isEmpty():
+        df = marked.join(parts, F.col("_id") == F.col("_p")).select(*some)
+    else:
+        one = marked.join(again, F.col("_id") == F.col("_again"), "left_anti").join(parts, F.col("_id") == F.col("_p")).select(*some)
+        rank = lambda by, order: F.row_number().over(Window.partitionBy(by).orderBy(order))
+        rows = marked.join(again, F.col("_id") == F.col("_again"), "left_semi").withColumn("_copy", rank("_id", F.lit(1)))
+        places = parts.join(again, F.col("_p") == F.col("_again"), "left_semi").withColumn("_place", rank("_p", "first"))
+        df = one.unionByName(rows.join(places, (F.col("_id") == F.col("_p")) & (F.col("_copy") == F.col("_place"))).select(*some))
     df = df.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_taken", lambda x: x["epoch"]))))
     df = df.withColumn("_mine", F.array_sort(F.transform(F.filter("_taken", lambda x: x["epoch"] == F.col("_epoch")), lambda x: F.struct(x["from"].alias("a"), x["words"].alias("n")))))
     df = df.withColumn("_n", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
