@@ -150,6 +150,32 @@ def test_opaque_spans_apart_from_base_spans(spark):
         assert r.free == [o for o in r.opaque if not any(b.s < o.e and o.s < b.e for b in r.base)]
 
 
+def test_masking(spark):
+    """Against a plain loop, on texts shorter and longer than a piece, with overlapping and touching spans and signs beyond 16 bits."""
+    rng, rows = random.Random(8), []
+    for size, n in [(0, 0), (40, 0), (1, 1)] + [(60, 12)] * 60 + [(4096, 1), (4097, 300), (8192, 2), (30_000, 900)]:
+        text = "".join(rng.choice("aé😀\n ") for _ in range(size))
+        starts = sorted(rng.randrange(size) for _ in range(n))
+        rows.append((text, [(s, rng.randrange(4), min(size, s + rng.randint(1, 9)), rng.random() < 0.3) for s in starts]))
+    rows.append((None, []))
+    df = spark.createDataFrame(rows, "t string, spans array<struct<s:int,k:int,e:int,live:boolean>>")
+
+    def plain(text, spans):
+        out, at = [], 0
+        while spans:
+            s, _, end, live = spans[0]
+            n = 1
+            while n < len(spans) and spans[n][0] < end:
+                end, live = max(end, spans[n][2]), live or spans[n][3]
+                n += 1
+            out += [text[at:s], "[SECRET]" if live else "[EXAMPLE]"]
+            at, spans = end, spans[n:]
+        return text if text is None else "".join(out) + text[at:]
+
+    got = df.select("t", "spans", secrets.redacted(F.col("t"), F.col("spans")).alias("out")).collect()
+    assert all(r.out == plain(r.t, [tuple(x) for x in r.spans]) for r in got)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
 def test_running_sums(spark, n):
     values = np.random.default_rng(n).integers(0, 9, n).tolist()

@@ -22,6 +22,8 @@ KINDS = (
 )
 #: Elements of a block in running sums and greatest values.
 BLOCK = 128
+#: Code points of a piece of text when it is masked.
+PIECE = 4096
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 SPAN = "struct<s:int,k:int,e:int,v:string>"
 
@@ -41,6 +43,16 @@ def _running(values: Column) -> Column:
     return let(values, sums)
 
 
+def _tops(values: Column) -> Column:
+    """The greatest value of each block of an array."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _top(values: Column, tops: Column, i: Column) -> Column:
+    """The greatest value before place i, 0 at least; tops are those of values."""
+    return F.greatest(F.array_max(F.slice(tops, F.lit(1), F.floor(i / BLOCK).cast("int"))), F.array_max(F.slice(values, i - i % BLOCK + 1, i % BLOCK)), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """The leftmost non-overlapping matches as (start, kind, end, value), in code points.
 
@@ -67,17 +79,15 @@ def _apart(base: Column, opaque: Column) -> Column:
 
     def sweep(m: Column) -> Column:
         ends = F.transform(m, lambda x: F.when(x["tag"] == 0, x["e"]).otherwise(0))
-        tops = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(c, b * BLOCK + 1, F.lit(BLOCK))))
 
         def free(c: Column, t: Column) -> Column:
             def apart(x: Column, i: Column) -> Column:
                 after = F.get(m, i + 1)
-                earlier = F.greatest(F.array_max(F.slice(t, F.lit(1), F.floor(i / BLOCK).cast("int"))), F.array_max(F.slice(c, i - i % BLOCK + 1, i % BLOCK)), F.lit(0))
-                return (x["tag"] == 1) & (x["s"] >= earlier) & ~F.coalesce((after["tag"] == 0) & (after["s"] < x["e"]), F.lit(False))
+                return (x["tag"] == 1) & (x["s"] >= _top(c, t, i)) & ~F.coalesce((after["tag"] == 0) & (after["s"] < x["e"]), F.lit(False))
 
             return F.filter(m, apart)
 
-        found = let(ends, lambda c: let(tops(c), lambda t: free(c, t)))
+        found = let(ends, lambda c: let(_tops(c), lambda t: free(c, t)))
         return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v")))
 
     return F.when(F.size(opaque) > 0, let(F.array_sort(F.concat(tagged(base, 0), tagged(opaque, 1))), sweep)).otherwise(opaque)
@@ -143,15 +153,34 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each run of overlapping spans replaced by [SECRET] (if one of them looks live) or [EXAMPLE]."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("live"), F.lit(False).alias("open"), F.lit("").alias("out"))
-    mark = lambda a: F.when(~a["open"], F.lit("")).when(a["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
-
-    def step(a: Column, x: Column) -> Column:
-        inside = a["open"] & (x["s"] < a["at"])
-        fresh = F.struct(x["e"].alias("at"), x["live"].alias("live"), F.lit(True).alias("open"), F.concat(a["out"], mark(a), F.substring(text, a["at"] + 1, x["s"] - a["at"])).alias("out"))
-        wider = F.struct(F.greatest(a["at"], x["e"]).alias("at"), (a["live"] | x["live"]).alias("live"), F.lit(True).alias("open"), a["out"].alias("out"))
-        return F.when(inside, wider).otherwise(fresh)
-
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], mark(a), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """text with each run of overlapping spans replaced by [SECRET] (if one of them looks live) or [EXAMPLE].
+
+    What stands between runs is taken from pieces of the text, and where a run begins follows from the greatest end in blocks of spans. So
+    time grows with the length and the number of spans, not with their product.
+    """
+    n = F.size(spans)
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        def part(r: Column, k: Column) -> Column:
+            skip = F.greatest(r["a"] - k * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, k), skip + 1, F.least(r["b"] - k * PIECE, F.lit(PIECE)) - skip)
+
+        at = lambda x: F.floor(x / PIECE).cast("int")
+        joined = lambda r: F.array_join(F.transform(F.sequence(at(r["a"]), at(r["b"] - 1)), lambda k: part(r, k)), "")
+        return let(F.struct(start.alias("a"), end.alias("b")), lambda r: F.when(r["b"] > r["a"], joined(r)).otherwise(""))
+
+    def masked(x: Column) -> Column:
+        before = lambda i: _top(x["ends"], x["tops"], i)
+
+        def runs(firsts: Column) -> Column:
+            def run(i: Column, j: Column) -> Column:
+                live = F.exists(F.slice(spans, i + 1, F.coalesce(F.get(firsts, j + 1), n) - i), lambda s: s["live"])
+                return F.concat(cut(x["pieces"], before(i), F.get(spans, i)["s"]), F.when(live, F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]")))
+
+            return F.concat(F.array_join(F.transform(firsts, run), ""), cut(x["pieces"], before(n), F.length(text)))
+
+        return let(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(spans, i)["s"] >= before(i)), runs)
+
+    ends = F.transform(spans, lambda s: s["e"])
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(n > 0, let(F.struct(pieces.alias("pieces"), ends.alias("ends"), _tops(ends).alias("tops")), masked)).otherwise(text)
