@@ -77,4 +77,71 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op6_language_crf, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can say: the counts of the base kinds."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 SQL can say: the base columns, without the verdict of the sketches."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can say: sizes and targets, without the draws."""
+    return op9_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can say: the bytes in each shard, as plain scheduling one group at a time gives them."""
+    return op2_shard_lpt(spark, sf_dir).groupBy("shard").agg(F.sum("size").alias("bytes"))
+
+
+#: Parts of the operators' results that SQL can express; their SQL is written from the contracts, not from the operators.
+PARTS = {f.__name__: f for f in (secret_base_counts, quality_base, mix_targets, shard_loads)}
+ORACLES = {
+    "secret_base_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id,
+          len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 12))::BIGINT AS n_assign,
+          len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 18))::BIGINT AS n_access,
+          len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 16))::BIGINT AS n_hex
+        FROM d""",
+    "quality_base": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (
+          SELECT rid, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda k: array_to_string(ws[k : k + 7], ' '))) AS w FROM d WHERE len(ws) >= 8),
+        twice AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS earlier FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows) WHERE n > 1),
+        repeats AS (SELECT rid, sum(least(8, coalesce(i - earlier, 8))) AS n FROM twice GROUP BY rid),
+        lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+          len(ws) < 20 OR 100 * coalesce(n, 0) > 30 * len(ws) AS base_failed
+        FROM d JOIN lines USING (rid) LEFT JOIN repeats USING (rid)""",
+    # The level at which weight times level, stopped at twice the size, adds up to the share: the last end of a source's rise below it, and the rest by weight.
+    "mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        levels AS (SELECT 2.0::DOUBLE * source_size / weight AS level FROM s UNION SELECT 0),
+        filled AS (
+          SELECT level, sum(least(2.0::DOUBLE * source_size, weight * level)) AS held, sum(CASE WHEN 2.0::DOUBLE * source_size > weight * level THEN weight ELSE 0 END) AS rising
+          FROM levels, s GROUP BY level),
+        reached AS (SELECT * FROM filled WHERE held <= (SELECT 1.5::DOUBLE * sum(source_size) FROM s) ORDER BY level DESC LIMIT 1),
+        final AS (SELECT level + CASE WHEN rising > 0 THEN ((SELECT 1.5::DOUBLE * sum(source_size) FROM s) - held) / rising ELSE 0 END AS level FROM reached)
+        SELECT doc_id, size, source_size, round(least(2.0::DOUBLE * source_size, weight * level), 3) AS target
+        FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, final""",
+    "shard_loads": r"""
+        WITH RECURSIVE g AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY bytes DESC) AS k, bytes
+          FROM (SELECT sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY coalesce(text, ''))),
+        run(k, loads) AS (
+          SELECT 0::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]
+          UNION ALL
+          SELECT g.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.bytes ELSE x END)
+          FROM run JOIN g ON g.k = run.k + 1),
+        last AS (SELECT loads FROM run ORDER BY k DESC LIMIT 1)
+        SELECT (i - 1)::INT AS shard, loads[i]::BIGINT AS bytes FROM last, range(1, 9) AS r(i) WHERE loads[i] > 0""",
+}
