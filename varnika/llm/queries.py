@@ -91,7 +91,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op9 SQL can say: sizes and targets, without the draws."""
-    return op9_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+    return op9_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
 
 
 def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLES = {
           FROM levels, s GROUP BY level),
         reached AS (SELECT * FROM filled WHERE held <= (SELECT 1.5::DOUBLE * sum(source_size) FROM s) ORDER BY level DESC LIMIT 1),
         final AS (SELECT level + CASE WHEN rising > 0 THEN ((SELECT 1.5::DOUBLE * sum(source_size) FROM s) - held) / rising ELSE 0 END AS level FROM reached)
-        SELECT doc_id, size, source_size, round(least(2.0::DOUBLE * source_size, weight * level), 3) AS target
+        SELECT doc_id, size, source_size, round(least(2.0::DOUBLE * source_size, weight * level), 6) AS target
         FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, final""",
     "shard_loads": r"""
         WITH RECURSIVE g AS MATERIALIZED (
