@@ -2,6 +2,7 @@
 
 The encoder is an embedding and an LSTM; the decoder embeds the previous token, attends from that embedding (through a dense layer) to all
 encoder steps, and feeds context and embedding to an LSTM cell and an output layer. Decoding is greedy up to a fixed number of steps.
+Attention is by dot product; with weights that hold `scale`, it is additive, and the embedding itself, then as wide as a state, is the query.
 Weights are arrays of an .npz file, which `SparkContext.addFile` ships; each Python worker loads it once.
 """
 
@@ -17,12 +18,16 @@ STEPS_IN, STEPS_OUT = 47, 173
 _loaded: dict[str, dict] = {}
 
 
-def random_weights(n_in: int, n_out: int, embed: int = 16, units: int = 32, seed: int = 0) -> dict[str, np.ndarray]:
+def random_weights(n_in: int, n_out: int, embed: int = 16, units: int = 32, seed: int = 0, additive: bool = False) -> dict[str, np.ndarray]:
+    if additive and embed != units:
+        raise ValueError("additive attention needs embeddings as wide as the states")
     rng = np.random.default_rng(seed)
     shape = {
         "enc_embed": (n_in, embed), "enc_w": (embed, 4 * units), "enc_r": (units, 4 * units), "enc_b": (4 * units,), "dec_embed": (n_out, embed), "query_w": (embed, units), "query_b": (units,),
         "dec_w": (units + embed, 4 * units), "dec_r": (units, 4 * units), "dec_b": (4 * units,), "out_w": (units, n_out), "out_b": (n_out,),
     }
+    if additive:
+        shape = {k: v for k, v in shape.items() if not k.startswith("query")} | {"scale": (units,)}
     return {k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in shape.items()}
 
 
@@ -45,6 +50,18 @@ def _cell(x, h, c, w, r, b):
     return _sigmoid(o) * np.tanh(c), c
 
 
+def queries(e: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """What attends: embeddings (rows, steps, embed) through the dense layer, if there is one."""
+    return e if "scale" in p else e @ p["query_w"] + p["query_b"]
+
+
+def scores(query: np.ndarray, seen: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """How well each query fits each encoder step: (rows, steps, encoder steps)."""
+    if "scale" in p:
+        return np.tanh(query[:, :, None] + seen[:, None]) @ p["scale"]
+    return query @ seen.transpose(0, 2, 1)
+
+
 def run(ids: np.ndarray, weights: dict[str, np.ndarray], start: int, end: int, steps: int = STEPS_OUT) -> list[list[int]]:
     """Token ids for each row of padded input ids. Pads take part like other ids; a row ends at `end`, the batch when all have."""
     p, n = weights, len(ids)
@@ -57,9 +74,9 @@ def run(ids: np.ndarray, weights: dict[str, np.ndarray], start: int, end: int, s
     token, done, out = np.full(n, start), np.zeros(n, bool), [[] for _ in range(n)]
     for _ in range(steps):
         e = p["dec_embed"][token]
-        scores = np.einsum("bu,btu->bt", e @ p["query_w"] + p["query_b"], seen)
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-        context = np.einsum("bt,btu->bu", scores / scores.sum(axis=1, keepdims=True), seen)
+        fit = scores(queries(e[:, None], p), seen, p)[:, 0]
+        fit = np.exp(fit - fit.max(axis=1, keepdims=True))
+        context = np.einsum("bt,btu->bu", fit / fit.sum(axis=1, keepdims=True), seen)
         h, c = _cell(np.concatenate([context, e], axis=1), h, c, p["dec_w"], p["dec_r"], p["dec_b"])
         token = (h @ p["out_w"] + p["out_b"]).argmax(axis=1)
         for k in np.flatnonzero(~done):
