@@ -93,6 +93,14 @@ def _apart(base: Column, opaque: Column) -> Column:
     return F.when(F.size(opaque) > 0, let(F.array_sort(F.concat(tagged(base, 0), tagged(opaque, 1))), sweep)).otherwise(opaque)
 
 
+def suspect(text: Column) -> Column:
+    """Whether a pattern matches at all: a text where none does has no span."""
+    found = text.rlike(OPAQUE)
+    for _, pattern, _, _ in KINDS:
+        found = text.rlike(pattern) | found
+    return found
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `_base` and `_opaque`: arrays of (s, k, e, v) by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -117,23 +125,21 @@ def ownership(found: DataFrame, max_owners: int = 2, max_repos: int = 10) -> Dat
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
     """carry (default: all columns) with `_spans`: an array of (s, k, e, live) for each row, by start, then kind.
 
+    Only rows whose text a pattern matches are written to a table; all others go from docs to the result, so docs is read twice.
     k is the index in KINDS, or 3 for opaque. Null text counts as empty and has no span; null owners are one owner; repeated rows
     each get their spans and count once as repository; an empty table gives an empty result.
     """
     carry = docs.columns if carry is None else carry
     rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_who"))
-    rows = candidates(rows, "_text")
-    rows = rows.withColumn("_repo", F.when(F.size("_base") + F.size("_opaque") > 0, F.sha2("_text", 256)))
-    rows = rows.withColumn("_owner", F.when(F.col("_repo").isNotNull(), F.col("_who")))
-    rows = keep(rows.select("_doc", "_base", "_opaque", "_repo", "_owner", F.monotonically_increasing_id().alias("_rid")), "scan")
-    some = rows.filter(F.col("_repo").isNotNull())
-    each = keep(some.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "x.s", "x.k", "x.e", F.sha2("x.v", 256).alias("h")), "secrets")
+    hit = candidates(rows.filter(suspect(F.col("_text"))), "_text").withColumn("_repo", F.sha2("_text", 256))
+    hit = keep(hit.select("_doc", "_base", "_opaque", "_repo", F.col("_who").alias("_owner"), F.monotonically_increasing_id().alias("_rid")), "scan")
+    each = keep(hit.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "x.s", "x.k", "x.e", F.sha2("x.v", 256).alias("h")), "secrets")
     verdict = keep(ownership(each, max_owners, max_repos), "owners").select("h", "live")
     judged = each.join(verdict, "h")
     by_row = judged.groupBy(F.col("_rid").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("_spans"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,live:boolean>>")
-    joined = some.join(by_row, F.col("_rid") == F.col("_of"), "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
-    both = joined.unionByName(rows.filter(F.col("_repo").isNull()).select("_doc", none.alias("_spans")))
+    joined = hit.join(by_row, F.col("_rid") == F.col("_of"), "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
+    both = joined.unionByName(rows.filter(~suspect(F.col("_text"))).select("_doc", none.alias("_spans")))
     return both.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c != "_spans"], "_spans")
 
 
