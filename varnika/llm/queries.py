@@ -76,7 +76,27 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op6_language_crf, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules)}
+def op11_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
+_ALL = (op1_warc, op2_shard_lpt, op3_secret_scan, op4_wrapper_text, op5_pack_windows, op6_language_crf, op7_minhash, op8_embedding_forest, op9_source_mix, op10_quality_rules, op11_symmetric_delete, op12_tiled_topk, op13_hard_negatives)
+QUERIES = {f.__name__: f for f in _ALL}
 
 
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +119,7 @@ def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_shard_lpt(spark, sf_dir).groupBy("shard").agg(F.sum("size").alias("bytes"))
 
 
-#: Parts of the operators' results that SQL can express; their SQL is written from the contracts, not from the operators.
+#: Parts of the operators' results that SQL can express, and the SQL of these and of whole operators, written from the contracts, not from the operators.
 PARTS = {f.__name__: f for f in (secret_base_counts, quality_base, mix_targets, shard_loads)}
 ORACLES = {
     "secret_base_counts": r"""
@@ -144,4 +164,23 @@ ORACLES = {
           FROM run JOIN g ON g.k = run.k + 1),
         last AS (SELECT loads FROM run ORDER BY k DESC LIMIT 1)
         SELECT (i - 1)::INT AS shard, loads[i]::BIGINT AS bytes FROM last, range(1, 9) AS r(i) WHERE loads[i] > 0""",
+    "op12_tiled_topk": r"""
+        WITH v AS MATERIALIZED (
+          SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op13_hard_negatives": r"""
+        WITH v AS MATERIALIZED (
+          SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+          SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+          FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        w AS (
+          SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS n
+          FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, n::INT AS rank, negative_id, positive_score, negative_score FROM w WHERE n <= 5""",
 }
