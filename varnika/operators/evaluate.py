@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from varnika.functions.text import edit_distance
 
+from .numbering import best_so_far  # noqa: F401
+
 log = logging.getLogger("varnika")
 
 
@@ -45,23 +48,15 @@ def compare(df: DataFrame, truth: str, systems: dict[str, str]) -> DataFrame:
     return df.withColumns({f"{name}_edit_distance": edit_distance(F.col(c), F.col(truth)) for name, c in systems.items()})
 
 
-def best_so_far(df: DataFrame, by: list[str], order: list[str], loss: str) -> DataFrame:
-    """df with the smallest loss up to each row of its run, and patience: the rows since that was first reached."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = df.withColumn("best", F.min(loss).over(w))
-    since = Window.partitionBy(*by, "best").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return best.withColumn("patience", F.count("*").over(since) - 1)
-
-
 def decayed_rate(rate: float, decay: float, epoch: Column) -> Column:
     """The learning rate after so many epochs of time-based decay."""
     return F.lit(rate) / (1 + F.lit(decay) * epoch)
 
 
-def masked_loss(df: DataFrame, probability: str, target: str, pad: int = 0) -> DataFrame:
-    """Cross-entropy of the probabilities given to the targets: padded places add nothing, but count in the mean."""
+def masked_loss(df: DataFrame, probability: str, target: str, pad: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Cross-entropy of the probabilities given to the targets, for each combination of `by`: padded places add nothing, but count in the mean."""
     loss = F.when(F.col(target) != pad, -F.ln(F.col(probability))).otherwise(0.0)
-    return df.agg(F.count("*").alias("n"), F.count_if(F.col(target) != pad).alias("n_used"), (F.sum(loss) / F.count("*")).alias("loss"))
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(F.col(target) != pad).alias("n_used"), (F.sum(loss) / F.count("*")).alias("loss"))
 
 
 def status(source: Column, predicted: Column) -> Column:
@@ -74,9 +69,23 @@ def with_status(df: DataFrame, source: str, predicted: str, out: str = "result")
     return df.withColumn(out, F.struct(F.coalesce(predicted, F.lit("")).alias("text"), status(F.col(source), F.col(predicted)).alias("status")))
 
 
-def log_failures(df: DataFrame, result: str = "result") -> int:
-    """Writes the number of failed predictions to the log, as an error if there are any, and returns it."""
-    n = df.filter(F.col(result)["status"] == "failed").count()
+#: Statuses of a prediction that did not come about.
+FAILED = ("failed", "error", "timeout", "oov")
+
+
+def observed(df: DataFrame, result: str = "result") -> tuple[DataFrame, Observation]:
+    """(df, counts): df as it is, whose own job also counts its predictions and the failed ones. The counts are there once an action on the new df has run."""
+    counts = Observation(f"predictions-{uuid.uuid4().hex}")
+    failed = F.coalesce(F.col(result)["status"].isin(*FAILED), F.lit(False))
+    return df.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failed")), counts
+
+
+def log_failures(found: DataFrame | Observation, result: str = "result") -> int:
+    """Writes the number of failed predictions to the log, as an error if there are any, and returns it. From observed() it costs no job; a DataFrame is counted by one."""
+    if isinstance(found, Observation):
+        n = found.get["failed"]
+    else:
+        n = found.filter(F.col(result)["status"].isin(*FAILED)).count()
     (log.error if n else log.debug)("%d predictions failed", n)
     return n
 

@@ -7,9 +7,13 @@ A lost executor costs the recomputation of its rows: the only state, weights and
 
 from __future__ import annotations
 
+import io
+import json
 import logging
+import re
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,13 +111,17 @@ def gradients(ids_in: np.ndarray, ids_out: np.ndarray, p: dict[str, np.ndarray],
     return loss, after.size, d
 
 
-def summed(pairs: DataFrame, weights: dict[str, np.ndarray], back: bool = True) -> tuple[float, int, dict[str, np.ndarray]]:
-    """gradients() over all rows of pairs (ids_in, ids_out: arrays of ids, each of one length in all rows). Rows with a null array are left out."""
+def summed(pairs: DataFrame, weights: dict[str, np.ndarray], back: bool = True, model: Callable = gradients) -> tuple[float, int, dict[str, np.ndarray]]:
+    """model (gradients() or one of its kind) over all rows of pairs (ids_in, ids_out: arrays of ids, each of one length in all rows). Rows with a null array are left out.
+
+    Weights go to each executor once, as a broadcast as large as the model, and leave it when the sum is there.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, n, total = 0.0, 0, {}
+        loss, n, total, own = 0.0, 0, {}, shared.value
         for batch in batches:
-            one, places, grad = gradients(np.stack(batch["ids_in"]).astype(np.int64), np.stack(batch["ids_out"]).astype(np.int64), weights, back)
+            one, places, grad = model(np.stack(batch["ids_in"]).astype(np.int64), np.stack(batch["ids_out"]).astype(np.int64), own, back)
             loss, n = loss + one, n + places
             for k, v in grad.items():
                 total[k] = total[k] + v if k in total else v.astype(np.float64)
@@ -134,7 +142,10 @@ def summed(pairs: DataFrame, weights: dict[str, np.ndarray], back: bool = True)
 
     some = pairs.select("ids_in", "ids_out").filter("ids_in is not null and ids_out is not null")
     each = some.mapInPandas(task, PARTS)
-    got = each.groupBy("part", "at").applyInPandas(add, PARTS).collect()  # one set of gradients
+    try:
+        got = each.groupBy("part", "at").applyInPandas(add, PARTS).collect()  # one set of gradients
+    finally:
+        shared.destroy()
     loss, n = sum(r.loss for r in got), sum(r.n for r in got)
     parts: dict[str, list] = {}
     for r in sorted((r for r in got if r.part), key=lambda r: (r.part, r.at)):
@@ -160,27 +171,104 @@ class Adam:
         return new
 
 
-def train(pairs: DataFrame, weights: dict[str, np.ndarray], valid: DataFrame | None = None, epochs: int = 10, steps: int = 1, patience: int = 5, optimizer: Adam | None = None, path: str | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
+class RMSprop:
+    """A step over the root of the running mean of squared gradients. With decay, the rate falls at the start of each epoch from the second on."""
+
+    def __init__(self, rate: float = 0.001, keep: float = 0.9, least: float = 1e-7, decay: float = 0.0):
+        self.rate, self.keep, self.least, self.decay = rate, keep, least, decay
+        self.steps, self.mean, self.square = 0, {}, {}
+
+    def begin(self, epoch: int) -> None:
+        self.rate /= 1 + self.decay * epoch
+
+    def apply(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        self.steps += 1
+        new = dict(weights)
+        for k, g in grads.items():
+            self.square[k] = self.keep * self.square.get(k, 0.0) + (1 - self.keep) * g * g
+            new[k] = (weights[k] - self.rate * g / (np.sqrt(self.square[k]) + self.least)).astype(weights[k].dtype)
+        return new
+
+
+class Checkpoints:
+    """Versions of a training's state in a folder that all machines share: one file each, written under another name and committed by renaming it, so a version is whole or not there.
+
+    A state holds weights, the best weights, the optimizer's moments and numbers, and the course of training; it goes through the driver, as large as a few models.
+    """
+
+    def __init__(self, folder: str, keep: int = 2):
+        from pyarrow import fs
+
+        self.files, self.folder = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        self.keep = keep
+
+    def versions(self) -> list[int]:
+        from pyarrow import fs
+
+        found = self.files.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))
+        return sorted(int(m[1]) for m in (re.fullmatch(r"epoch-([0-9]+)[.]npz", x.base_name) for x in found) if m)
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/epoch-{version:06d}.npz"
+
+    def save(self, version: int, arrays: dict[str, dict[str, np.ndarray]], rest: dict) -> None:
+        flat = {f"{group}/{k}": v for group, some in arrays.items() for k, v in some.items()}
+        data = io.BytesIO()
+        np.savez(data, **flat, rest=np.frombuffer(json.dumps(rest).encode(), np.uint8))
+        self.files.create_dir(self.folder, recursive=True)
+        unfinished = f"{self.folder}/.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(unfinished) as f:
+            f.write(data.getvalue())
+        self.files.move(unfinished, self._path(version))
+        for old in self.versions()[: -self.keep]:
+            self.files.delete_file(self._path(old))
+
+    def last(self) -> tuple[int, dict[str, dict[str, np.ndarray]], dict] | None:
+        """(version, arrays, rest) of the latest version, if there is any."""
+        found = self.versions()
+        if not found:
+            return None
+        with self.files.open_input_stream(self._path(found[-1])) as f, np.load(io.BytesIO(f.read())) as data:
+            arrays: dict[str, dict[str, np.ndarray]] = {}
+            for name in data.files:
+                group, _, k = name.partition("/")
+                if k:
+                    arrays.setdefault(group, {})[k] = data[name]
+            return found[-1], arrays, json.loads(data["rest"].tobytes())
+
+
+def train(pairs: DataFrame, weights: dict[str, np.ndarray], valid: DataFrame | None = None, epochs: int = 10, steps: int = 1, patience: int = 5, optimizer: Adam | RMSprop | None = None, path: str | None = None, checkpoints: str | None = None, model: Callable = gradients, metric: Callable | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """(best weights, one dict (epoch, loss, val_loss, seconds) per epoch).
 
-    An epoch has `steps` mini-batches, to which a hash of the ids deals the rows; a table partitioned by a column `batch` (0 .. steps - 1)
+    An epoch has `steps` mini-batches, to which a hash of the ids deals the rows; a table partitioned by a column `batch` (0 .. steps - 1; see batches.write_batches)
     has its own deal, and a step then reads only its part. Weights are best at the least loss on valid (without it: on pairs); training stops after `patience`
-    epochs without a better one. With path, the best weights are written there as .npz whenever they change. Without any row, weights stay.
+    epochs without a better one. `metric`, a function like model, gives val_loss in the loss's place. With path, the best weights are written there as .npz whenever they change.
+    With checkpoints, a folder, the state is saved after each epoch, and a later call goes on from the last one, to the same weights as if it hadn't been interrupted. Without any row, weights stay.
     """
     optimizer = optimizer or Adam()
     batch = F.col("batch") if "batch" in pairs.columns else F.pmod(F.xxhash64("ids_in", "ids_out"), F.lit(steps))
-    best, least, since, history = weights, float("inf"), 0, []
-    for epoch in range(1, epochs + 1):
+    best, least, since, history, after = weights, float("inf"), 0, [], 0
+    saved = Checkpoints(checkpoints) if checkpoints else None
+    if saved and (found := saved.last()):
+        after, arrays, rest = found
+        weights, best = arrays["weights"], arrays["best"]
+        optimizer.mean, optimizer.square = arrays.get("mean", {}), arrays.get("square", {})
+        optimizer.steps, optimizer.rate, least, since, history = (rest[k] for k in ("steps", "rate", "least", "since", "history"))
+    for epoch in range(after + 1, epochs + 1):
+        if since >= patience:
+            break
+        if epoch > 1 and hasattr(optimizer, "begin"):
+            optimizer.begin(epoch - 1)
         began, loss, n = time.monotonic(), 0.0, 0
         for k in range(steps):
-            one, places, grads = summed(pairs.filter(batch == k), weights)
+            one, places, grads = summed(pairs.filter(batch == k), weights, model=model)
             loss, n = loss + one, n + places
             if places:
                 weights = optimizer.apply(weights, {name: g / places for name, g in grads.items()})
         if not n:
             return best, history
         loss /= n
-        held, places, _ = summed(valid, weights, back=False) if valid is not None else (loss, 1, {})
+        held, places, _ = summed(valid, weights, False, metric or model) if valid is not None else (loss, 1, {})
         val_loss = held / places if places else loss
         history.append({"epoch": epoch, "loss": loss, "val_loss": val_loss, "seconds": time.monotonic() - began})
         log.info("epoch %d: loss %.4f, held out %.4f, %.1f s", *history[-1].values())
@@ -190,6 +278,7 @@ def train(pairs: DataFrame, weights: dict[str, np.ndarray], valid: DataFrame | N
                 neural.save_weights(path, best)
         else:
             since += 1
-            if since >= patience:
-                break
+        if saved:
+            moments = {"mean": optimizer.mean, "square": optimizer.square}
+            saved.save(epoch, {"weights": weights, "best": best} | moments, {"steps": optimizer.steps, "rate": optimizer.rate, "least": least, "since": since, "history": history})
     return best, history
