@@ -6,11 +6,13 @@ single consonants that have vowels on both sides (decided from left to right).
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from .text import chars, join_words, split_words
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Romanisation of each sign.
 CONSONANTS = {
@@ -28,67 +30,49 @@ VIRAMA, NUKTA_SIGN = "्", "़"
 ALTERNATIVES = {"oo": ("u", 1), "v": ("w", 1), "ph": ("f", 1), "i": ("ee", 2), "a": ("aa", 2), "ai": ("ay", 2), "au": ("ou", 2), "sh": ("s", 3)}
 
 
-def _lookup(table: dict[str, str], c: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
-
-
-def sounds(word: Column) -> Column:
-    """(kind, text) of each sound: c consonant, v vowel, s inherent vowel that is spoken, x silent one, o other."""
-    step_kind = "array<struct<k:string,t:string>>"
-
-    def read(a: Column, c: Column) -> Column:
-        one = lambda k, t: F.struct(F.lit(k).alias("k"), t.alias("t"))
-        last = F.element_at(a, -1)
-        open_ = F.coalesce(F.try_element_at(a, F.lit(-1))["k"] == "s", F.lit(False))
-        cut = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-        consonant, vowel, sign, nasal = (_lookup(t, c) for t in (CONSONANTS, VOWELS, SIGNS, NASALS))
-        dotted = F.slice(a, F.lit(1), F.greatest(F.size(a) - 2, F.lit(0)))
-        return (
-            F.when(consonant.isNotNull(), F.concat(a, F.array(one("c", consonant), one("s", F.lit("a")))))
-            .when(sign.isNotNull(), F.when(open_, F.concat(cut, F.array(one("v", sign)))).otherwise(F.concat(a, F.array(one("v", sign)))))
-            .when(c == VIRAMA, F.when(open_, cut).otherwise(a))
-            .when(vowel.isNotNull(), F.concat(a, F.array(one("v", vowel))))
-            .when(nasal.isNotNull(), F.concat(a, F.array(one("n", nasal))))
-            .when(c == NUKTA_SIGN, F.when(open_ & (F.size(a) >= 2), F.concat(dotted, F.array(one("c", _dotted(F.try_element_at(a, F.lit(-2))["t"])), last))).otherwise(a))
-            .otherwise(F.concat(a, F.array(one("o", F.coalesce(_lookup(DIGITS, c), c)))))
-        )
-
-    return F.aggregate(chars(word), F.array().cast(step_kind), read)
-
-
-def _dotted(t: Column) -> Column:
-    plain = {CONSONANTS[k]: v for k, v in NUKTA.items()}
-    return F.coalesce(_lookup(plain, t), t)
-
-
-def spoken(found: Column) -> Column:
-    """The texts of the sounds, with silent inherent vowels left out, from left to right."""
-
-    def keep(a: Column, i: Column, x: Column) -> Column:
-        at = lambda k: F.get(x, i + k)
-        vowel = lambda s: F.coalesce(s["k"].isin("v", "s"), F.lit(False))
-        heard = F.coalesce(F.try_element_at(a, F.lit(-2))["k"].isin("v", "s"), F.lit(False))  # before the consonant
-        silent = (at(0)["k"] == "s") & ((i == F.size(x) - 1) & (F.size(x) > 2) | heard & F.coalesce(at(1)["k"] == "c", F.lit(False)) & vowel(at(2)) & (i + 2 < F.size(x)) & ~((at(2)["k"] == "s") & (i + 2 == F.size(x) - 1)))
-        return F.when(silent, a).otherwise(F.concat(a, F.array(at(0))))
-
-    empty = F.array().cast("array<struct<k:string,t:string>>")
-    fold = lambda x: F.when(F.size(x) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), empty, lambda a, i: keep(a, i, x))).otherwise(empty)
-    return F.get(F.transform(F.array(found), fold), F.lit(0))
-
-
-def transliterate_word(word: Column) -> Column:
-    return F.array_join(F.transform(spoken(sounds(word)), lambda s: s["t"]), "")
+#: Stands for an inherent vowel that is spoken. A noncharacter, so no text holds it.
+INHERENT = "\ufdd0"
+_C, _V, _S = ("".join(c for c in t if len(c) == 1) for t in (CONSONANTS, VOWELS | SIGNS, SIGNS))
+#: What turns a text into its spoken sounds: patterns and replacements, one after the other. Words end at a space. They hold neither a backslash nor a quote, so that they are the same in SQL.
+STEPS = (
+    (f"([{_C}]{NUKTA_SIGN}*+)(?![{_S}{VIRAMA}])", f"$1{INHERENT}"),  # no vowel sign or virama follows: the inherent vowel
+    (f"([{_C}]{NUKTA_SIGN}){NUKTA_SIGN}+", "$1"),
+    (f"(?<![{_C}]){NUKTA_SIGN}|{VIRAMA}", ""),  # what has no consonant to change; a virama has done its work
+    # between single consonants with vowels on both sides, from left to right: a match ends with the silent vowel, so the next one can't begin with it
+    (f"([{_V}{INHERENT}][{_C}]{NUKTA_SIGN}?){INHERENT}(?=[{_C}]{NUKTA_SIGN}?(?:[{_V}]|{INHERENT}[^ ]))", "$1"),
+    (f"(?<=[^ ][{_C}]{NUKTA_SIGN}?){INHERENT}(?![^ ])", ""),  # at a word's end, unless the word is that consonant
+)
+#: A sound: a consonant with its nukta, or any other character.
+SOUND = f"(?s)[{_C}]{NUKTA_SIGN}?|."
+_DOTTED = {CONSONANTS[k]: v for k, v in NUKTA.items()}
+SPELLED = {c: t for table in (CONSONANTS, VOWELS, SIGNS, NASALS, DIGITS) for c, t in table.items() if len(c) == 1} | {c + NUKTA_SIGN: _DOTTED.get(CONSONANTS[c], CONSONANTS[c]) for c in _C} | {INHERENT: "a"}
+
+
+def spoken(text: Column) -> Column:
+    """The Latin texts of the sounds that are spoken, from left to right; other characters are sounds of their own."""
+    for pattern, new in STEPS:
+        text = F.regexp_replace(text, pattern, new)
+    table = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
+    return F.transform(F.regexp_extract_all(text, F.lit(SOUND), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
 
 
 def transliterate(text: Column) -> Column:
     """The Latin spelling of a Devanagari text, word by word; other characters stay. Null gives null."""
-    return F.when(text.isNotNull(), join_words(F.transform(split_words(text), transliterate_word)))
+    return F.array_join(spoken(text), "")
+
+
+def transliterate_sql(text: str = "text") -> str:
+    """transliterate() of a column as an SQL expression."""
+    for pattern, new in STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{new}')"
+    table = ", ".join(f"'{c}', '{t}'" for c, t in SPELLED.items())
+    return f"array_join(transform(regexp_extract_all({text}, '{SOUND}', 0), c -> coalesce(try_element_at(map({table}), c), c)), '')"
 
 
 def k_best(df: DataFrame, text: str, k: int = 5, changes: int = 2) -> DataFrame:
     """df with (guess, cost, rank): up to k spellings of each word by rising cost, with up to `changes` sounds spelled otherwise."""
     other = F.create_map(*[x for s, (t, cost) in ALTERNATIVES.items() for x in (F.lit(s), F.struct(F.lit(t).alias("t"), F.lit(cost).alias("cost")))])
-    df = df.withColumn("_s", F.transform(spoken(sounds(F.col(text))), lambda s: s["t"]))
+    df = df.withColumn("_s", spoken(F.col(text)))
     ones = F.filter(F.transform("_s", lambda s, i: F.struct(i.alias("i"), F.try_element_at(other, s).alias("o"))), lambda x: x["o"].isNotNull())
     df = df.withColumn("_o", ones).withColumn("_none", F.array(F.array().cast("array<struct<i:int,o:struct<t:string,cost:int>>>")))
     sets = F.col("_none")
@@ -104,21 +88,46 @@ def k_best(df: DataFrame, text: str, k: int = 5, changes: int = 2) -> DataFrame:
 
 
 def register(spark: SparkSession, name: str = "transliterate") -> None:
-    """Make `transliterate(text)` a SQL function, fed in Arrow batches. Frames use the expression above, without Python."""
+    """Make `transliterate(text)` a SQL function of the session, with the expression as its body: no Python runs in it."""
+    spark.sql(f"create or replace temporary function {name}(text string) returns string return {transliterate_sql()}")
+
+
+class KBest:
+    """A table function (guess, cost, rank) of a word, k and the number of changes: the ranked spellings of k_best(), for lateral joins. Null gives no row."""
+
+    @staticmethod
+    def analyze(word: AnalyzeArgument, k: AnalyzeArgument | None = None, changes: AnalyzeArgument | None = None) -> AnalyzeResult:
+        for name, x in (("k", k), ("changes", changes)):
+            if x is not None and not isinstance(x.dataType, (ByteType, ShortType, IntegerType, LongType)):
+                raise ValueError(f"{name} must be a whole number")
+        return AnalyzeResult(StructType().add("guess", StringType()).add("cost", IntegerType()).add("rank", IntegerType()))
+
+    def eval(self, word: str | None, k: int = 5, changes: int = 2) -> Iterator[tuple[str, int, int]]:
+        if word is None:
+            return
+        heard = _sounds(word)
+        open_ = [i for i, t in enumerate(heard) if t in ALTERNATIVES]
+        best: dict[str, int] = {}
+        for places in (p for n in range(changes + 1) for p in itertools.combinations(open_, n)):
+            guess = "".join(ALTERNATIVES[t][0] if i in places else t for i, t in enumerate(heard))
+            cost = sum(ALTERNATIVES[heard[i]][1] for i in places)
+            best[guess] = min(cost, best.get(guess, cost))
+        for rank, (guess, cost) in enumerate(sorted(best.items(), key=lambda x: (x[1], x[0].encode()))[:k], 1):
+            yield guess, cost, rank
 
-    @F.pandas_udf("string")
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(hindi2english, na_action="ignore")
 
-    spark.udf.register(name, each)
+def register_k_best(spark: SparkSession, name: str = "transliterations") -> None:
+    """Make `transliterations(word[, k[, changes]])` a table function of the session."""
+    spark.udtf.register(name, F.udtf(KBest))
 
 
 def hindi2english(text: str | None) -> str | None:
     """The spelling of one text, outside Spark. Same rules."""
-    return None if text is None else " ".join(_word(w) for w in text.split(" "))
+    return None if text is None else " ".join("".join(_sounds(w)) for w in text.split(" "))
 
 
-def _word(word: str) -> str:
+def _sounds(word: str) -> list[str]:
+    """The texts of the sounds of a word that are spoken. An account of the rules of its own, character by character."""
     x: list[tuple[str, str]] = []
     for c in word:
         if c in CONSONANTS:
@@ -147,4 +156,4 @@ def _word(word: str) -> str:
             if i == len(x) - 1 and len(x) > 2 or heard and after:
                 continue
         out.append((kind, t))
-    return "".join(t for _, t in out)
+    return [t for _, t in out]

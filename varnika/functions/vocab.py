@@ -76,10 +76,50 @@ def one_hot(df: DataFrame, ids: str, row_id: str) -> DataFrame:
     return df.select(F.col(row_id).alias("row_id"), F.posexplode(ids).alias("t", "idx"))
 
 
+def dense_one_hot(ids: Column, steps: int, size: Column | int) -> Column:
+    """steps * size floats, step by step, with a 1 at the id of each step: a dense tensor, flattened. An id of 0 (padding), beyond the size or missing gives zeros."""
+    size = F.lit(size) if isinstance(size, int) else size
+    row = lambda t: F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.when((k > 0) & (F.get(ids, t) == k), 1.0).otherwise(0.0).cast("float"))
+    return F.when(ids.isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), row)))
+
+
+def sparse_one_hot(ids: Column, steps: int, size: int) -> Column:
+    """The same as a sparse vector for pyspark.ml, from the ids alone; its type has no expression that makes it, so Python does."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    def made(found):
+        if found is None:
+            return None
+        return Vectors.sparse(steps * size, [(t * size + k, 1.0) for t, k in enumerate(found[:steps]) if k is not None and 0 < k < size])
+
+    return F.udf(made, VectorUDT())(ids)
+
+
+def dense_of(vector: Column) -> Column:
+    """The floats of a vector of either kind; null for null."""
+    from pyspark.ml.functions import vector_to_array
+
+    return F.when(vector.isNotNull(), vector_to_array(vector, "float32"))
+
+
+def ids_of(dense: Column, steps: int, size: int) -> Column:
+    """The ids of a dense tensor, 0 where a step has no 1."""
+    step = lambda t: F.slice(dense, t * size + 1, F.lit(size))
+    found = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.greatest(F.array_position(step(t), F.lit(1.0).cast("float")) - 1, F.lit(0)).cast("int"))
+    return F.when(dense.isNotNull(), found)
+
+
 def read_tokenizer(path: str) -> dict:
-    """A tokenizer JSON, decoded as often as it was encoded: the file, its config, and the maps within."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    """A tokenizer JSON, decoded as often as it was encoded: the file, its config, and the maps within. path may be the address of a file system that all machines share."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, where = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(where) as f:
+            data = json.loads(f.read().decode("utf-8"))
+    else:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
     data = json.loads(data) if isinstance(data, str) else data
     config = data["config"]
     return config | {k: json.loads(v) for k, v in config.items() if isinstance(v, str) and k in ("word_counts", "word_docs", "index_docs", "index_word", "word_index")}

@@ -10,13 +10,13 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varnika.functions import rules, text, vocab
-from varnika.operators import evaluate, neural, numbering, pairs
+from varnika.operators import batches, evaluate, neural, numbering, pairs
 from varnika.plans import spelling_sql
-from varnika.sources import extract
+from varnika.sources import crawl, extract, io
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "अबचदएफगहइजकलमनओपखरसतउवभषयझ"
@@ -331,6 +331,19 @@ def translit_k_best(spark, sf_dir):
     return rules.k_best(_signed_words(spark, sf_dir), "word", 5).select("word", "guess", F.col("cost").cast("int").alias("cost"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(spelling_sql.k_best("select * from (" + _SIGNED_WORDS + ") where word <> ''"))
+def translit_k_best_lateral(spark, sf_dir):
+    """The same from the table function, joined laterally."""
+    rules.register_k_best(spark)
+    return spark.sql("select word, guess, cost, rank from {words}, lateral transliterations(word, 5)", words=_signed_words(spark, sf_dir))
+
+
+@query(spelling_sql.spelled(_HINDI_WORDS) + f"select p_partkey, hindi, latin from {_PART} join {_TEXTS} using (hindi)")
+def translit_sql_function(spark, sf_dir):
+    rules.register(spark)
+    return spark.sql("select p_partkey, hindi, transliterate(hindi) as latin from {part}", part=_part(spark, sf_dir))
+
+
 @query(spelling_sql.spelled(_HINDI_WORDS) + f"select count(*) as n, count(*) filter (distance = 0) as n_exact, avg((distance = 0)::int::double) as accuracy from (select hindi, min(levenshtein(latin, english)::double / strlen(english)) as distance from {_PART} join {_TEXTS} using (hindi) group by hindi)")
 def translit_accuracy(spark, sf_dir):
     df = _part(spark, sf_dir).withColumn("latin", rules.transliterate(F.col("hindi")))
@@ -357,19 +370,45 @@ def _weights_file() -> str:
     return path
 
 
-@query()
-def neural_spell(spark, sf_dir):
+def _shipped_weights(spark) -> str:
     path = _weights_file()
     spark.sparkContext.addFile(path)
-    kernel = neural.transliterator(path, VOCAB_IN, VOCAB_OUT, 47, 20)
+    return path
+
+
+@query()
+def neural_spell(spark, sf_dir):
+    kernel = neural.transliterator(_shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 47, 20)
     return evaluate.predict_distinct(_part(spark, sf_dir).select("p_partkey", "hindi"), "hindi", kernel, "latin")
 
 
+def _part_words(spark, sf_dir) -> DataFrame:
+    return _part(spark, sf_dir).select(F.explode(text.split_words(F.col("hindi"))).alias("word")).distinct()
+
+
+@query()
+def neural_k_best(spark, sf_dir):
+    """Five spellings of each word of the parts' names, by beam search."""
+    return neural.k_best(_part_words(spark, sf_dir), "word", _shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 5, 47, 20)
+
+
+#: The letters of a model that doesn't know all of them.
+VOCAB_FEW = {c: i for c, i in VOCAB_IN.items() if c not in "झयष"}
+
+
+@query(f"select case when regexp_matches(word, '[^{''.join(VOCAB_FEW)}]') then 'oov' else 'decoded' end as status, count(*) as n from (select distinct word from ({_HINDI_WORDS})) group by 1")
+def neural_status(spark, sf_dir):
+    """Words by what became of them in a model that lacks some letters. Whether a decoded one came to its end within 20 steps is the weights' affair, so both states are one here."""
+    kernel = neural.checked_transliterator(_shipped_weights(spark), VOCAB_FEW, VOCAB_OUT, 47, 20, None)
+    found = _part_words(spark, sf_dir).withColumn("result", kernel("word"))
+    status = F.when(F.col("result.status").isin("ok", "unfinished"), "decoded").otherwise(F.col("result.status"))
+    return found.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("select l_returnflag, n, n_used, round(loss, 6) as loss from (select l_returnflag, count(*) as n, count(*) filter (l_linenumber % 4 <> 0) as n_used, sum(case when l_linenumber % 4 <> 0 then -ln((l_discount + 0.01) / 0.2) else 0 end) / count(*) as loss from lineitem group by l_returnflag)")
 def masked_loss(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", ((F.col("l_discount") + 0.01) / 0.2).alias("p"), (F.col("l_linenumber") % 4).alias("target"))
-    one = lambda flag: evaluate.masked_loss(df.filter(F.col("l_returnflag") == flag), "p", "target").select(F.lit(flag).alias("l_returnflag"), "n", "n_used", F.round("loss", 6).alias("loss"))
-    return one("A").unionByName(one("N")).unionByName(one("R"))
+    return evaluate.masked_loss(df, "p", "target", by=["l_returnflag"]).withColumn("loss", F.round("loss", 6))
 
 
 @query(f"select c.p_partkey as row_id, (c.pos - 1)::bigint as t, v.id as idx from {_CHARS} c join {_VOCAB} v using (ch) where c.pos > 0")
@@ -426,10 +465,9 @@ def best_so_far(spark, sf_dir):
 
 @query("""select user_id, event_id, n::bigint as n, total / n as running_mean from (select user_id, event_id, count(*) over w as n, sum(round(value * 100)::bigint) over w / 100.0::double as total from events window w as (partition by user_id order by ts, event_id rows unbounded preceding))""")
 def running_loss(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cents = F.round(F.col("value") * 100).cast("long")
-    df = table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), (F.sum(cents).over(w) / F.lit(100.0)).alias("total"))
-    return df.select("user_id", "event_id", "n", (F.col("total") / F.col("n")).alias("running_mean"))
+    df = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    df = numbering.running(df, ["user_id"], ["ts", "event_id"], n=("count", F.lit(1)), total=("sum", F.col("cents")))
+    return df.select("user_id", "event_id", "n", (F.col("total") / F.lit(100.0) / F.col("n")).alias("running_mean"))
 
 
 @query("select n_nationkey as epoch, 0.001::double / (1 + 0.01::double * n_nationkey) as rate from nation")
@@ -487,3 +525,43 @@ def page_links(spark, sf_dir):
 @query("select p_partkey, p_name from part order by md5('1|' || p_partkey || '|' || p_name) limit 10")
 def random_rows(spark, sf_dir):
     return pairs.sample_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), 10)
+
+
+@query("""with recursive found(page, depth) as (select 0::bigint, 0 union
+select d, depth + 1 from (select depth, unnest([2 * page + 1, 3 * page + 2]) as d from found) where d in (select page_id from pages where page_id % 5 <> 4))
+select page, min(depth)::int as depth from found group by page""")
+def crawl_reach(spark, sf_dir):
+    """Pages of one site that a crawl reaches: each links to two others in several ways, back to the first, and wherever its own html does; every fifth lies in a foreign domain."""
+    n = F.col("page_id")
+    site = F.when(n % 5 == 4, "http://other.example/p/").otherwise("HTTP://Site.Example:80/p/./")
+    more = F.format_string('<a href="/p/%d#top"><a href="x/../%d"><a href="http://site.example/p/0"><a href="mailto:x@site.example"><a href="http://other.example/p/4">', 2 * n + 1, 3 * n + 2)
+    pages = table(spark, sf_dir, "pages").select(F.concat(site, n.cast("string")).alias("url"), F.concat(more, F.coalesce("html", F.lit(""))).alias("html"))
+    found = crawl.reach(pages, ["http://site.example/p/0"], ["site.example"])
+    return found.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page"), "depth")
+
+
+@query("""select event_id, case when event_id % 7 = 0 then 'malformed' end as reason, case when event_id % 7 <> 0 then json_extract_string(props, '$.' || json_keys(props)[1]) end as first_value
+from events where props is not null""")
+def quarantine(spark, sf_dir):
+    """Records of every event, every seventh of which was cut off: the good ones, parsed, and the others with the reason."""
+    df = table(spark, sf_dir, "events").filter("props is not null").select("event_id", F.when(F.col("event_id") % 7 == 0, F.left("props", F.length("props") - 1)).otherwise(F.col("props")).alias("props"))
+    good, bad = io.quarantined(df, "props", "map<string,string>")
+    value = F.try_element_at("props", F.get(F.map_keys("props"), F.lit(0)))
+    return good.select("event_id", F.lit(None).cast("string").alias("reason"), value.alias("first_value")).unionByName(bad.select("event_id", "reason", F.lit(None).cast("string").alias("first_value")))
+
+
+@query(f"""select p_partkey as row_id, (12 * (m + 1))::bigint as size, list_sum(list_transform(padded, lambda x, i: case when x > 0 then (i - 1) * (m + 1) + x else 0 end))::bigint as places, len(list_filter(padded, lambda x: x > 0))::bigint as ones
+from (select p_partkey, list_concat(ids[greatest(len(ids) - 11, 1):], list_transform(range(greatest(12 - len(ids), 0)), lambda x: 0)) as padded, (select max(id) from {_VOCAB}) as m from {_IDS})""")
+def one_hot_dense(spark, sf_dir):
+    """The dense tensors of the padded ids, by their size, their number of ones and the sum of the ones' places."""
+    dense = vocab.dense_one_hot(vocab.pad(F.col("ids"), 12), 12, F.size("letters") + 1)
+    df = _encoded(spark, sf_dir).select(F.col("p_partkey").alias("row_id"), dense.alias("x"))
+    places = F.aggregate(F.transform("x", lambda v, i: v.cast("long") * i), F.lit(0).cast("long"), lambda a, v: a + v)
+    return df.select("row_id", F.size("x").cast("long").alias("size"), places.alias("places"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v.cast("long")).alias("ones"))
+
+
+@query("select count(*) as n, sum(p_partkey)::bigint as keys, count(distinct p_partkey) as n_keys, 16 as n_batches from part")
+def buffered_batches(spark, sf_dir):
+    """Sixteen mini-batches through a shuffle buffer: every row is in one of them."""
+    df = batches.with_batches(table(spark, sf_dir, "part").select("p_partkey"), 16, 1000)
+    return df.agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.countDistinct("p_partkey").alias("n_keys"), F.countDistinct("batch").cast("int").alias("n_batches"))

@@ -59,3 +59,25 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def quarantined(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): df with the JSON of a column parsed, and the rows where that can't be, as they were, with a reason: malformed (no JSON) or schema (JSON of another kind).
+
+    A null text is good, and null. Both frames read df, which should be cheap to read twice.
+    """
+    whole = f"struct<value:{schema},_corrupt:string>"
+    wrapped = F.concat(F.lit('{"value":'), F.col(text), F.lit("}"))
+    parsed = F.from_json(wrapped, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    sound = F.try_parse_json(F.col(text)).isNotNull()
+    marked = df.withColumns({"_parsed": F.when(sound, parsed), "_reason": F.when(F.col(text).isNotNull() & ~sound, "malformed")})
+    marked = marked.withColumn("_reason", F.coalesce("_reason", F.when(F.col("_parsed._corrupt").isNotNull(), "schema")))
+    good = marked.filter("_reason is null").withColumn(text, F.col("_parsed.value")).drop("_parsed", "_reason")
+    return good, marked.filter("_reason is not null").withColumnRenamed("_reason", "reason").drop("_parsed")
+
+
+def read_json_quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) records of a JSON-lines file: rows of the schema, and the lines that hold none, with the reason."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    good, bad = quarantined(lines.withColumnRenamed("value", "_record"), "_record", f"struct<{', '.join(':'.join(f.strip().split(None, 1)) for f in schema.split(','))}>")
+    return good.select("_record.*"), bad.withColumnRenamed("_record", "record")
