@@ -529,5 +529,66 @@ def test_pipeline(spark, docs, empty, tmp_path):
         assert stage(spark, empty, "").count() == 0
 
 
+def plain_masked(rows):
+    """Each (doc_id, text, source), in order, with its secrets masked: patterns, ownership and masks by plain loops."""
+    kinds = [(re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
+    spans, owners, repos = [], {}, {}
+    for _, text, source in rows:
+        base = [(m.start(), m.end(), m[g]) for p, g, n in kinds for m in p.finditer(text or "") if len(m[g]) >= n]
+        wide = [(m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{24,}", text or "") if all(re.search(x, m[0]) for x in ("[0-9]", "[A-Z]", "[a-z]"))]
+        mine = base + [w for w in wide if not any(b[0] < w[1] and w[0] < b[1] for b in base)]
+        spans.append(sorted(mine))
+        for *_, v in mine:
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add(text)
+    live = {v: len(o) <= 2 and (len(o) == 1 or len(repos[v]) <= 10) for v, o in owners.items()}
+    out = []
+    for (_, text, _), mine in zip(rows, spans, strict=True):
+        made, at, k = "", 0, 0
+        while k < len(mine):
+            end, some, j = mine[k][1], live[mine[k][2]], k + 1
+            while j < len(mine) and mine[j][0] < end:
+                end, some, j = max(end, mine[j][1]), some or live[mine[j][2]], j + 1
+            made, at, k = made + text[at : mine[k][0]] + ("[SECRET]" if some else "[EXAMPLE]"), end, j
+        out.append(text if not mine else made + text[at:])
+    return out
+
+
+def test_run_against_plain_stages(spark, docs, tmp_path):
+    """From the table to the pieces: base rules, near copies, masks, texts of the mix and packed ids by plain loops; the fences and the draws are the operators' own, which have tests of their own."""
+    tokens = [f"filler{i} text stands here with word{i * 7} number{i} and more of word{i % 5} so rules hold twenty words at least in all {i}{j}" for i in range(9) for j in "ab"]
+    secret = [t + f' token="onlyhere{i}abcdef"' + (" password=sharedbyeveryone1" if i % 3 == 0 else "") + (" Zz9" * 1 + "Qw3" * 9 if i % 5 == 0 else "") for i, t in enumerate(tokens)]
+    extra = spark.createDataFrame([(2000 + i, t, "en", f"src{i % 4}", len(t), *ROWS[0][5:]) for i, t in enumerate(secret)], SCHEMA)
+    folder = str(tmp_path / "sf")
+    table = docs.unionByName(extra)
+    table.write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+
+    judged = quality.quality_rules(table.repartition(7), carry=["doc_id", "text", "source"]).collect()
+    kept = [(r.doc_id, r.text, r.source) for r in judged if r.kept]
+    assert len(kept) > 100 and all(len(words(t)) >= 20 for _, t, _ in kept)
+    _, of = linked([(i, t) for i, t, _ in kept if i is not None], 5)
+    firsts = sorted({(i, t, s) for i, t, s in kept if i is None or of[i] == i}, key=key)
+    masked = [(i, m, s) for (i, _, s), m in zip(firsts, plain_masked(firsts), strict=True)]
+    assert sum("[SECRET]" in t for _, t, _ in masked) > 5 and sum("[EXAMPLE]" in t for _, t, _ in masked) > 3
+    named = spark.createDataFrame([(hashlib.md5("\1".join(["\2" if i is None else str(i), "\2" if s is None else s, hashlib.md5(t.encode()).hexdigest()]).encode()).hexdigest(), i, t, s) for i, t, s in masked], "id string, doc_id long, text string, source string")
+    want = []
+    ids = Tokenizer.from_file(PATH)
+    for r in mixing.mix(named, key="id").collect():
+        for epoch in {x.epoch for x in r.taken}:
+            mine = sorted((x["from"], x["words"]) for x in r.taken if x.epoch == epoch)
+            found = list(re.finditer(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r.text))
+            text = r.text if sum(n for _, n in mine) == r["size"] else "".join(m[0] for a, n in mine for m in found[a : a + n]).rstrip(" ")
+            data = np.array([*ids.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            want += [(r.doc_id, at, len(data[at : at + 2048]), zlib.crc32(data[at : at + 2048].tobytes()), len(data)) for at in range(0, len(data), 2048)]
+    assert sorted(map(key, want)) == sorted(key((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)) for r in got)
+    windows = {}
+    for r in got:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in windows.values():
+        pieces.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *pieces[:-1]], pieces, strict=True) if (a, n) != (0, 0)) and pieces[0][0] == 0 and sum(n for _, n in pieces) <= 2048
+
+
 def test_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))

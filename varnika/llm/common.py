@@ -1,96 +1,21 @@
-"""Helpers that the operators share: durable cuts of the lineage, distributed prefix sums and word patterns."""
+"""Helpers that the operators share: distributed prefix sums, word patterns, Arrow settings, and the durable tables of varnika.operators.durable."""
 
 from __future__ import annotations
 
 import contextlib
-import functools
 import math
-import uuid
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varnika.operators.durable import drop, keep, remove, shared_dir, shared_path, table_path, tables_made, tidy  # noqa: F401
+
 #: ASCII white space separates words; all else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir. Without it there is none: a temporary folder is one machine's own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.startswith("local["):
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='varnika-')}"  # driver and executors are one process, as in tests
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/varnika-{name}-{uuid.uuid4().hex}"
-
-
-_watched: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def tables_made():
-    """A list of the folders that keep() writes while this holds."""
-    _watched.append([])
-    try:
-        yield _watched[-1]
-    finally:
-        _watched.pop()
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table that goes once nothing reads it."""
-    path = shared_path(spark, name)
-    for made in _watched:
-        made.append(path)
-    return path
-
-
-def tidy(f):
-    """f, returning a DataFrame, with the tables that keep() wrote meanwhile deleted but for those that the result reads."""
-
-    @functools.wraps(f)
-    def run(*args, **how):
-        with tables_made() as made:
-            df = f(*args, **how)
-        read = {x.rpartition("/")[0].rpartition("/")[2] for x in df.inputFiles()}
-        remove(df.sparkSession, [x for x in made if x.rpartition("/")[2] not in read])
-        return df
-
-    return run
-
-
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and gives Catalyst real sizes for its join choice.
-    """
-    path = table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by keep() that no later plan reads."""
-    remove(df.sparkSession, {x.rpartition("/")[0] for x in df.inputFiles()})
-
-
-def remove(spark: SparkSession, folders) -> None:
-    """Delete folders that keep() made."""
-    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in folders:
-        if "/varnika-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, for use inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -127,18 +52,39 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str | No
     return inner.join(total, cond, "left").withColumn(out, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_amount", "_bucket", *[f"_k{i}" for i in range(len(dealt))])
 
 
+_batches: dict[int, tuple[dict, list[tuple[int, int]]]] = {}
+_settings = threading.Lock()
+UNITS = {"k": 1 << 10, "m": 1 << 20}
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int, size: str = "4m"):
-    """While this holds, Python functions get at most so many rows and about so many bytes at once (one row at least). Jobs must run inside."""
-    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {k: spark.conf.get(k, None) for k in new}
-    for k, v in new.items():
-        spark.conf.set(k, v)
+    """While this holds, Python functions get at most so many rows and about so many bytes at once (one row at least). Jobs must run inside.
+
+    Settings belong to the session: of several threads inside, the smallest rows and bytes hold, and when the last one leaves, what was set before the first.
+    """
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    mine = rows, int(size[:-1]) * UNITS[size[-1]]
+
+    def settle(active: list[tuple[int, int]]) -> None:
+        for name, values in zip(names, zip(*active, strict=True), strict=True):
+            spark.conf.set(name, str(min(values)))
+
+    with _settings:
+        _, active = _batches.setdefault(id(spark), ({name: spark.conf.get(name, None) for name in names}, []))
+        active.append(mine)
+        settle(active)
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        with _settings:
+            active.remove(mine)
+            if active:
+                settle(active)
+            else:
+                before, _ = _batches.pop(id(spark))
+                for name, v in before.items():
+                    spark.conf.set(name, v) if v is not None else spark.conf.unset(name)
 
 
 def filesystem(uri: str):

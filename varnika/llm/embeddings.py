@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from .common import drop, keep, tidy
 from .components import connected_components
 
-TREES, LEAF, SPILL, SAMPLE = 12, 1024, 0.05, 4096
+TREES, LEAF, SPILL, SAMPLE = 12, 48, 0.05, 4096
+#: Classes of a leaf above its limit (a dense part) that are compared at once.
+CHUNK = 1024
 #: Width of a cut, in distances of the farthest linked unit vectors: at 1.25, a cut parts few of the links that it meets. Share of a
 #: part's pairs that both sides together may keep.
 REACH, WORTH = 1.25, 0.85
-#: Splits of the forest; what is above a leaf after them is compared in pairs of chunks.
+#: Splits of the forest; what is above a chunk after them is compared in pairs of chunks.
 ROUNDS = 6
 ROWS = "tree int, node long, cid long, cnt long, vec array<double>"
 
@@ -174,11 +176,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     good = rows.filter(F.col("vec").isNotNull())
     classes = keep(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count("*").alias("cnt")), "classes")
     root = F.shiftrightunsigned(F.xxhash64(F.col("label").cast("string"), F.size("vec")), 1)
-    # a label that fits a leaf is the same leaf in each tree, so one tree holds it
-    many = keep(classes.groupBy(root.alias("_root")).agg(F.count("*").alias("_many")), "labels")
-    grown = classes.withColumn("_at", root).join(many, F.col("_at") == F.col("_root"))
-    last = F.when(F.col("_many") > leaf, trees - 1).otherwise(0)
-    state = keep(grown.select(F.explode(F.sequence(F.lit(0), last)).alias("tree"), F.col("_at").alias("node"), "cid", "cnt", "vec"), "forest")
+    state = keep(classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), root.alias("node"), "cid", "cnt", "vec"), "forest")
     before = None
     for left in reversed(range(ROUNDS + 1)):  # the sizes are always those of the last state
         sizes = keep(state.groupBy("tree", "node").agg(F.count("*").alias("n")), "sizes")
@@ -190,7 +188,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     mark = F.xxhash64("tree", "node").alias("node")
     state = state.select(mark, "cid", "cnt", "vec")
     nodes = keep(state.groupBy("cid").agg(F.array_distinct(F.collect_list("node")).alias("nodes")), "nodes")
-    chunks = sizes.groupBy(mark).agg(F.max(F.ceil(F.col("n") / leaf)).cast("int").alias("q"))
+    chunks = sizes.groupBy(mark).agg(F.max(F.ceil(F.col("n") / CHUNK)).cast("int").alias("q"))
     placed = state.join(nodes, "cid").join(keep(chunks, "chunks"), "node")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("q")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))

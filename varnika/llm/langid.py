@@ -278,8 +278,8 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int = DOCS
     fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3))
     rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold != 1))
     rows = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    # a share of the ids, by hash, that leaves about four times per_lang of them, is ranked: no task gets more, however many there are
-    many = rows.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_many"))
+    # a share of the ids, by hash, that leaves about four times per_lang of them, is ranked: no task gets more, however many there are and however often rows repeat
+    many = rows.groupBy(F.col("lang").alias("_l")).agg(F.approx_count_distinct("key", 0.02).alias("_many"))
     few = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") <= 4 * per_lang
     near = rows.select("key", "lang").join(keep(many, "languages"), F.col("lang") == F.col("_l")).filter(few)
     ids = near.select("key", "lang").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).filter(F.col("r") <= per_lang)
@@ -288,17 +288,18 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int = DOCS
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for lang_, t in zip(b["lang"], b["text"], strict=True):
+            for key_, lang_, t in zip(b["key"], b["lang"], b["text"], strict=True):
                 tokens = [w for token in t.split() for w in parts(token)]
                 for i in range(WINDOWS):
                     at = max(0, len(tokens) - WINDOW_WORDS) * i // (WINDOWS - 1)
                     if i == 0 or len(tokens) > WINDOW_WORDS:
-                        out.append((lang_, " ".join(tokens[at : at + WINDOW_WORDS])))
-            yield pd.DataFrame(out, columns=["lang", "words"])
+                        out.append((lang_, str(key_), i, " ".join(tokens[at : at + WINDOW_WORDS])))
+            yield pd.DataFrame(out, columns=["lang", "key", "i", "words"])
 
-    # one row per sampled document: at most per_lang for each language
-    picked = rows.join(F.broadcast(ids), F.col("key") == F.col("_k"), "left_semi").mapInPandas(run, "lang string, words string")
-    return sorted((r.lang, r.words.split()) for r in picked.collect())
+    # rows that share an id give one set of windows for each language, so at most per_lang * WINDOWS for each language reach the driver
+    picked = rows.join(F.broadcast(ids), F.col("key") == F.col("_k"), "left_semi").mapInPandas(run, "lang string, key string, i int, words string")
+    one = picked.groupBy("lang", "key", "i").agg(F.min("words").alias("words"))
+    return sorted((r.lang, r.words.split()) for r in one.collect())
 
 
 @tidy

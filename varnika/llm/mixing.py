@@ -186,7 +186,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
     A document taken whole keeps its text as it is; otherwise its text is the taken words in order, each with the white space after it.
     Null and blank texts hold no word and are not in the mix; null keys and sources are values like others; repeated rows are documents
-    of their own; columns of any name stay; an empty table gives an empty result.
+    of their own, dealt to places by a hash of all their columns, so reruns agree; columns of any name stay; an empty table gives an empty result.
     """
     columns, kinds = docs.columns, dict(docs.dtypes)
     marks = [F.col(how.pop("key", "doc_id")), F.col(how.get("source", "source"))]
@@ -204,7 +204,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     else:
         one = marked.join(again, F.col("_id") == F.col("_again"), "left_anti").join(parts, F.col("_id") == F.col("_p")).select(*some)
         rank = lambda by, order: F.row_number().over(Window.partitionBy(by).orderBy(order))
-        rows = marked.join(again, F.col("_id") == F.col("_again"), "left_semi").withColumn("_copy", rank("_id", F.lit(1)))
+        rows = marked.join(again, F.col("_id") == F.col("_again"), "left_semi").withColumn("_copy", rank("_id", F.xxhash64(F.to_json("_doc"))))
         places = parts.join(again, F.col("_p") == F.col("_again"), "left_semi").withColumn("_place", rank("_p", "first"))
         df = one.unionByName(rows.join(places, (F.col("_id") == F.col("_p")) & (F.col("_copy") == F.col("_place"))).select(*some))
     df = df.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_taken", lambda x: x["epoch"]))))

@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     where = layout(patterns(counts, window))
     rows = rows.withColumn("_order", F.xxhash64("crcs"))
     rows = keep(prefix_sum(rows, ["_rest"], ["_key", "_order"], None, "_rank", n, 5_000), "ranked")
-    rows = prefix_sum(rows, ["_one"], ["_key", "_order"], "_full", "_ahead", n, 5_000)
+    rows = prefix_sum(rows, ["_one"], ["_key", "_order"], "_full", "_ahead", n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

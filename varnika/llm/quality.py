@@ -104,16 +104,19 @@ def thresholds(sketches: DataFrame, spread: float = SPREAD, prior: int = PRIOR)
 
 
 @tidy
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, spread: float = SPREAD, prior: int = PRIOR) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, spread: float = SPREAD, prior: int = PRIOR, again: bool = False) -> DataFrame:
     """carry (default: all columns) with BASE, base_failed and kept for each row.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of eight. kept: not base_failed, and
     within the fences of its language and source. Null text counts as empty and fails; null lang or source is a
-    group of its own; repeated rows are judged alike; an empty table gives an empty result.
+    group of its own; repeated rows are judged alike; very long texts are measured whole; an empty table gives an empty result. Columns of docs
+    of the names of BASE, base_failed and kept are replaced. With `again`, docs is read and measured twice, for the sketch and for the verdict; otherwise carry and measures are
+    written to a table in between, which is cheaper where carry is small.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in BASE]
     docs = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"))
-    measured = keep(measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES], *ENDS), "quality")
+    measured = measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES], *ENDS)
+    measured = measured if again else keep(measured, "quality")
     fences = keep(thresholds(keep(sketch(measured, "_g_lang", "_g_source"), "sketch"), spread, prior), "fences")
     df = measured.join(fences, F.col("_g_lang").eqNullSafe(F.col("_lang")) & F.col("_g_source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

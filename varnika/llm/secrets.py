@@ -4,7 +4,7 @@ Each candidate value is hashed, and its hash is aggregated over all documents by
 copies of one repository) and distinct owners (`source`). A value held by more than `max_owners` owners, or by several owners and
 more than `max_repos` repositories, is an example that is copied around; any other is owner-specific and looks live, however often
 its one owner repeats it. Besides the base kinds (assign, access, hex), the method adds spans of kind `opaque` (long tokens of mixed
-case with digits) that no base span touches. Spans of all kinds stay in either case. All work is done by DataFrame functions.
+case with digits) that no base span touches, where it looks live. scan() gives the spans of all kinds with their verdict. All work is done by DataFrame functions.
 """
 
 from __future__ import annotations
@@ -150,12 +150,12 @@ def listed(spans: Column) -> Column:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts by kind, the SHA-256 of the base spans, and all spans as text."""
+    """Counts by kind, the SHA-256 of the base spans, `spans` (base spans, and opaque ones that look live: a value that many owners copy is no secret of theirs), and `verdicts` (live or example) of all spans, in their order."""
     count = lambda k: F.size(F.filter("_spans", lambda x: x["k"] == k)).cast("long")
     base = F.filter("_spans", lambda x: x["k"] < len(KINDS))
     cols = {f"n_{kind}": count(k) for k, (kind, *_) in enumerate(KINDS)}
     cols |= {"n_opaque": count(len(KINDS)), "n_live": F.size(F.filter("_spans", lambda x: x["live"])).cast("long")}
-    return scanned.withColumns(cols | {"base_sha256": F.sha2(listed(base), 256), "spans": listed(F.col("_spans"))}).drop("_spans")
+    return scanned.withColumns(cols | {"base_sha256": F.sha2(listed(base), 256), "spans": listed(F.filter("_spans", lambda x: (x["k"] < len(KINDS)) | x["live"])), "verdicts": F.array_join(F.transform("_spans", lambda x: F.when(x["live"], "live").otherwise("example")), ",")}).drop("_spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
