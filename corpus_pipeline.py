@@ -3,12 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of documents, and keep columns of any other name as well. No stage fails on nulls in any column, empty or
 very long texts, repeated rows or an empty table (whose result is empty); what becomes of each is in the stage's docstring. run() deletes the tables that a stage left in the
-shared folder once its result is written.
+shared folder, and the result of the stage before, once its own result is written.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have under 20 words and go. A null language or source is a group of its own. Repeated rows are judged alike.
     """
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), *[F.col(c).alias(f"_{c}") for c in ("text", "lang", "source")])
-    judged = quality.quality_rules(marked, "_text", "_lang", "_source", carry=["_doc"])
+    judged = quality.quality_rules(marked, "_text", "_lang", "_source", carry=["_doc"], again=True)
     return judged.filter("kept").select("_doc.*")
 
 
@@ -67,6 +66,8 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null or empty text is one piece of the end id. Repeated rows and rows of null doc_id are documents of their own.
     """
+    import public_tokenizers
+
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -80,11 +81,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
         with tables_made() as made:
             stage(spark, docs, sf_dir).write.parquet(path)
-        remove(spark, made)  # nothing reads them any more
+        remove(spark, [*made, *before])  # nothing reads them any more
+        before = [path]
         docs = spark.read.parquet(path)
     return docs
