@@ -116,12 +116,14 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     carry = [c for c in (docs.columns if carry is None else carry) if c not in BASE]
     docs = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"))
     measured = measure(docs, "_text").select("_doc", "_g_lang", "_g_source", *BASE, *[f"_m_{m}" for m in MEASURES], *ENDS)
-    measured = measured if again else keep(measured, "quality")
+    # a column that depends on the row's place keeps the optimizer from moving the verdict below the measures, which would compute each of them for each of its mentions
+    measured = measured.withColumn("_fixed", F.monotonically_increasing_id()) if again else keep(measured, "quality")
     fences = keep(thresholds(keep(sketch(measured, "_g_lang", "_g_source"), "sketch"), spread, prior), "fences")
     df = measured.join(fences, F.col("_g_lang").eqNullSafe(F.col("_lang")) & F.col("_g_source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.col("_hi_end_length") >= F.col("_lo_length")
     for m in MEASURES:
         inside = inside & (F.col(f"_lo_end_{m}") <= F.col(f"_hi_{m}"))
-    df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    df = df.withColumn("base_failed", failed).withColumn("kept", kept & (F.col("_fixed") >= 0) if again else kept)
     return df.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c not in ("base_failed", "kept")], *BASE, "base_failed", "kept")
