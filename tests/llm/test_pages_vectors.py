@@ -93,6 +93,18 @@ def test_wrapper_decides_within_articles(spark):
     assert got == {i: f"Title {i}\n\nStory {i}" for i in range(6)} | {9: "Title 0\n\nWritten by our staff\n\nStory 0\n\nSend us your story"}
 
 
+def test_the_wrapper_overrules_names(spark):
+    """A host whose names mislead both ways: stories in `story share` and `widget`, and a constant line without a name; with few pages, or constant text, the name counts."""
+    story = lambda host, i, extra="": (i, f"http://{host}.example/{i}", page(f'<article><h1>Head {i}</h1><div class="story share"><p>Told {i} once</p></div><p class="plain">Follow the paper</p><div class="widget"><p>Use it here</p></div>{extra}</article><div class="widget"><p>Out {i}</p></div>'))
+    rows = [story("big", i) for i in range(8)] + [story("few", 20 + i) for i in range(2)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    got = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert all(got[i] == f"Head {i}\n\nTold {i} once" for i in range(8))
+    assert all(got[20 + i] == f"Head {20 + i}\n\nFollow the paper" for i in range(2))
+    off = {r.page_id: r.text for r in wrapper.extract(df, least=10**9).collect()}
+    assert all(off[i] == f"Head {i}\n\nFollow the paper" for i in range(8))  # without the wrapper, names decide
+
+
 def test_every_skeleton_counts(spark):
     """A host of 240 pages without two alike: the notice that only the last 150 skeletons (in any order) hold goes too, and rare lines stay."""
     notice = lambda i: '<div class="zz">Read this first</div>' if i >= 90 else ""

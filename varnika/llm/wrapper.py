@@ -5,7 +5,8 @@ aligned by simple tree matching (the greatest number of node pairs that keeps pa
 wrapper, in rounds of bounded groups, so that all of them count and none meets too many others; each page is aligned to it in the same way.
 Nodes that too few pages have can't be template, whatever their text, and are left out of the wrapper, which keeps it small. Over all pages of the host, a wrapper node whose text is the same
 on most pages is template; the slots whose text varies are content. Marks only narrow this: elements that say what they are (nav, footer,
-class "ad", ...) are never content, and a page with an article (or else main) has none outside it. Within an article, too, the wrapper decides.
+class "ad", ...) are never content, and a page with an article (or else main) has none outside it. Within an article, too, the wrapper decides: it
+takes out what is constant there, whatever its name, and keeps what varies under a name that content has as well ("share", "widget", ...).
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe noframes noembed xmp svg math select button object video audio canvas".split())
 NEVER = RAW | set("nav footer aside form menu dialog head search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|widgets?|related|recommended|share|sharing|social|comments?|commentlist|disqus|respond|replies|footer|masthead|site-header|page-header|topbar|toolbar|pagination|pager|search|hidden|skip-link|copyright)(?:$|[\s_-])", re.I)
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|related|recommended|social|comments?|commentlist|disqus|respond|replies|footer|masthead|site-header|page-header|topbar|toolbar|pagination|pager|skip-link|copyright)(?:$|[\s_-])", re.I)
+#: Names that furniture and content share. Outside articles they count like those above; within one, the wrapper overrules them where it can.
+WEAK = re.compile(r"(?:^|[\s_-])(?:share|sharing|search|widgets?|alert|hidden)(?:$|[\s_-])", re.I)
+#: The zone of a block in an article under an element named so.
+DOUBT = -2
 #: Articles named so are readers' comments; any other outermost article is one, whatever its name.
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply)(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
@@ -47,23 +52,23 @@ def _attributes(text: str) -> dict[str, str]:
 def blocks(page: str) -> tuple[str, list[tuple[int, str, int]]]:
     """The skeleton (parent:label of each node, in order of first sight) and the text blocks that may be content.
 
-    A block is (node, text, zone): zone 2 in an article, 1 in main, 0 elsewhere. Within a block, white space is one space.
+    A block is (node, text, zone): zone 2 in an article, 1 in main, 0 elsewhere, DOUBT in an article under a weak name. Within a block, white space is one space.
     """
     nodes: list[tuple[int, str]] = [(-1, "")]
     known: dict[tuple[int, str], int] = {}
     found: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, node, never content, zone
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]  # tag, node, never content, zone, doubt
     held: list[str] = []
     inside: list[int] = []  # places of the open paragraphs in the stack
 
     def flush() -> None:
         if held:
             if not stack[-1][2] and (text := " ".join(entities.unescape("".join(held)).split())):
-                found.append((stack[-1][1], text, stack[-1][3]))
+                found.append((stack[-1][1], text, DOUBT if stack[-1][4] else stack[-1][3]))
             held.clear()
 
     def close(k: int) -> None:
-        if any(x[0] in BLOCK or x[2] for x in stack[k:]):
+        if any(x[0] in BLOCK or x[2] or x[4] for x in stack[k:]):
             flush()
         del stack[k:]
         while inside and inside[-1] >= k:
@@ -93,13 +98,15 @@ def blocks(page: str) -> tuple[str, list[tuple[int, str, int]]]:
             close(len(stack) - 1)
         text = m[3] if m[3] is not None else m[6] or ""
         attr = _attributes(text) if "=" in text or "hidden" in text else {}
-        _, node, never, zone = stack[-1]
+        _, node, never, zone, doubt = stack[-1]
         label = tag
         if attr:
             names = f"{attr.get('class', '')} {attr.get('id', '')}"
             label += "." + attr["class"].split()[0] if attr.get("class", "").strip() else ""
             exempt = tag in ("main", "body", "html") or tag == "article" and zone < 2 and not READERS.search(names)
-            never = never or bool(NAMES.search(names)) and not exempt or attr.get("role", "").lower() in ROLES or "hidden" in attr or attr.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attr.get("style", "")))
+            weak = bool(WEAK.search(names)) and not exempt
+            doubt = doubt or weak and zone == 2
+            never = never or bool(NAMES.search(names)) and not exempt or weak and zone < 2 or attr.get("role", "").lower() in ROLES or "hidden" in attr or attr.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attr.get("style", "")))
             if attr.get("role", "").lower() == "main":
                 zone = max(zone, 1)
         never = never or tag in NEVER or tag == "header" and zone == 0
@@ -114,7 +121,7 @@ def blocks(page: str) -> tuple[str, list[tuple[int, str, int]]]:
             continue
         if tag in VOID:
             continue
-        if tag in BLOCK or never and not stack[-1][2]:
+        if tag in BLOCK or never and not stack[-1][2] or doubt and not stack[-1][4]:
             flush()
         if tag in BLOCK:
             here = known.get((node, label))
@@ -123,7 +130,7 @@ def blocks(page: str) -> tuple[str, list[tuple[int, str, int]]]:
                 nodes.append((node, label))
             node = here
         inside += [len(stack)] * (tag == "p")
-        stack.append((tag, node, never, zone))
+        stack.append((tag, node, never, zone, doubt))
     held.append(page[at:])
     flush()
     return " ".join(f"{p}:{re.sub(r'[^!-~]', '_', label)}" for p, label in nodes[1:]), found
@@ -213,7 +220,7 @@ def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [blocks(x if isinstance(x, str) else "") for x in b["html"]]
-            yield pd.DataFrame({"key": b["key"], "url": b["url"], "host": b["host"], "copy": b["copy"], "skeleton": [s for s, _ in out], "at": [[x[0] for x in f] for _, f in out], "text": [[x[1] for x in f] for _, f in out], "zone": [max([x[2] for x in f], default=0) for _, f in out], "zones": [[x[2] for x in f] for _, f in out]})
+            yield pd.DataFrame({"key": b["key"], "url": b["url"], "host": b["host"], "copy": b["copy"], "skeleton": [s for s, _ in out], "at": [[x[0] for x in f] for _, f in out], "text": [[x[1] for x in f] for _, f in out], "zone": [max([x[2] for x in f if x[2] != DOUBT], default=2 if f else 0) for _, f in out], "zones": [[x[2] for x in f] for _, f in out]})
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.xxhash64(html).alias("copy"), F.col(html).alias("html"))
@@ -283,7 +290,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """key, url, text and n_chars for every page.
 
     Blocks stand in page order with a blank line between. Null or empty html gives an empty text; a null or odd url is of the host "";
-    repeated rows each give their text and count once as a page of the host; an empty table gives an empty result.
+    repeated rows each give their text and count once as a page of the host; very long pages are read whole; an empty table gives an empty result. A block in an article under a weak name is
+    content if its node, on at least `share` of the host's pages and so many as `least`, has no text on `share` of those; without such evidence the name counts.
     """
     parsed = _parsed(pages, key, url, html)
     some = parsed.filter("size(at) > 0")
@@ -303,14 +311,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     # keep() tells Catalyst the bytes of both tables, so it broadcasts them only where they are small
     parsed = parsed.join(aligned, (F.col("host") == F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left").drop("_host", "_skeleton")
     parsed = parsed.withColumn("slot", F.transform("at", lambda i: F.get("slots", i)))
-    each = parsed.filter("size(at) > 0").select("host", "copy", F.explode(F.arrays_zip("slot", F.transform("text", lambda t: F.xxhash64(t)).alias("h"))).alias("x"))
-    each = each.select("host", "copy", F.col("x.slot").alias("slot"), F.col("x.h").alias("h")).filter("slot >= 0").distinct()
+    each = parsed.filter("size(at) > 0").select("host", "copy", F.explode(F.arrays_zip("slot", F.transform("text", lambda t: F.xxhash64(t)).alias("h"), F.transform("zones", lambda z: z == DOUBT).alias("doubt"))).alias("x"))
+    each = each.select("host", "copy", F.col("x.slot").alias("slot"), F.col("x.h").alias("h"), F.col("x.doubt").alias("doubt")).filter("slot >= 0").distinct()
+    # nodes under a weak name: of how many pages, and on how many of these is their most frequent text
+    doubted = each.filter("doubt").groupBy("host", "slot", "h").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    varied = doubted.filter((F.col("n") >= least) & (F.col("most") < share * F.col("n"))).join(sizes, F.col("host") == F.col("_host")).filter(F.col("n") >= share * F.col("pages"))
+    varied = keep(varied.groupBy(F.col("host").alias("_host")).agg(F.collect_set("slot").alias("varied")), "varied")
     same = each.groupBy("host", "slot", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     same = same.join(sizes, F.col("host") == F.col("_host")).filter(F.col("n") >= share * F.col("pages"))
     template = keep(same.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("slot", "h")).alias("template")), "template")
-    parsed = parsed.join(template, F.col("host") == F.col("_host"), "left")
+    parsed = parsed.join(template, F.col("host") == F.col("_host"), "left").drop("_host").join(varied, F.col("host") == F.col("_host"), "left")
     rows = F.arrays_zip("slot", "text", "zones")
     constant = lambda x: F.coalesce(F.array_contains(F.col("template"), F.struct(x["slot"].alias("slot"), F.xxhash64(x["text"]).alias("h"))), F.lit(False))
-    chosen = F.filter(rows, lambda x: (x["zones"] == F.col("zone")) & ~constant(x))
+    settled = lambda x: (x["zones"] == DOUBT) & (F.col("zone") == 2) & F.coalesce(F.array_contains("varied", x["slot"]), F.lit(False))
+    chosen = F.filter(rows, lambda x: ((x["zones"] == F.col("zone")) | settled(x)) & ~constant(x))
     text = F.array_join(F.transform(chosen, lambda x: x["text"]), "\n\n")
     return parsed.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
