@@ -108,7 +108,7 @@ def test_checked_kernel_and_observed_failures(spark, tmp_path):
 def test_registered_k_best(spark):
     data = "/root/testdata/sf0.001"
     found: dict = {}
-    for r in catalog.neural_k_best(spark, data).collect():
+    for r in neural.k_best(catalog._part_words(spark, data), "word", catalog._shipped_weights(spark), catalog.VOCAB_IN, catalog.VOCAB_OUT, 5, 47, 20).collect():
         found.setdefault(r.word, []).append((r["rank"], r.guess, r.score))
     w = neural.random_weights(len(catalog.VOCAB_IN) + 1, len(catalog.VOCAB_OUT) + 1, seed=7)
     words = sorted(found)[:20]

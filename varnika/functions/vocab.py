@@ -109,17 +109,18 @@ def ids_of(dense: Column, steps: int, size: int) -> Column:
     return F.when(dense.isNotNull(), found)
 
 
+def _system(path: str):
+    """(pyarrow file system, path) of an address, or of a plain path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def read_tokenizer(path: str) -> dict:
     """A tokenizer JSON, decoded as often as it was encoded: the file, its config, and the maps within. path may be the address of a file system that all machines share."""
-    if "://" in path:
-        from pyarrow import fs
-
-        system, where = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(where) as f:
-            data = json.loads(f.read().decode("utf-8"))
-    else:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    system, where = _system(path)
+    with system.open_input_stream(where) as f:
+        data = json.loads(f.read().decode("utf-8"))
     data = json.loads(data) if isinstance(data, str) else data
     config = data["config"]
     return config | {k: json.loads(v) for k, v in config.items() if isinstance(v, str) and k in ("word_counts", "word_docs", "index_docs", "index_word", "word_index")}
@@ -139,5 +140,6 @@ def write_tokenizer(path: str, vocab: list[tuple[str, int, int, int]], documents
         "index_word": {str(i): c for c, _, _, i in vocab}, "word_index": {c: i for c, _, _, i in vocab},
     }
     config = {"num_words": None, "filters": "", "lower": True, "split": " ", "char_level": True, "oov_token": None, "document_count": documents}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(json.dumps({"class_name": "Tokenizer", "config": config | {k: json.dumps(v) for k, v in inner.items()}}), f)
+    system, where = _system(path)
+    with system.open_output_stream(where) as f:
+        f.write(json.dumps(json.dumps({"class_name": "Tokenizer", "config": config | {k: json.dumps(v) for k, v in inner.items()}})).encode("utf-8"))

@@ -48,6 +48,13 @@ def compare(df: DataFrame, truth: str, systems: dict[str, str]) -> DataFrame:
     return df.withColumns({f"{name}_edit_distance": edit_distance(F.col(c), F.col(truth)) for name, c in systems.items()})
 
 
+def compare_backends(df: DataFrame, source: str, truth: str, backends: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """compare() of backends (name to function of the source column, such as rules.transliterate or a kernel of neural.py), each run once for each distinct input. Their predictions stay, by name."""
+    for name, backend in backends.items():
+        df = predict_distinct(df, source, backend, name)
+    return compare(df, truth, {name: name for name in backends})
+
+
 def decayed_rate(rate: float, decay: float, epoch: Column) -> Column:
     """The learning rate after so many epochs of time-based decay."""
     return F.lit(rate) / (1 + F.lit(decay) * epoch)

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varnika.functions import rules, text, vocab
-from varnika.operators import batches, evaluate, neural, numbering, pairs
-from varnika.plans import spelling_sql
+from varnika.operators import batches, durable, evaluate, neural, numbering, pairs
+from varnika.plans import neural_sql, spelling_sql
 from varnika.sources import crawl, extract, io
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -361,35 +361,41 @@ def translit_status(spark, sf_dir):
 VOCAB_IN, VOCAB_OUT = {c: i for i, c in enumerate(LETTERS, 1)}, {c: i for i, c in enumerate("^$" + LATIN, 1)}
 
 
-def _weights_file() -> str:
-    """Seeded weights in a folder of the driver, which ships the file; it goes when the driver ends."""
-    folder = tempfile.mkdtemp(prefix="varnika-weights-")
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "seeded.npz")
-    neural.save_weights(path, neural.random_weights(len(VOCAB_IN) + 1, len(VOCAB_OUT) + 1, seed=7))
-    return path
+_WEIGHTS = neural.random_weights(len(VOCAB_IN) + 1, len(VOCAB_OUT) + 1, seed=7)
+_ADDITIVE = neural.random_weights(len(VOCAB_IN) + 1, len(VOCAB_OUT) + 1, 24, 24, seed=8, additive=True)
 
 
-def _shipped_weights(spark) -> str:
-    path = _weights_file()
+def _shipped_weights(spark, weights=_WEIGHTS) -> str:
+    """Weights as a file that the driver ships to the executors; it lies in a folder of the driver that goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="varnika-weights-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"{os.path.basename(folder)}.npz")
+    neural.save_weights(path, weights)
     spark.sparkContext.addFile(path)
     return path
 
 
-@query()
+@query(neural_sql.greedy(_HINDI_WORDS, _WEIGHTS, VOCAB_IN, VOCAB_OUT, 47, 20) + f"select p_partkey, hindi, latin from {_PART} join {_TEXTS} using (hindi)")
 def neural_spell(spark, sf_dir):
     kernel = neural.transliterator(_shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 47, 20)
     return evaluate.predict_distinct(_part(spark, sf_dir).select("p_partkey", "hindi"), "hindi", kernel, "latin")
 
 
+@query(neural_sql.greedy(_HINDI_WORDS, _ADDITIVE, VOCAB_IN, VOCAB_OUT, 47, 20) + f"select p_partkey, hindi, latin from {_PART} join {_TEXTS} using (hindi)")
+def neural_spell_additive(spark, sf_dir):
+    """The same with additive attention."""
+    kernel = neural.transliterator(_shipped_weights(spark, _ADDITIVE), VOCAB_IN, VOCAB_OUT, 47, 20)
+    return evaluate.predict_distinct(_part(spark, sf_dir).select("p_partkey", "hindi"), "hindi", kernel, "latin")
+
+
 def _part_words(spark, sf_dir) -> DataFrame:
     return _part(spark, sf_dir).select(F.explode(text.split_words(F.col("hindi"))).alias("word")).distinct()
 
 
-@query()
+@query(neural_sql.k_best(_HINDI_WORDS, _WEIGHTS, VOCAB_IN, VOCAB_OUT, 5, 47, 20))
 def neural_k_best(spark, sf_dir):
     """Five spellings of each word of the parts' names, by beam search."""
-    return neural.k_best(_part_words(spark, sf_dir), "word", _shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 5, 47, 20)
+    return neural.k_best(_part_words(spark, sf_dir), "word", _shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 5, 47, 20).select("word", "guess", F.col("rank").cast("int").alias("rank"))
 
 
 #: The letters of a model that doesn't know all of them.
@@ -565,3 +571,79 @@ def buffered_batches(spark, sf_dir):
     """Sixteen mini-batches through a shuffle buffer: every row is in one of them."""
     df = batches.with_batches(table(spark, sf_dir, "part").select("p_partkey"), 16, 1000)
     return df.agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.countDistinct("p_partkey").alias("n_keys"), F.countDistinct("batch").cast("int").alias("n_batches"))
+
+
+def _landing(spark, name: str) -> str:
+    """A folder for files of a query, where all machines see them."""
+    return durable.shared_path(spark, name)
+
+
+@query("""select p_partkey, translate(lower(p_name), {dev}) as hindi, '"' || p_name || '", ' || p_brand as english, case when p_partkey % 3 = 0 then null else p_type end as kind from part""")
+def csv_source(spark, sf_dir):
+    """Pairs through a CSV file with a header, quotes and commas; a text for a missing value is null again."""
+    path = _landing(spark, "csv")
+    quoted = F.concat(F.lit('"'), "p_name", F.lit('", '), "p_brand")
+    io.write_csv(table(spark, sf_dir, "part").select("p_partkey", devanagari(F.col("p_name")).alias("hindi"), quoted.alias("english"), F.when(F.col("p_partkey") % 3 == 0, "NaN").otherwise(F.col("p_type")).alias("kind")), path)
+    return io.read_csv(spark, path, "p_partkey bigint, hindi string, english string, kind string")
+
+
+@query(f"select 'plain' as layout, hindi, english, p_partkey as freq from {_PART} union all select 'swapped', hindi, english, null from {_PART}")
+def tsv_source(spark, sf_dir):
+    """Pairs through files without a header, by place, and through swapped ones."""
+    plain, swapped = _landing(spark, "tsv"), _landing(spark, "tsv-swapped")
+    df = _part(spark, sf_dir)
+    df.select("hindi", "english", "p_partkey").write.option("sep", "\t").option("escape", '"').csv(plain)
+    df.select("english", "hindi").write.option("sep", "\t").option("escape", '"').csv(swapped)
+    one, two = io.read_tsv(spark, plain), io.read_tsv(spark, swapped, "english string, hindi string")
+    return one.select(F.lit("plain").alias("layout"), "hindi", "english", "freq").unionByName(two.select(F.lit("swapped").alias("layout"), "hindi", "english"), allowMissingColumns=True)
+
+
+@query("select p_partkey as id, translate(lower(p_name), {dev}) as hindi_name, p_name as english_name, p_brand as slug from part")
+def json_records(spark, sf_dir):
+    """Players through JSON arrays of records; fields that a file lacks are null."""
+    path = _landing(spark, "json")
+    record = F.struct(F.col("p_partkey").alias("id"), devanagari(F.col("p_name")).alias("hindi_name"), F.col("p_name").alias("english_name"), F.col("p_brand").alias("slug"))
+    table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.to_json(F.collect_list(record)).alias("value")).repartition("p_brand", "p_size").write.partitionBy("p_brand", "p_size").text(path)
+    return io.read_records(spark, path).filter("gender is null and country_id is null").select("id", "hindi_name", "english_name", "slug")
+
+
+@query("select o_orderkey as match_id from orders where o_custkey % 50 = 0")
+def json_ids(spark, sf_dir):
+    """Ids through files that each hold one JSON array."""
+    path = _landing(spark, "ids")
+    some = table(spark, sf_dir, "orders").filter("o_custkey % 50 = 0")
+    some.groupBy("o_orderstatus").agg(F.to_json(F.collect_list("o_orderkey")).alias("value")).repartition("o_orderstatus").write.partitionBy("o_orderstatus").text(path)
+    return io.read_ids(spark, path)
+
+
+@query("select n_nationkey::bigint as unique_id, n_name as name_english, translate(lower(n_name), {dev}) as name_hindi, null::varchar as age from nation")
+def affidavit_export(spark, sf_dir):
+    """Items through an export in file order; what they lack is empty there and null again."""
+    path = _landing(spark, "items")
+    io.write_affidavits(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("unique_id"), F.col("n_name").alias("name_english"), devanagari(F.col("n_name")).alias("name_hindi")), path)
+    return io.read_affidavits(spark, path).select("unique_id", "name_english", "name_hindi", "age")
+
+
+@query(f"select ch, n, docs, id from {_VOCAB}")
+def tokenizer_json(spark, sf_dir):
+    """A vocabulary, a row per character, through a tokenizer file."""
+    path = _landing(spark, "tokenizer") + ".json"
+    df = _part(spark, sf_dir)
+    vocab.write_tokenizer(path, [(r.ch, r.n, r.docs, r.id) for r in vocab.fit_vocab(df, "hindi", "p_partkey").collect()], df.count())
+    return vocab.tokenizer_frame(spark, path)
+
+
+@query(spelling_sql.spelled(_SIGNED_WORDS) + "select count(*) as n, count(*) filter (latin = '' and word <> '') as failed from spelled")
+def observed_failures(spark, sf_dir):
+    """Predictions and failed ones, as counted by the job that writes the predictions."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.split_words(signed(F.col("text")))).alias("word")).distinct()
+    df, counts = evaluate.observed(evaluate.with_status(words.withColumn("latin", rules.transliterate(F.col("word"))), "word", "latin"))
+    df.write.parquet(_landing(spark, "predictions"))
+    return spark.createDataFrame([(counts.get["n"], evaluate.log_failures(counts))], "n long, failed long")
+
+
+@query(spelling_sql.spelled(_HINDI_WORDS) + f"select p_partkey, levenshtein(latin, english)::double / strlen(english) as rules_edit_distance, levenshtein(translate(hindi, '{LETTERS}', '{LATIN}'), english)::double / strlen(english) as letters_edit_distance from {_PART} join {_TEXTS} using (hindi)")
+def compare_backends(spark, sf_dir):
+    """Two backends side by side: the rules, and a letter for a letter. Any function from a column to a column is one."""
+    found = evaluate.compare_backends(_part(spark, sf_dir), "hindi", "english", {"rules": rules.transliterate, "letters": lambda c: F.translate(c, LETTERS, LATIN)})
+    return found.select("p_partkey", "rules_edit_distance", "letters_edit_distance")
