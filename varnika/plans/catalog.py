@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varnika.functions import rules, text, vocab
-from varnika.operators import batches, durable, evaluate, neural, numbering, pairs
+from varnika.operators import batches, durable, evaluate, neural, numbering, pairs, training
 from varnika.plans import neural_sql, spelling_sql
 from varnika.sources import crawl, extract, io
 
@@ -398,6 +398,16 @@ def neural_k_best(spark, sf_dir):
     return neural.k_best(_part_words(spark, sf_dir), "word", _shipped_weights(spark), VOCAB_IN, VOCAB_OUT, 5, 47, 20).select("word", "guess", F.col("rank").cast("int").alias("rank"))
 
 
+@query(neural_sql.loss(_HINDI_WORDS, _WEIGHTS, VOCAB_IN, VOCAB_OUT, f"translate(word, '{LETTERS}', '{LATIN}')", 47, 15))
+def validation_loss(spark, sf_dir):
+    """The loss of the words of the parts' names with the true previous letters, added up by the trainer's jobs."""
+    latin = F.translate("word", LETTERS, LATIN)
+    ids = lambda c, v, n: F.transform(vocab.pad(vocab.encode(c, vocab.as_map(v)), n), lambda x: x.cast("int"))
+    pairs_ = _part_words(spark, sf_dir).select(ids(F.col("word"), VOCAB_IN, 47).alias("ids_in"), ids(F.concat(F.lit("^"), latin, F.lit("$")), VOCAB_OUT, 16).alias("ids_out"))
+    loss, n, _ = training.summed(pairs_, _WEIGHTS, back=False)
+    return spark.createDataFrame([(n, round(loss / n, 3) if n else None)], "n long, loss double")
+
+
 #: The letters of a model that doesn't know all of them.
 VOCAB_FEW = {c: i for c, i in VOCAB_IN.items() if c not in "झयष"}
 

@@ -73,3 +73,16 @@ dec as (select word, 0 as n, {vocab_out['^']} as token, 0::double as total, []::
 whole as (select word, made, row_number() over (partition by word order by total / n desc, made) as place from dec where n > 0 and (token = {end} or n = {steps})),
 texts as (select word, {TEXT} as guess, min(place) as place from whole, p where place <= {k} group by all)
 select word, guess, (row_number() over (partition by word order by place))::int as rank from texts"""
+
+
+def loss(words: str, weights: dict[str, np.ndarray], vocab_in: dict[str, int], vocab_out: dict[str, int], spelled: str, steps_in: int, places: int) -> str:
+    """n and loss: places of all distinct words, and the mean cross-entropy of their true tokens. spelled: an expression of the right spelling of `word`; it is wrapped in ^ and $ and padded to `places` tokens after the first."""
+    units = weights["enc_r"].shape[0]
+    rows = f"(select d.word, n, total, ids, ids[n + 1] as token, d.h, d.c, s, by_unit, p.* from dec d join ready using (word) join truth using (word), p where n < {places})"
+    logs = f"select *, list_max(logits) + ln(list_sum(list_transform(logits, lambda y: exp(y - list_max(logits))))) as whole from ({_stepped(rows, 'word, n, total, ids', units, 'scale' in weights)})"
+    return f"""{_begun(words, weights, vocab_in, vocab_out, steps_in)},
+letter(ch, id) as (values {', '.join(f"('{c}', {i})" for c, i in vocab_out.items())}),
+truth as (select word, list(coalesce(id, 0) order by i) as ids from (select word, i, substring('^' || {spelled} || '$', i::int + 1, 1) as ch from src, range({places + 1}) as r(i)) left join letter using (ch) group by word),
+dec as (select word, 0 as n, 0::double as total, h, c from ready
+  union all select word, n + 1, total + case when ids[n + 2] = 0 then 0 else whole - logits[ids[n + 2] + 1] end, h, c from ({logs}))
+select (count(*) * {places})::bigint as n, round(sum(total) / (count(*) * {places}), 3) as loss from dec where n = {places}"""
