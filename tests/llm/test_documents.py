@@ -592,3 +592,24 @@ def test_run_against_plain_stages(spark, docs, tmp_path):
 
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
+
+
+def test_matching_once_or_twice_is_the_same(docs):
+    """Spans, verdicts included, against plain loops over patterns and owners, in either way of reading."""
+    kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    rows, owners, repos = [], {}, {}
+    for r in ROWS:
+        t = r[1] or ""
+        base = [(m.start(), k, m.end(), m[g]) for k, (_, p, g, n) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= n]
+        wide = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{24,}", t) if all(re.search(x, m[0]) for x in ("[0-9]", "[A-Z]", "[a-z]"))]
+        mine = sorted(base + [w for w in wide if not any(b[0] < w[2] and w[0] < b[2] for b in base)])
+        rows.append((r[0], mine))
+        for *_, v in mine:
+            owners.setdefault(v, set()).add(r[3])
+            repos.setdefault(v, set()).add(t)
+    live = {v: len(o) <= 2 and (len(o) == 1 or len(repos[v]) <= 10) for v, o in owners.items()}
+    names = ("assign", "access", "hex", "opaque")
+    want = sorted(key((i, ",".join(f"{names[k]}:{a}:{b}" for a, k, b, v in mine if k < 3 or live[v]), ",".join("live" if live[v] else "example" for *_, v in mine))) for i, mine in rows)
+    for again in (False, True):
+        got = secrets.digest(secrets.scan(docs, carry=["doc_id"], again=again)).collect()
+        assert sorted(key((r.doc_id, r.spans, r.verdicts)) for r in got) == want

@@ -25,6 +25,8 @@ BLOCK = 128
 #: Code points of a piece of text when it is masked.
 PIECE = 4096
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
+#: What must not stand before the first sign of a run, so that whether there is one is not tried from each of its signs.
+STARTS = {"hex": "(?<![0-9a-f])", "opaque": "(?<![A-Za-z0-9+/_-])"}
 SPAN = "struct<s:int,k:int,e:int,v:string>"
 
 
@@ -53,7 +55,7 @@ def _top(values: Column, tops: Column, i: Column) -> Column:
     return F.greatest(F.array_max(F.slice(tops, F.lit(1), F.floor(i / BLOCK).cast("int"))), F.array_max(F.slice(values, i - i % BLOCK + 1, i % BLOCK)), F.lit(0))
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
+def _spans(text: Column, pattern: str, kind: int, group: int, least: int, start: str = "") -> Column:
     """The leftmost non-overlapping matches as (start, kind, end, value), in code points.
 
     The pieces between the matches and the matches themselves, added up by length, give the places.
@@ -67,7 +69,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
     p = F.lit(pattern)
     found = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
     some = F.filter(let(found, places), lambda x: F.length(x["v"]) >= least)
-    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(start + pattern), some).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _apart(base: Column, opaque: Column) -> Column:
@@ -94,19 +96,19 @@ def _apart(base: Column, opaque: Column) -> Column:
 
 
 def suspect(text: Column) -> Column:
-    """Whether a pattern matches at all: a text where none does has no span."""
-    found = text.rlike(OPAQUE)
-    for _, pattern, _, _ in KINDS:
-        found = text.rlike(pattern) | found
+    """Whether a pattern matches at all: a text where none does has no span. A run of signs is tried from its start only."""
+    found = text.rlike(STARTS["opaque"] + OPAQUE)
+    for kind, pattern, _, _ in KINDS:
+        found = text.rlike(STARTS.get(kind, "") + pattern) | found
     return found
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `_base` and `_opaque`: arrays of (s, k, e, v) by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(F.concat(*[_spans(t, p, k, g, n) for k, (_, p, g, n) in enumerate(KINDS)]))
+    base = F.array_sort(F.concat(*[_spans(t, p, k, g, n, STARTS.get(name, "")) for k, (name, p, g, n) in enumerate(KINDS)]))
     mixed = lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Z]") & x["v"].rlike("[a-z]")
-    df = docs.withColumns({"_base": base, "_opaque": F.filter(_spans(t, OPAQUE, len(KINDS), 0, 24), mixed)})
+    df = docs.withColumns({"_base": base, "_opaque": F.filter(_spans(t, OPAQUE, len(KINDS), 0, 24, STARTS["opaque"]), mixed)})
     return df.withColumn("_opaque", _apart(F.col("_base"), F.col("_opaque")))
 
 
@@ -122,24 +124,31 @@ def ownership(found: DataFrame, max_owners: int = 2, max_repos: int = 10) -> Dat
 
 
 @tidy
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
-    """carry (default: all columns) with `_spans`: an array of (s, k, e, live) for each row, by start, then kind.
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repos: int = 10, again: bool = False) -> DataFrame:
+    """carry (default: all columns) with `_spans`: an array of (s, k, e, live) for each row, by start, then kind; a column of docs of that name is replaced.
 
-    Only rows whose text a pattern matches are written to a table; all others go from docs to the result, so docs is read twice.
+    carry and candidates of all rows are written to a table, so texts are matched once. With `again`, only rows whose text a pattern matches are written, and all others go
+    from docs to the result: docs is read and matched twice, which is better where carry holds the texts. Very long texts are matched whole.
     k is the index in KINDS, or 3 for opaque. Null text counts as empty and has no span; null owners are one owner; repeated rows
     each get their spans and count once as repository; an empty table gives an empty result.
     """
     carry = docs.columns if carry is None else carry
     rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_who"))
-    hit = candidates(rows.filter(suspect(F.col("_text"))), "_text").withColumn("_repo", F.sha2("_text", 256))
-    hit = keep(hit.select("_doc", "_base", "_opaque", "_repo", F.col("_who").alias("_owner"), F.monotonically_increasing_id().alias("_rid")), "scan")
+    found = rows.filter(suspect(F.col("_text"))) if again else rows
+    seen = candidates(found, "_text").select("_doc", "_base", "_opaque", F.col("_who").alias("_owner"), "_text", F.monotonically_increasing_id().alias("_rid"))
+    some = (F.size("_base") > 0) | (F.size("_opaque") > 0)
+    seen = keep(seen.withColumn("_repo", F.when(some, F.sha2("_text", 256))).drop("_text"), "scan")
+    hit = seen.filter("_repo is not null")
     each = keep(hit.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_opaque")).alias("x")).select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "x.s", "x.k", "x.e", F.sha2("x.v", 256).alias("h")), "secrets")
     verdict = keep(ownership(each, max_owners, max_repos), "owners").select("h", "live")
     judged = each.join(verdict, "h")
     by_row = judged.groupBy(F.col("_rid").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("_spans"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,live:boolean>>")
     joined = hit.join(by_row, F.col("_rid") == F.col("_of"), "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
-    both = joined.unionByName(rows.filter(~suspect(F.col("_text"))).select("_doc", none.alias("_spans")))
+    clean = seen.filter("_repo is null").select("_doc", none.alias("_spans"))
+    both = joined.unionByName(clean)
+    if again:
+        both = both.unionByName(rows.filter(~suspect(F.col("_text"))).select("_doc", none.alias("_spans")))
     return both.select(*[F.col(f"_doc.`{c}`").alias(c) for c in carry if c != "_spans"], "_spans")
 
 
