@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = docs.columns
     marked = docs.select(F.struct(*columns).alias("_doc"), F.col("text").alias("_text"), F.col("source").alias("_source"))
-    found = secrets.scan(marked, "_text", "_source", carry=["_doc"])
+    found = secrets.scan(marked, "_text", "_source", carry=["_doc"], again=True)
     text = secrets.redacted(F.col("_doc.text"), F.col("_spans"))
     clean = F.when(F.size("_spans") > 0, text).otherwise(F.col("_doc.text"))
     made = found.select("_doc", "_spans", clean.alias("_clean"))
