@@ -3,6 +3,7 @@ import logging
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varnika import streaming
@@ -159,6 +160,24 @@ def test_numbers_in_many_buckets(spark):
     assert "SinglePartition" not in plan(df) and "SinglePartition" not in plan(pairs.batches(spark.range(500), "id"))
 
 
+def test_running_values_of_a_frequent_key(spark):
+    """Against windows: one key has most rows, values are null at times, and no key is in one partition."""
+    rows = [("hot" if i % 10 else f"k{i % 3}", i, None if i % 7 == 0 else float((i * 37) % 101)) for i in range(900)] + [(None, i, float(-i)) for i in range(5)] + [("none", i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, i int, x double").repartition(4)
+    got = numbering.running(df, ["k"], ["i"], rows=60, total=("sum", F.col("x")), low=("min", F.col("x")), high=("max", F.col("x")), n=("count", F.col("x")))
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumns({"total": F.sum("x").over(w), "low": F.min("x").over(w), "high": F.max("x").over(w), "n": F.count("x").over(w)})
+    order = lambda d: sorted(map(str, d.select("k", "i", "x", "total", "low", "high", "n").collect()))
+    assert order(got) == order(want)
+    best = evaluate.best_so_far(df, ["k"], ["i"], "x", rows=60)
+    plain = df.withColumn("best", F.min("x").over(w))
+    since = Window.partitionBy("k", "best").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = plain.withColumn("patience", F.count("*").over(since) - 1)
+    order = lambda d: sorted(map(str, d.select("k", "i", "x", "best", "patience").collect()))
+    assert order(best) == order(plain)
+    assert numbering.running(df.limit(0), ["k"], ["i"], n=("count", F.lit(1))).count() == 0
+
+
 def test_vocabulary_is_one_shuffle_of_counts(spark):
     plan = vocab.fit_vocab(spark.range(9).selectExpr("id", "concat('ab', id) as t"), "t", "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 2  # the second ranks a row per character

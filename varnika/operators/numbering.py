@@ -28,7 +28,7 @@ def numbered(df: DataFrame, order: str, out: str, start: int = 0, rows: int = RO
     total = df.count()
     dealt = df.repartitionByRange(_parts(total, rows), by).sortWithinPartitions(by)
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the part of the id that counts within a partition
-    dealt = _numbered_table(dealt.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    dealt = keep(dealt.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "numbered")
     at, ahead = start, []
     for part, n in sorted(dealt.groupBy("_part").count().collect()):
         ahead.append((part, at))
@@ -38,10 +38,6 @@ def numbered(df: DataFrame, order: str, out: str, start: int = 0, rows: int = RO
     return placed.withColumn(out, F.col("_place") + F.col("_ahead")).drop("_part", "_place", "_of", "_ahead"), total
 
 
-def _numbered_table(df: DataFrame) -> DataFrame:
-    return keep(df, "numbered")
-
-
 def _ranged(df: DataFrame, by: list[str], order: list[str], rows: int) -> DataFrame:
     """df in a durable table, with `_part`: ranges of (by, order) of about `rows` rows, so a frequent key is spread over several."""
     keys = [*by, *order]
