@@ -167,7 +167,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     Rows are compared if their labels are equal and not null. Null or zero vectors, and those with a null or non-finite component, link with
     nothing, as do rows of null key, whose component is null. Vectors of unlike length under one label are not compared. Equal
     rows link with each other. Groups of near copies are hardly ever split, and leaves above the limit are compared in pairs of chunks, so none
-    is cut short. An empty table gives an empty result.
+    is cut short. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     v = F.col(vector).cast("array<double>")
     huge = F.lit(float("inf"))

@@ -308,7 +308,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     Training uses rows whose crc32(key) mod 3 is not 1, with text and language; prediction uses the text alone. `und` (score 0) stands
     for a null text or one without a letter, or if there is nothing to learn from. A null key is not held out and not learned from.
-    Repeated rows are predicted alike; an empty table gives an empty result.
+    Repeated rows are predicted alike and give one set of windows; very long texts are read whole; other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     windows = sample(docs, text, lang, key, per_lang)
     model = train(windows)

@@ -286,7 +286,8 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
     Null or blank texts have no shingle and link with nothing; null keys link with nothing and have no component.
     Rows of one key are one document: they link with what any of their texts links with. At a similarity of 0.8 a pair is
-    missed with probability 3e-6 (bands 32, rows 5). An empty table gives an empty result.
+    missed with probability 3e-6 (bands 32, rows 5). Very long texts are shingled whole, a piece at a time; other columns, whatever their names, are
+    not read. A key of many components repeats its rows once for each chunk of them, so its work grows with their square. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     with arrow_batches(spark, 512):

@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     Null and empty texts are one piece of the end id alone. Repeated rows and null keys are documents of their own. A document longer than
-    the window is cut at its multiples. Only counts by remaining length reach the driver. An empty table gives an empty result.
+    the window is cut at its multiples, however long. Only counts by remaining length reach the driver. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     with arrow_batches(spark, 4096, "8m"):

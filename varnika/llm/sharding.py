@@ -77,7 +77,8 @@ def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int
     """key, size, text_crc32, shard and slot for every row.
 
     size is the text's UTF-8 bytes plus 1. Null text has no byte and is in the group of the empty text. Repeated rows and null keys are
-    rows like any other. slot counts the rows of a shard from 0 without gaps. An empty table gives an empty result.
+    rows like any other. slot counts the rows of a shard from 0 without gaps. Very long texts are
+    hashed whole; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.md5(t.cast("binary"))).alias("_group"))

@@ -184,7 +184,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Of pages with equal payloads of at least `least` bytes, that with the largest key is a response and the others are revisits to
     it; smaller payloads are responses. Null html is an empty payload, null url a urn; a null key is lower than all, and repeated rows
-    of the largest key are all responses. An empty table gives no archive and an empty result.
+    of the largest key are all responses. Very long pages are one record each; other columns, whatever their names, are not read. An empty table gives no archive and an empty result.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
