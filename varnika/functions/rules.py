@@ -47,26 +47,40 @@ SOUND = f"(?s)[{_C}]{NUKTA_SIGN}?|."
 _DOTTED = {CONSONANTS[k]: v for k, v in NUKTA.items()}
 SPELLED = {c: t for table in (CONSONANTS, VOWELS, SIGNS, NASALS, DIGITS) for c, t in table.items() if len(c) == 1} | {c + NUKTA_SIGN: _DOTTED.get(CONSONANTS[c], CONSONANTS[c]) for c in _C} | {INHERENT: "a"}
 
+#: The same for a whole text: sounds of several signs or letters are replaced one after the other, the rest by one translation, which also drops what nuktas are left.
+REPLACED = [(c, t) for c, t in SPELLED.items() if len(c) > 1 and t != SPELLED[c[0]]] + [(c, t) for c, t in SPELLED.items() if len(c) == 1 < len(t)]
+SINGLE = "".join(c for c, t in SPELLED.items() if len(c) == len(t) == 1)
+LETTER = "".join(SPELLED[c] for c in SINGLE)
 
-def spoken(text: Column) -> Column:
-    """The Latin texts of the sounds that are spoken, from left to right; other characters are sounds of their own."""
+
+def _marked(text: Column) -> Column:
     for pattern, new in STEPS:
         text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def spoken(text: Column) -> Column:
+    """The Latin texts of the sounds that are spoken, from left to right; other characters are sounds of their own."""
+    text = _marked(text)
     table = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
     return F.transform(F.regexp_extract_all(text, F.lit(SOUND), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
 
 
 def transliterate(text: Column) -> Column:
     """The Latin spelling of a Devanagari text, word by word; other characters stay. Null gives null."""
-    return F.array_join(spoken(text), "")
+    text = _marked(text)
+    for sound, new in REPLACED:
+        text = F.replace(text, F.lit(sound), F.lit(new))
+    return F.translate(text, SINGLE + NUKTA_SIGN, LETTER)
 
 
 def transliterate_sql(text: str = "text") -> str:
     """transliterate() of a column as an SQL expression."""
     for pattern, new in STEPS:
         text = f"regexp_replace({text}, '{pattern}', '{new}')"
-    table = ", ".join(f"'{c}', '{t}'" for c, t in SPELLED.items())
-    return f"array_join(transform(regexp_extract_all({text}, '{SOUND}', 0), c -> coalesce(try_element_at(map({table}), c), c)), '')"
+    for sound, new in REPLACED:
+        text = f"replace({text}, '{sound}', '{new}')"
+    return f"translate({text}, '{SINGLE}{NUKTA_SIGN}', '{LETTER}')"
 
 
 def k_best(df: DataFrame, text: str, k: int = 5, changes: int = 2) -> DataFrame:
