@@ -213,3 +213,12 @@ def test_a_buffer_holds_no_more_than_its_size():
     assert sorted(out) == list(range(100_000)) and most <= 4000 + batches.CHUNK + 500
     early = [x for x in out[:1000]]
     assert min(early) >= 0 and max(early) < 7000 and not math.isclose(np.mean(np.diff(early)), 1.0)
+
+
+@pytest.mark.parametrize("size", [0, 1, 1000, 2047, 2048, 2049])
+def test_a_buffer_smaller_than_a_chunk_gives_each_row_once(size):
+    import pyarrow as pa
+
+    source = [pa.RecordBatch.from_arrays([pa.array(range(a, b))], ["x"]) for a, b in ((0, 3000), (3000, 3001), (3001, 9000))]
+    got = [x for b in batches.through_buffer(iter(source), size, np.random.default_rng(1)) for x in b.column(0).to_pylist()]
+    assert sorted(got) == list(range(9000)) and (size < 2 or got != sorted(got))

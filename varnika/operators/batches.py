@@ -16,12 +16,13 @@ BUFFER, CHUNK = 120_000, 2_048
 def through_buffer(batches: Iterator[pa.RecordBatch], size: int, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
     """The rows of batches in a random order: a buffer of `size` rows fills; from then on each new row takes the place of one drawn at random, which comes out; the rest follows in random order.
 
-    Rows are replaced a chunk at a time (drawn places differ within it), so at most size + CHUNK rows and one batch are held.
+    Rows are replaced a chunk at a time (drawn places differ within it), so at most size + CHUNK rows and one batch are held. A chunk is no larger than the buffer, as each of its rows takes a place there.
     """
     held: pa.Table | None = None
+    chunk = max(1, min(CHUNK, size))
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            new = pa.Table.from_batches([batch.slice(at, CHUNK)])
+        for at in range(0, batch.num_rows, chunk):
+            new = pa.Table.from_batches([batch.slice(at, chunk)])
             held = new if held is None else pa.concat_tables([held, new])
             over = held.num_rows - size
             if over > 0:
