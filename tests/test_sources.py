@@ -79,6 +79,15 @@ def test_dense_and_sparse_tensors(spark):
     assert {(r.row_id, r.t, r.idx) for r in triples} == {(1, 0, 1), (1, 1, 2), (2, 0, 3)}
 
 
+def test_dense_tensors_work_their_ids_out_once_a_row(spark):
+    rows = [([2, 1],), ([0, 3, 1, 2],), ([None, 2, 7],), ([],), (None,), ([-1, 3],)]
+    df = spark.createDataFrame(rows, "ids array<int>").select("ids", vocab.dense_one_hot(F.reverse("ids"), 3, F.size(F.array(*map(F.lit, range(4))))).alias("dense"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("reverse(") == 1 and plan.count("lambdafunction(") == 1  # neither an expression for each float nor the ids within it
+    want = [[1.0 if x is not None and 0 < k == x else 0.0 for x in (ids[::-1] + [0] * 3)[:3] for k in range(4)] if ids is not None else None for (ids,) in rows]
+    assert [r.dense for r in df.collect()] == want
+
+
 LETTERS = [*rules.CONSONANTS, *rules.VOWELS, *rules.SIGNS, *rules.NASALS, "१", rules.VIRAMA, rules.NUKTA_SIGN, "x", " ", "\n", "  ", "é", "$", "\\"]
 
 

@@ -79,8 +79,11 @@ def one_hot(df: DataFrame, ids: str, row_id: str) -> DataFrame:
 def dense_one_hot(ids: Column, steps: int, size: Column | int) -> Column:
     """steps * size floats, step by step, with a 1 at the id of each step: a dense tensor, flattened. An id of 0 (padding), beyond the size or missing gives zeros."""
     size = F.lit(size) if isinstance(size, int) else size
-    row = lambda t: F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.when((k > 0) & (F.get(ids, t) == k), 1.0).otherwise(0.0).cast("float"))
-    return F.when(ids.isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), row)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    # a step is three runs of floats, not an expression for each float
+    row = lambda k: F.when((k > 0) & (k < size), F.concat(zeros(k), F.array(F.lit(1.0).cast("float")), zeros(size - k - 1))).otherwise(zeros(size))
+    first = F.slice(F.concat(ids, F.array_repeat(F.lit(None), steps)), 1, steps)
+    return F.flatten(F.transform(first, row))
 
 
 def sparse_one_hot(ids: Column, steps: int, size: int) -> Column:
@@ -102,7 +105,7 @@ def dense_of(vector: Column) -> Column:
     return F.when(vector.isNotNull(), vector_to_array(vector, "float32"))
 
 
-def ids_of(dense: Column, steps: int, size: int) -> Column:
+def ids_of(dense: Column, steps: int, size: Column | int) -> Column:
     """The ids of a dense tensor, 0 where a step has no 1."""
     step = lambda t: F.slice(dense, t * size + 1, F.lit(size))
     found = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.greatest(F.array_position(step(t), F.lit(1.0).cast("float")) - 1, F.lit(0)).cast("int"))

@@ -135,8 +135,10 @@ def vocab_alpha(spark, sf_dir):
     return vocab.alphabet(_part(spark, sf_dir), "hindi")
 
 
-def _encoded(spark, sf_dir) -> DataFrame:
+def _encoded(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """The parts with their ids, the vocabulary and its letters. spread: dealt over all tasks first, for work that is long for a few bytes of input."""
     df = _part(spark, sf_dir)
+    df = df.repartition("p_partkey") if spread else df
     fitted = vocab.fit_vocab(df, "hindi", "p_partkey")
     # one row per character of the script
     table_ = fitted.agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("id").cast("int")))).alias("vocab"), F.transform(F.array_sort(F.collect_list(F.struct("id", "ch"))), lambda x: x["ch"]).alias("letters"))
@@ -570,10 +572,13 @@ def quarantine(spark, sf_dir):
 from (select p_partkey, list_concat(ids[greatest(len(ids) - 11, 1):], list_transform(range(greatest(12 - len(ids), 0)), lambda x: 0)) as padded, (select max(id) from {_VOCAB}) as m from {_IDS})""")
 def one_hot_dense(spark, sf_dir):
     """The dense tensors of the padded ids, by their size, their number of ones and the sum of the ones' places."""
-    dense = vocab.dense_one_hot(vocab.pad(F.col("ids"), 12), 12, F.size("letters") + 1)
-    df = _encoded(spark, sf_dir).select(F.col("p_partkey").alias("row_id"), dense.alias("x"))
-    places = F.aggregate(F.transform("x", lambda v, i: v.cast("long") * i), F.lit(0).cast("long"), lambda a, v: a + v)
-    return df.select("row_id", F.size("x").cast("long").alias("size"), places.alias("places"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v.cast("long")).alias("ones"))
+    size = F.size("letters") + 1
+    dense = vocab.dense_one_hot(vocab.pad(F.col("ids"), 12), 12, size)
+    df = _encoded(spark, sf_dir, spread=True).select(F.col("p_partkey").alias("row_id"), size.alias("width"), dense.alias("x"))
+    df = df.withColumns({"back": vocab.ids_of(F.col("x"), 12, F.col("width")), "full": F.array_remove("x", F.lit(0.0).cast("float"))})
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v.cast("long"))
+    places = total(F.transform("back", lambda k, t: F.when(k > 0, t * F.col("width") + k).otherwise(0)))
+    return df.select("row_id", F.size("x").cast("long").alias("size"), places.alias("places"), total("full").alias("ones"))
 
 
 @query("select count(*) as n, sum(p_partkey)::bigint as keys, count(distinct p_partkey) as n_keys, 16 as n_batches from part")
