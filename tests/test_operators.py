@@ -183,6 +183,21 @@ def test_vocabulary_is_one_shuffle_of_counts(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 2  # the second ranks a row per character
 
 
+def test_vocabulary_is_counted_without_sorting_characters(spark):
+    for kind in ("long", "int"):
+        plan = vocab.fit_vocab(spark.range(9).selectExpr(f"cast(id as {kind}) as id", "concat('ab', id) as t"), "t", "id")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan.rpartition("Exchange")[2] and "SortAggregate" not in plan  # else a task holds a row for each of its characters
+    big = 2**63 - 1
+    rows = [(big, "xy"), (big - 1, "yx"), (-big, "pq"), (-big - 1, "qp"), (5, "..m"), (5, "n"), (None, "k")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "i long, t string").selectExpr(f"cast(i as {kind}) as i", "t").filter(F.lit(kind == "long") | F.col("i").isNotNull())
+        got = {r.id: (r.ch, r.n, r.docs) for r in vocab.fit_vocab(df, "t", "i").collect()}
+        if kind == "long":
+            assert got == dict(enumerate([("q", 2, 2), ("p", 2, 2), (".", 2, 1), ("y", 2, 2), ("x", 2, 2), ("n", 1, 1), ("m", 1, 1), ("k", 1, 1)], 1))
+        else:
+            assert sorted(got.values()) == sorted([("q", 2, 2), ("p", 2, 2), (".", 2, 1), ("y", 2, 2), ("x", 2, 2), ("n", 1, 1), ("m", 1, 1)])
+
+
 def test_splits_and_orders_take_any_key(spark):
     df = spark.createDataFrame([(f"a{i}",) for i in range(500)], "k string")
     split = {r.k: r.is_train for r in pairs.hash_split(df, "k").collect()}

@@ -23,8 +23,12 @@ def fit_vocab(df: DataFrame, text: str, row_id: str, lower: bool = True) -> Data
     # what a row knows alone is counted in it, so that one shuffle carries a row per character and task
     each = F.transform(F.array_distinct("_c"), lambda x: F.struct(x.alias("ch"), F.size(F.filter("_c", lambda y: y == x)).alias("n"), (F.array_position("_c", x) - 1).alias("pos")))
     per_row = rows.select("row_id", F.inline(each))
-    counts = per_row.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(F.struct("row_id", "pos")).alias("first"))
-    return counts.select("ch", "n", "docs", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long").alias("id"))
+    place = F.struct("row_id", "pos")
+    if dict(rows.dtypes)["row_id"] in ("tinyint", "smallint", "int", "bigint"):
+        # as one number: Spark hashes to find the least number, but sorts all rows of a task for the least struct
+        place = F.col("row_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    counts = per_row.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(place).alias("first"))
+    return counts.select("ch", "n", "docs", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("first"))).cast("long").alias("id"))
 
 
 def alphabet(df: DataFrame, text: str) -> DataFrame:
