@@ -29,6 +29,15 @@ def test_query(spark, name):
     assert rows(df.select(*columns).collect()) == rows(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+@pytest.mark.parametrize("name", ["encode_ids"])
+def test_query_counts_characters_without_sorting_them(spark, name, monkeypatch):
+    fitted, fit = [], catalog.vocab.fit_vocab
+    monkeypatch.setattr(catalog.vocab, "fit_vocab", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    catalog.QUERIES[name](spark, DATA)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in fitted]
+    assert plans and not any("SortAggregate" in plan for plan in plans)  # else a task holds a row for each of its characters
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
