@@ -29,7 +29,7 @@ def test_query(spark, name):
     assert rows(df.select(*columns).collect()) == rows(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
-@pytest.mark.parametrize("name", ["encode_ids", "one_hot_shifted", "one_hot_sparse", "pad_ids", "teacher_shift", "tile_ids"])
+@pytest.mark.parametrize("name", ["encode_ids", "one_hot_shifted", "one_hot_sparse", "pad_ids", "teacher_shift", "tile_ids", "tokenizer_json"])
 def test_query_counts_characters_without_sorting_them(spark, name, monkeypatch):
     fitted, fit = [], catalog.vocab.fit_vocab
     monkeypatch.setattr(catalog.vocab, "fit_vocab", lambda *a, **b: fitted.append(fit(*a, **b)) or fitted[-1])
